@@ -14,9 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.plans.lineage import cut
-
-#: A key is heavy if it holds more than 1 / HEAVY_KEYS of all referring rows, so there are fewer heavy keys than this.
-HEAVY_KEYS = 2000
+from glyphmill.plans.skew import HEAVY_KEYS, split_join
 
 
 @dataclass(frozen=True)
@@ -63,14 +61,8 @@ def orphan_references(references: Sequence[Reference], targets: Sequence[Target]
     keys = refs.groupBy("target", "ref").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
     joined = keys.join(known.withColumn("there", F.lit(True)), ["target", "ref"], "left")
     bad = joined.filter(F.col("there").isNull() | F.col("gone").isNotNull() | (F.col("arrived") > F.col("first_at")))
-    # the keys are read for the total, the heavy and the rest; cut them here
     bad = cut(bad.select("target", "ref", "n", "there", "gone", "arrived"))
-    total = bad.agg(F.sum("n")).first()[0] or 0
-    limit = total / heavy_keys
-    heavy, rest = bad.filter(F.col("n") > limit).drop("n"), bad.filter(F.col("n") <= limit).drop("n")
-
-    on = ["target", "ref"]
-    hit = refs.join(F.broadcast(heavy), on).unionByName(refs.join(rest.hint("shuffle_hash"), on))
+    hit = split_join(refs, bad, ["target", "ref"], "n", heavy_keys)
     reason = F.when(F.col("there").isNull(), "missing").when(F.col("gone").isNotNull(), "deleted").when(F.col("arrived") > F.col("at"), "late")
     found = hit.select("table_name", "record_id", F.date_format("at", "yyyy-MM").alias("period"), reason.alias("reason")).filter(F.col("reason").isNotNull())
     return found.groupBy("table_name", "record_id").agg(F.min(F.struct("period", "reason")).alias("x")).select("table_name", "record_id", "x.period", "x.reason")
