@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import copies, frequencies, leaks, oversized, tokenizer
+from glyphmill.llm import copies, frequencies, languages, leaks, oversized, sentences, tokenizer
 from glyphmill.sources.tables import table
 
 FIELDS = {
@@ -63,6 +63,26 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _verdicts(spark, folder)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source_language", "final_language")
+    training = languages.train(languages.labelled_sample(docs, "doc_id", "text", "source_language", "final_language"))
+    labels = docs.select("doc_id", "text", languages.label_code(F.col("source_language")).alias("s"), languages.label_code(F.col("final_language")).alias("f"))
+    return languages.passages(labels, "doc_id", "text", training, ["s", "f"])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.label_findings(_passages(spark, folder), "s", "f").select("doc_id", "language")
+
+
+def p6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's passages with language and confidence."""
+    return _passages(spark, folder).drop("s", "f")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -80,7 +100,7 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaked(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("match_words").cast("bigint").alias("longest_words"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_content, p2_found, p2_counts, p3_found, p3_counts, p7_ids, p8_found, p8_items)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_content, p2_found, p2_counts, p3_found, p3_counts, p4_found, p6_found, p6_passages, p7_ids, p8_found, p8_items)}
 
 _P3 = """
 with rows as (
