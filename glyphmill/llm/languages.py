@@ -21,7 +21,7 @@ from glyphmill.llm.arrow import flat_map
 from glyphmill.llm.sentences import is_card, units
 
 #: Bounds of the labelled sample: documents per language, and characters of training text per language.
-TRAIN_DOCS, TRAIN_CHARS = 100, 10_000
+TRAIN_DOCS, TRAIN_CHARS = 160, 14_000
 #: Phrases that a change of language costs.
 CHANGE = 4.0
 #: Cells of a language's automaton; scripts with very many characters get less training text.
@@ -228,12 +228,17 @@ def labelled_sample(docs: DataFrame, doc_id: str, text: str, source: str, final:
 
 
 def _limited(sentences: Iterable[str], chars: int) -> list[str]:
-    out, n = [], 0
+    """Sentences up to `chars` characters, without those that mostly repeat runs of eight characters taken before."""
+    out, n, seen = [], 0, set()
     for s in sentences:
-        if n >= chars:
-            break
+        runs = {s[k : k + 8] for k in range(0, max(1, len(s) - 7))}
+        if len(runs - seen) < 0.3 * len(runs):
+            continue
+        seen |= runs
         out.append(s)
         n += len(s)
+        if n >= chars:
+            break
     return out
 
 
