@@ -28,6 +28,8 @@ CHANGE = 4.0
 CELLS = 3_000_000
 #: A lane of the vectorised parse holds at most so many characters; longer sentences take several lanes.
 LANE = 256
+#: Lanes that are parsed at once.
+BLOCK = 4096
 
 # Spellings of the languages' names.
 SPELLINGS = {
@@ -131,7 +133,7 @@ class Model:
     def __init__(self, texts: dict[str, list[str]], cells: int = CELLS):
         self.languages = sorted(texts)
         self.alphabet = Alphabet(c for t in texts.values() for s in t for c in s.lower())
-        self.tables, self.columns, bits = [], [], []
+        self.flat, self.columns, self.own, bits = [], [], [], []
         for lang in self.languages:
             letters = np.unique(np.concatenate([[0], *[self.alphabet.codes(s) for s in texts[lang]]]))
             codes: list[int] = []
@@ -140,10 +142,12 @@ class Model:
                     break
                 codes += _squeezed(self.alphabet.codes(s)).tolist() + [2]
             own = [c for c in np.unique(codes).tolist() if c not in (1, 2)]
-            column = np.zeros(self.alphabet.size, dtype=np.int32)
+            column = np.zeros(self.alphabet.size, dtype=np.intp)
             column[own] = np.arange(1, len(own) + 1)
             self.columns.append(column)
-            self.tables.append(automaton([int(column[c]) for c in codes], len(own) + 1))
+            table = automaton([int(column[c]) for c in codes], len(own) + 1)
+            self.flat.append(np.where(table >= 0, table * table.shape[1], -1).astype(np.int32).ravel())  # a state is its row's place
+            self.own.append((column > 0) & (np.arange(self.alphabet.size) > 0))
             bits.append(math.log2(max(2, len(codes))))
         self.weights = np.array(bits) / max(bits) if bits else np.zeros(0)
 
@@ -175,32 +179,44 @@ class Model:
         size = np.minimum(lengths[owner] - nth * LANE, LANE)
         order = np.argsort(-size, kind="stable")
         start, size, owner = start[order], size[order], owner[order]
+        takes = np.zeros((len(sentences), langs), dtype=bool)
         for k in range(langs):
-            column, table = self.columns[k][codes], self.tables[k]
             # a language takes part where most letters are its own
             seen = np.zeros(len(sentences))
-            seen[filled] = np.add.reduceat((column > 0) & (codes > 0), begins, dtype=np.int64)
-            takes = seen >= 0.6 * np.maximum(letters, 1)
-            costs[~takes, k] = np.inf
-            mine = np.flatnonzero(takes[owner])
-            if not len(mine):
-                continue
-            at, n = start[mine], size[mine]
-            state, phrases = np.zeros(len(mine), dtype=np.int32), np.ones(len(mine), dtype=np.int32)
-            active = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), side="right")  # lanes that are longer than the step
-            width, flat, root = table.shape[1], table.ravel(), table[0]
-            for step in range(int(n[0])):
-                a = int(active[step])
-                c = column.take(at[:a] + step)
-                to = flat.take(state[:a] * width + c)
-                failed = np.flatnonzero(to < 0)
-                if len(failed):
-                    phrases[failed] += 1
-                    to[failed] = np.maximum(root.take(c.take(failed)), 0)
-                state[:a] = to
-            np.add.at(costs[:, k], owner[mine], phrases * self.weights[k])
+            seen[filled] = np.add.reduceat(self.own[k][codes], begins, dtype=np.int64)
+            takes[:, k] = seen >= 0.6 * np.maximum(letters, 1)
+            costs[~takes[:, k], k] = np.inf
+        takes = takes[owner]
+        phrases = np.zeros((len(owner), langs), dtype=np.int32)
+        for b in range(0, len(owner), BLOCK):  # few enough lanes that their states stay in the cache
+            n = size[b : b + BLOCK]
+            steps = np.arange(int(n[0]))
+            block = codes[np.minimum(start[b : b + BLOCK] + steps[:, None], len(codes) - 1)]  # a row per step
+            for k in range(langs):
+                mine = np.flatnonzero(takes[b : b + BLOCK, k])
+                if len(mine):
+                    part = block if len(mine) == len(n) else block[:, mine]
+                    phrases[b + mine, k] = self._parse(k, part, n[mine])
+        for k in range(langs):
+            np.add.at(costs[:, k], owner, phrases[:, k] * self.weights[k])
         return costs, letters
 
+    def _parse(self, k: int, block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases of each lane (column of `block`, longest first) in language k."""
+        columns, flat = self.columns[k][block], self.flat[k]
+        active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")  # lanes longer than the step
+        state, phrases = np.zeros(len(sizes), dtype=np.intp), np.ones(len(sizes), dtype=np.int32)
+        for step in range(int(sizes[0])):
+            a = int(active[step])
+            c = columns[step, :a]
+            to = flat.take(state[:a] + c)
+            failed = np.flatnonzero(to < 0)
+            if len(failed):
+                phrases[failed] += 1
+                to[failed] = np.maximum(flat.take(c.take(failed)), 0)
+            state[:a] = to
+        return phrases
+
 
 @lru_cache(4)
 def _model(key: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:

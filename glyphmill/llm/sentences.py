@@ -69,7 +69,8 @@ _WORD = re.compile(r"[¿¡]?([^\W\d_]+)")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_SPACE = re.compile(r"\s+")
 _KANA_HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_NOISY = re.compile(r"[a-zа-яéí],? (?:The|A|An|And|Of|Is|La|El|Los|De|Del|Y|Und|Den|Le|Les|Et|Du|И|В|На|С|E|Do|Da|Que|That|His|Her)\s")
+_CAPITAL_WORD = re.compile(r" (?:The|A|An|And|Of|Is|La|El|Los|De|Del|Y|Und|Den|Le|Les|Et|Du|И|В|На|С|E|Do|Da|Que|That|His|Her)\s")
+_HAS_OPENING = re.compile("[“„«「『（(\\[\"‘']")
 
 _NEVER = {w for x in NEVER_FINAL.values() for w in x.split()}
 _MAYBE = {w for x in MAYBE_FINAL.values() for w in x.split()}
@@ -92,7 +93,10 @@ def is_card(text: str) -> bool:
 
 def _spans(block: str) -> list[tuple[int, int]]:
     """Outermost quotations and brackets (start, end) of a block; one that isn't closed is none."""
-    out, at = [], 0
+    out: list[tuple[int, int]] = []
+    at = 0
+    if not _HAS_OPENING.search(block):
+        return out
     while m := _OPENING.search(block, at):
         start, mark = m.start(), m.group()
         end = _closing(block, start, mark)
@@ -308,7 +312,7 @@ def units(text: str) -> Iterator[tuple[int, int]]:
     if is_card(text):
         pieces: list[tuple[int, int]] = [m.span() for m in _LINE.finditer(text)]
     else:
-        noisy = 2 if text.isupper() or text.islower() else 1 if _NOISY.search(text) else 0
+        noisy = 2 if text.isupper() or text.islower() else int(_random_capitals(text))
         pieces, at = [], 0
         for m in _BLANK.finditer(text):
             if m.start() > at:
@@ -323,6 +327,15 @@ def units(text: str) -> Iterator[tuple[int, int]]:
             yield a, a + len(left.rstrip(_AROUND))
 
 
+def _random_capitals(text: str) -> bool:
+    """Whether words that are usually small have a capital inside a sentence."""
+    for m in _CAPITAL_WORD.finditer(text):
+        before = text[max(0, m.start() - 2) : m.start()].rstrip(",")
+        if before[-1:].islower():
+            return True
+    return False
+
+
 def _add(pieces: list[tuple[int, int]], block: str, at: int, noisy: int) -> None:
     start = 0
     for end in _block_cuts(block, noisy):
