@@ -131,9 +131,11 @@ def html_text(html: Column) -> Column:
 
 def ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams in small letters; white space counts as one blank."""
-    t = F.lower(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
-
-    def of(n: int) -> Column:
-        return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    chars = matches(F.lower(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")), "(?s).")
+    # each longer gram is the shorter one and the character behind it, so the work grows with the text only
+    grams, runs = chars, []
+    for n in range(2, high + 1):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(n), F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+        if n >= low:
+            runs.append(grams)
+    return F.filter(F.concat(*runs), lambda x: x.isNotNull())
