@@ -57,16 +57,18 @@ def sentences(text: Column) -> Column:
     A sentence ends with any of `.!?`; white space is collapsed; starts are offsets of the raw match. A text without such
     a sentence is one sentence if it isn't blank.
     """
+    # starts are zipped to the pieces, as an expression inside a lambda would be computed for each element
     paras = paragraphs(text)
     starts = F.aggregate(paras, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    zipped = F.transform(paras, lambda p, i: F.struct(p.alias("p"), F.get(starts, i).alias("s")))
+    zipped = F.filter(F.arrays_zip(paras.alias("p"), starts.alias("s")), lambda x: x["p"].isNotNull())
 
     def of(para: Column) -> Column:
         found = matches(para["p"], r"[^.!?]+(?:[.!?]+|$)")
         lead = F.length(F.regexp_extract(para["p"], r"^[.!?]*", 0))
         begins = F.aggregate(found, F.array(lead), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(m))))
         length = F.greatest(F.length(python_strip(para["p"])), F.lit(1))
-        return F.transform(found, lambda m, i: F.struct(collapsed(m).alias("text"), (para["s"] + F.get(begins, i)).alias("doc_start"), F.get(begins, i).alias("para_start"), length.alias("para_length")))
+        each = F.filter(F.arrays_zip(found.alias("m"), begins.alias("b"), F.array_repeat(length, F.size(found)).alias("n")), lambda x: x["m"].isNotNull())
+        return F.transform(each, lambda x: F.struct(collapsed(x["m"]).alias("text"), (para["s"] + x["b"]).alias("doc_start"), x["b"].alias("para_start"), x["n"].alias("para_length")))
 
     long = F.filter(F.flatten(F.transform(zipped, of)), lambda x: F.length(x["text"]) >= 20)
     whole = F.array(F.struct(python_strip(text).alias("text"), F.lit(0).alias("doc_start"), F.lit(0).alias("para_start"), F.greatest(F.length(text), F.lit(1)).alias("para_length")))
