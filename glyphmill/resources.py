@@ -125,7 +125,7 @@ COMMANDS = Table(
 )
 
 FILE_EVENTS = Table(
-    "event_no bigint, path string, kind string, dest_path string, at double, size bigint, mtime bigint",
+    "event_no bigint, path string, kind string, dest_path string, seen_at double, size bigint, mtime bigint",
     (
         (1, "a.txt", "created", None, 0.0, 10, 100), (2, "a.txt", "modified", None, 0.4, 20, 101), (3, "a.txt", "modified", None, 0.9, 30, 102), (4, "a.txt", "modified", None, 1.0, 30, 102), (5, "b.txt", "created", None, 1.1, 5, 90), (6, "b.txt", "moved", "c.txt", 2.5, 5, 90), (7, "a.txt", "modified", None, 1.9, 31, 103), (8, "a.txt", "deleted", None, 2.6, None, None), (9, "d.pdf", "created", None, 3.0, 7, 80), (10, "d.pdf", "modified", None, 3.2, 7, 80),
     ),
