@@ -202,7 +202,7 @@ class Model:
         return costs, letters
 
     def _parse(self, k: int, block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane (column of `block`, longest first) in language k."""
+        """Phrases of each lane (column of `block`, longest first) in language k; an unknown letter is read with the phrase behind it."""
         columns, flat = self.columns[k][block], self.flat[k]
         active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")  # lanes longer than the step
         state, phrases = np.zeros(len(sizes), dtype=np.intp), np.ones(len(sizes), dtype=np.int32)

@@ -33,7 +33,7 @@ def suffix_order(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     rank, reach = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
     n = len(ids)
     while True:
-        if reach >= depth:
+        if reach >= min(depth, n):
             return np.argsort(rank, kind="stable"), rank  # ties are equal to that depth
         behind = np.full(n, -1, dtype=np.int64)
         behind[: n - reach] = rank[reach:]

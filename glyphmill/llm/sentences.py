@@ -235,7 +235,7 @@ def _costs(block: str, mark: str, start: int, end: int, quoted: bool, noisy: int
             return (0.5, 1.5) if low in OPENERS else _JOIN
         if key in ("st",):
             ahead = block[max(0, start - 40) : start - 2]
-            return _CUT if re.search(r"\d+\s?[A-Za-z]?\s+[^\W\d_]+\s*$", ahead) else _JOIN
+            return _CUT if re.search(r"\d+[A-Za-z]?\s+[A-ZÀ-Þ][^\W\d_]+\s*$", ahead) else _JOIN
         if key in ("г", "гг", "в", "вв"):
             return _CUT if re.search(r"\d[\s​�☀-➿\U0001f300-\U0001faff]*$", block[max(0, start - 9) : start - len(before)]) else _JOIN
         return _CUT
