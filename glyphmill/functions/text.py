@@ -44,7 +44,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}\x{85}\x0B\x1C-\x1F]+", " "))
 
 
 def python_strip(text: Column) -> Column:

@@ -153,7 +153,7 @@ QUERIES = {q.__name__: q for q in _ALL} | {"summarize": summarize_}
 _S = R.sql_list(STOP)
 _TERMS = f"tt as materialized (select doc_id, term from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where lang = 'en' and text is not null) where length(term) > 2 and term not in {_S})"
 _TW = "tf as materialized (select doc_id, term, count(*) as tf from tt group by all), df as (select term, count(*) as df from tf group by term), nd as (select count(*) as n from documents where lang = 'en' and text is not null), tw as materialized (select doc_id, term, tf, 0.5 * (1 + tf / max(tf) over (partition by doc_id)) * ln(n / df) as weight from tf join df using (term), nd)"
-_WS = "[ \\t\\n\\x0B\\f\\r]"
+_WS = "[\\s\\p{Z}\\x{85}\\x0B\\x1C-\\x1F]"
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g')"
 
 
