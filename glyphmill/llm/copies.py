@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+import unicodedata
+
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.arrow import flat_map
 from glyphmill.llm.components import components
-from glyphmill.llm.forms import is_card, letters_digits, lines, nfc
+from glyphmill.llm.sentences import is_card
 from glyphmill.plans.lineage import cut
 from glyphmill.plans.skew import split_join
 
 
-def canonical(text: Column) -> Column:
-    """`text` apart from how it is written down; null if it has no letter or digit.
+_DROPPED = re.compile(r"[\W_]+")
+_BREAKS = re.compile(r"\r\n|\r|\n")
+_DIGEST = re.compile(r"(?:sha[23]?(?:1|224|256|384|512)|md5|blake(?:2[bs]?|3)|xxh(?:32|64|128))")
+
+
+def _letters_digits(text: str) -> str:
+    return _DROPPED.sub("", text).casefold()
+
+
+def canonical(text: str) -> str:
+    """`text` apart from how it is written down; empty if it has no letter or digit.
 
-    Case, white space and punctuation are dropped; the lines of a catalogue card are sorted.
+    Characters are composed (NFC); case, white space and punctuation are dropped; the lines of a catalogue card are sorted.
     """
-    t = nfc(text)
-    card = F.array_join(F.sort_array(F.transform(lines(t), letters_digits)), "\n")
-    plain = letters_digits(t)
-    return F.when(plain == "", None).when(is_card(t), F.concat(F.lit("card\n"), card)).otherwise(plain)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    if is_card(text):
+        return "card\n" + "\n".join(sorted(_letters_digits(x) for x in _BREAKS.split(text) if not x.isspace() and x))
+    return _letters_digits(text)
 
 
-def canonical_hash(file_hash: Column) -> Column:
-    """A hash without case, white space, punctuation and a digest name in front; null if nothing is left."""
-    return F.nullif(F.regexp_replace(letters_digits(file_hash), r"^(?:SHA[23]?(?:1|224|256|384|512)|MD5|BLAKE(?:2[BS]?|3)|XXH(?:32|64|128))", ""), F.lit(""))
+def canonical_hash(file_hash: str | None) -> str | None:
+    """A hash without case, white space, punctuation and a digest name in front; None if nothing is left."""
+    x = _letters_digits(file_hash or "")
+    m = _DIGEST.match(x)
+    return (x[m.end() :] if m else x) or None
+
+
+def _key(form: str) -> str:
+    data = form.encode("utf-8", "surrogatepass")
+    return f"{hashlib.md5(data, usedforsecurity=False).hexdigest()}-{xxhash.xxh64_hexdigest(data)}-{len(form)}"
 
 
 def copies(docs: DataFrame, doc_id: str, text: str, file_hash: str) -> DataFrame:
@@ -36,9 +59,18 @@ def copies(docs: DataFrame, doc_id: str, text: str, file_hash: str) -> DataFrame
     64 bits and the length stand beside it in every grouping, so that a collision parts the texts instead of merging
     them. Counts are combined on the map side; a group of any size is only ever a key with one minimum.
     """
-    form = canonical(F.col(text))
-    base = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).isNull().alias("no_text"), canonical_hash(F.col(file_hash)).alias("hk"), form.alias("form"))
-    keyed = cut(base.select("doc_id", "no_text", "hk", F.when(F.col("form").isNotNull(), F.concat_ws("-", F.md5("form"), F.hex(F.xxhash64("form")), F.length("form"))).alias("tk")).filter(F.col("tk").isNotNull() | (F.col("no_text") & F.col("hk").isNotNull())))
+
+    def make():
+        def rows(ids, texts, hashes):
+            for i, t, h in zip(ids, texts, hashes, strict=True):
+                form, hk = (None if t is None else canonical(t)), canonical_hash(h)
+                if form or (form is None and hk):
+                    yield i, form is None, hk, _key(form) if form else None
+
+        return rows
+
+    chosen = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text), F.col(file_hash))
+    keyed = cut(flat_map(chosen, "doc_id bigint, no_text boolean, hk string, tk string", make))
 
     # one row per text and per hash; both are named by their smallest document
     own = keyed.select("doc_id", F.when(F.col("no_text"), F.concat(F.lit("h"), "hk")).otherwise(F.col("tk")).alias("key"))

@@ -1,4 +1,4 @@
-"""Canonical forms of texts and terms, as columns."""
+"""Canonical forms of terms, as columns."""
 
 from __future__ import annotations
 
@@ -29,22 +29,3 @@ def nfc(c: Column) -> Column:
 def stripped(c: Column) -> Column:
     """`c` without white space at its ends."""
     return F.regexp_replace(c, r"^[\p{Z}\s\x1c-\x1f\x85]+|[\p{Z}\s\x1c-\x1f\x85]+$", "")
-
-
-def letters_digits(c: Column) -> Column:
-    """The letters and digits of `c` in order, without regard to case (upper case, so that ß and ss are the same)."""
-    return F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
-
-
-def lines(c: Column) -> Column:
-    """The lines of `c` that aren't blank."""
-    return F.filter(F.split(c, r"\r\n|\r|\n"), lambda x: x.rlike(r"[^\p{Z}\s]"))
-
-
-#: A line of a catalogue card.
-CARD_LINE = r"^[\p{Z}\s]*[\p{L}\p{N}][^:：]{0,40}[:：][\p{Z}\s]*\S"
-
-
-def is_card(c: Column) -> Column:
-    """Whether `c` is a catalogue card: three or more lines that aren't blank, all of the form `Key: value`."""
-    return c.rlike("[:：]") & c.rlike("[\r\n]") & (F.size(lines(c)) >= 3) & F.forall(lines(c), lambda x: x.rlike(CARD_LINE))
