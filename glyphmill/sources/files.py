@@ -1,0 +1,82 @@
+"""Text files as tables: folders of documents, training corpora by language, libraries of books."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.functions.text import CONTROL, natural_key
+
+#: Extensions that are read, and their content types.
+CONTENT_TYPES = {"txt": "text/plain", "pdf": "application/pdf", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+MOST_BYTES = 1_000_000
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def content_type(path: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])
+    return F.coalesce(F.element_at(table, extension(path)), F.lit("application/octet-stream"))
+
+
+def decoded(content: Column, strict: bool = True, most: int = MOST_BYTES) -> Column:
+    """struct<text, error>: bytes as UTF-8, or UTF-16 with a byte-order mark; a UTF-8 mark is dropped.
+
+    strict: `empty`, `too_large`, `undecodable` and `control_characters` are errors; else bad bytes are left out.
+    """
+    first = F.hex(F.substring(content, 1, 3))
+    utf16 = first.startswith("FFFE") | first.startswith("FEFF")
+    body = F.when(first == "EFBBBF", F.substring(content, F.lit(4), F.octet_length(content))).otherwise(content)
+    text = F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")))
+    if not strict:
+        return F.struct(F.when(utf16, F.decode(content, "UTF-16")).otherwise(F.replace(F.make_valid_utf8(body.cast("string")), F.lit("�"), F.lit(""))).alias("text"), F.lit(None).cast("string").alias("error"))
+    error = F.when(content.isNull() | (F.octet_length(content) == 0), "empty").when(F.octet_length(content) > most, "too_large").when(text.isNull(), "undecodable").when(text.rlike(CONTROL), "control_characters")
+    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+
+
+def read_documents(spark: SparkSession, folder: str, recursive: bool = True, strict: bool = True) -> DataFrame:
+    """(path, title, extension, size, modified, file_hash, text, error) of the text files of a folder.
+
+    Files whose name begins with a dot or a tilde are left out, as are files of no bytes (Spark gives no row for them).
+    Other kinds than text have the error `unsupported`.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    ext = extension(F.col("path"))
+    d = files.filter(~name.rlike(r"^[.~]")).select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), ext.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_hash"), F.when(ext == "txt", decoded(F.col("content"), strict)).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit("unsupported").alias("error"))).alias("d"))
+    return d.select("path", "title", "extension", "size", "modified", "file_hash", "d.text", "d.error")
+
+
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(lang, path, text) of training texts in one folder per language."""
+    return read_documents(spark, folder, strict=False).filter("text is not null").select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("lang"), "path", "text")
+
+
+def read_library(spark: SparkSession, folder: str) -> DataFrame:
+    """(book, title, author, place, chapter, path) of a library: a folder is a book, its text files are chapters.
+
+    book.json gives title and author; without it the folder's name is `Author - Title`. Chapters are in natural order,
+    their place counts from 1 in a book.
+    """
+    from pyspark.sql.window import Window as W
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    f = files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("book"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content").filter(~F.col("book").rlike(r"^[.~]") & ~F.col("name").rlike(r"^[.~]"))
+    meta = f.filter("name = 'book.json'").select("book", F.from_json(F.decode("content", "UTF-8"), "title string, author string").alias("m")).select("book", F.nullif(F.trim("m.title"), F.lit("")).alias("t"), F.nullif(F.trim("m.author"), F.lit("")).alias("a"))
+    both = F.split("book", " - ", 2)
+    chapters = f.filter(extension(F.col("name")) == "txt").select("book", "path", F.regexp_replace("name", r"\.[^.]*$", "").alias("chapter"))
+    w = W.partitionBy("book").orderBy(natural_key(F.col("chapter")), "chapter")
+    d = chapters.join(meta, "book", "left").withColumn("place", F.row_number().over(w))
+    return d.select("book", F.coalesce("t", F.get(both, F.lit(1)), "book").alias("title"), F.coalesce("a", F.when(F.size(both) > 1, F.get(both, F.lit(0))), F.lit("unknown")).alias("author"), "place", "chapter", "path")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a relative path stays in its folder."""
+    return ~path.rlike(r"(?:^|[/\\])\.\.(?:[/\\]|$)") & ~path.rlike(r"^[/\\]|^[A-Za-z]:") & (path != "")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a text file, for dictionaries."""
+    return spark.read.text(path).withColumnRenamed("value", "line")
