@@ -146,7 +146,9 @@ class Model:
             column[own] = np.arange(1, len(own) + 1)
             self.columns.append(column)
             table = automaton([int(column[c]) for c in codes], len(own) + 1)
-            self.flat.append(np.where(table >= 0, table * table.shape[1], -1).astype(np.int32).ravel())  # a state is its row's place
+            # a state is its row's place; where a phrase ends, the complement of the place where the next one goes on
+            on = np.maximum(table[0], 0) * table.shape[1]
+            self.flat.append(np.where(table >= 0, table * table.shape[1], ~on).astype(np.int32).ravel())
             self.own.append((column > 0) & (np.arange(self.alphabet.size) > 0))
             bits.append(math.log2(max(2, len(codes))))
         self.weights = np.array(bits) / max(bits) if bits else np.zeros(0)
@@ -205,16 +207,13 @@ class Model:
         """Phrases of each lane (column of `block`, longest first) in language k; an unknown letter is read with the phrase behind it."""
         columns, flat = self.columns[k][block], self.flat[k]
         active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")  # lanes longer than the step
-        state, phrases = np.zeros(len(sizes), dtype=np.intp), np.ones(len(sizes), dtype=np.int32)
+        state, phrases = np.zeros(len(sizes), dtype=np.int32), np.ones(len(sizes), dtype=np.int32)
         for step in range(int(sizes[0])):
             a = int(active[step])
-            c = columns[step, :a]
-            to = flat.take(state[:a] + c)
-            failed = np.flatnonzero(to < 0)
-            if len(failed):
-                phrases[failed] += 1
-                to[failed] = np.maximum(flat.take(c.take(failed)), 0)
-            state[:a] = to
+            to = flat.take(state[:a] + columns[step, :a])
+            ends = to >> 31  # -1 where a phrase ends
+            phrases[:a] -= ends
+            np.bitwise_xor(to, ends, out=state[:a])
         return phrases
 
 
