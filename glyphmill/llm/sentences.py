@@ -59,7 +59,7 @@ _SPACELESS = r"฀-๿぀-ヿ㐀-鿿豈-﫿"
 
 _BLANK = re.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:(?:\r?\n|\r)[^\S\r\n]*)*(?:\r?\n|\r)")
 _LINE = re.compile(r"[^\r\n]+")
-_CARD_LINE = re.compile(r"\s*[^\W_][^:：]{0,40}[:：]\s*\S")
+_CARD_LINE = re.compile(r"\s*[^\W_][^:：.!?]{0,30}[:：]\s*\S")
 _WORDLIKE = re.compile(r"[^\W_]")
 _GAP = re.compile(r"[.!?…।؟]+(?=[\s" + re.escape(_CLOSERS) + _SPACELESS + r"“„«‘¿¡(（「『—–,;:]|$)|[。！？]+")
 _OPENING = re.compile(r"[“„«「『（(\[]|(?<![^\W_])[\"‘'](?=[^\W_¿¡])|(?<!\S)[\"‘'](?=\S)")

@@ -156,6 +156,9 @@ NAMES = pii._given(frozenset({"Nell", "Mateo", "Егор"}))
         ("The ferry Nell left Port Harrow. Quillmoor Lane was long. Galdwick & Sons Ltd. and the U.K. Parcel Office.", []),
         ("Ask for Zofia Galdby or call. La Sra. Montalique vive aquí. Mateo Torriique Villoranza responde.", ["name:Zofia Galdby", "name:Montalique", "name:Mateo Torriique Villoranza"]),
         ("Author: GALDBY, NELL\nYear: 1990\nTitle: The Sea", ["name:GALDBY, NELL"]),
+        ("M. Lornley found the museum in her town. Then M. Galdby left the room.", ["name:M. Lornley", "name:M. Galdby"]),
+        ("M. Louvartier oublia ce signal dans la salle. Puis M. Marcelvault traduisit les clés.", ["name:Louvartier", "name:Marcelvault"]),
+        ("R. Witherstead came last. Nell Harrowrod left first.", ["name:R. Witherstead", "name:Nell Harrowrod"]),
         ("Егор Сумракин ждёт. Г-н Лозвятский ушёл.", ["name:Егор Сумракин", "name:Лозвятский"]),
         ("", []),
     ],
