@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, first): of every node of `edges` (a, b), the smallest node it is linked to, directly or not.
+    """(node, first): of every node of `edges` (a, b), the smallest node it is linked to, directly or not, or is itself.
 
     Rounds grow with the logarithm of the number of nodes; each node has at most one row per round. No edges, no rows.
     """
@@ -30,5 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(_star(_star(now, True), False))
         print_ = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if print_ == before:
-            return now.groupBy("a").agg(F.min("b").alias("first")).select(F.col("a").alias("node"), "first")
+            found = now.groupBy("a").agg(F.min("b").alias("first")).select(F.col("a").alias("node"), "first")
+            return found.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("first")).distinct())
         before = print_

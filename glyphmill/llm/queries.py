@@ -130,7 +130,31 @@ with rows as (
   select field_name, term, occurrences, records, case when occurrences <= 2 then 'rare' when records > above then 'common' end as verdict from counts join totals using (field_name)
 )
 """
+_LETTERS = "replace(lower(regexp_replace(nfc_normalize({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')), 'ß', 'ss')"
+_P2 = f"""
+with recursive t as (
+  select doc_id, text, text is null as no_text, nullif(regexp_replace(regexp_replace(lower(coalesce(file_hash, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '^sha256', ''), '') as hk,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]')) as ls from documents
+), c as (
+  select *, len(ls) >= 3 and len(list_filter(ls, lambda x: not regexp_matches(x, '^\\s*[\\p{{L}}\\p{{N}}][^:：.!?]{{0,30}}[:：]\\s*\\S'))) = 0 as card from t
+), k as (
+  select doc_id, no_text, hk, nullif(case when card then 'card ' || array_to_string(list_sort(list_transform(ls, lambda x: {_LETTERS.format("x")})), chr(10)) else {_LETTERS.format("text")} end, '') as form from c
+), keyed as (select doc_id, no_text, hk, coalesce(form, 'hash ' || hk) as key, form from k where form is not null or (no_text and hk is not null)),
+pairs as (select distinct form as a, 'hash ' || hk as b from keyed where form is not null and hk in (select hk from keyed where no_text)),
+e as (select a, b from pairs union select b, a from pairs),
+r as (select a as key, a as other from e union select r.key, e.b from r join e on r.other = e.a),
+g as (select key, min(doc_id) as least from keyed group by key),
+f as (select g.key, min(coalesce(o.least, g.least)) as first_doc_id from g left join r on r.key = g.key left join g o on o.key = r.other group by g.key),
+m as (select distinct doc_id, first_doc_id from keyed join f using (key))
+"""
 SQL = {
     "p3_found": _P3 + "select field_name, term, verdict from judged where verdict is not null",
     "p3_counts": _P3 + "select field_name, term, occurrences, records, verdict from judged",
+    "p2_found": _P2 + "select first_doc_id, doc_id as copy_doc_id from m where doc_id <> first_doc_id",
+    "p2_counts": _P2 + "select first_doc_id, count(*) as n_copies from m group by first_doc_id having count(*) > 1",
+    "p8_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+ i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where text is not null),
+ dw as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from d where len(w) >= 10),
+ iw as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from i where len(w) >= 10)
+ select distinct doc_id, item_id from dw join iw using (g)""",
 }
