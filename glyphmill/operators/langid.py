@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +17,7 @@ from glyphmill.functions import text as T
 WORD = r"[\p{L}\p{N}_]+"
 LETTERS = r"\p{L}+"
 PROFILE_WORD = r"\p{L}{2,}"
+_BLANKS = re.compile(r"[ \t\n\x0B\f\r]+")
 LEAST = 1e-10
 SHORT = 5
 
@@ -93,11 +98,29 @@ def char_windows(docs: DataFrame, doc_id: str, text: str, size: int = 200, step:
     return w.select("doc_id", F.col("start").cast("bigint").alias("start"), chunk.alias("chunk")).filter(F.length(F.regexp_replace("chunk", r"[^\p{L}]", "")) > letters)
 
 
+def top_ngrams(text: str, top: int, low: int = 2, high: int = 4) -> list[tuple[str, int]]:
+    """The most frequent character n-grams of a text in small letters, white space as one blank; ties by n-gram."""
+    t = _BLANKS.sub(" ", text).lower()
+    counts: Counter[str] = Counter()
+    for n in range(low, high + 1):
+        counts.update(map("".join, zip(*(t[k:] for k in range(n)), strict=False)))
+    return heapq.nsmallest(top, counts.items(), key=lambda x: (-x[1], x[0]))
+
+
 def char_ngrams(docs: DataFrame, doc_id: str, text: str, top: int = 100) -> DataFrame:
-    """(doc_id, ngram, n): the most frequent character 2-, 3- and 4-grams of each text; ties by n-gram."""
-    g = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.ngrams(F.col(text))).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("doc_id").orderBy(F.desc("n"), "ngram")
-    return g.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
+    """(doc_id, ngram, n): the most frequent character 2-, 3- and 4-grams of each text.
+
+    A document's n-grams are counted where its row is: as rows they would be three times as many as the characters of
+    the corpus, all to be shuffled. Null and empty texts have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, g, n) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for g, n in top_ngrams(t, top)]
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "ngram", "n"])
+
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, "doc_id bigint, ngram string, n bigint")
 
 
 def train_classifier(docs: DataFrame, lang: str, text: str, languages: Sequence[str], per_language: int = 150, vocabulary: int = 2000, seed: int = 42):
