@@ -72,7 +72,9 @@ def sentences(text: Column) -> Column:
 
     long = F.filter(F.flatten(F.transform(zipped, of)), lambda x: F.length(x["text"]) >= 20)
     whole = F.array(F.struct(python_strip(text).alias("text"), F.lit(0).alias("doc_start"), F.lit(0).alias("para_start"), F.greatest(F.length(text), F.lit(1)).alias("para_length")))
-    return F.when(F.size(long) > 0, long).when(python_strip(text) != "", whole)
+    # the first of both that isn't empty; the expressions stand once each, so they are computed once
+    either = F.array(long, F.filter(whole, lambda x: x["text"] != ""))
+    return F.get(F.filter(either, lambda x: F.size(x) > 0), F.lit(0))
 
 
 def clean(text: Column) -> Column:
