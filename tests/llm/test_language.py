@@ -167,6 +167,25 @@ def test_personal_information(text, want):
     assert [f"{k}:{text[a:b]}" for k, a, b in pii.find(text, NAMES)] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("020 7946 0958\n020 7946 0999", ["phone:020 7946 0958", "phone:020 7946 0999"]),
+        ("+44 20 7946 0958 / +44 20 7946 0959", ["phone:+44 20 7946 0958", "phone:+44 20 7946 0959"]),
+        ("ID 911 25 2392 020 7946 0999", ["idno:911 25 2392", "phone:020 7946 0999"]),
+        ("+44 20 7946 0958 020 7946 0999", ["phone:+44 20 7946 0958", "phone:020 7946 0999"]),
+        ("0034-555537161 0034-555537162", ["phone:0034-555537161", "phone:0034-555537162"]),
+        ("+1 802 555 0165 (914) 555-0187", ["phone:+1 802 555 0165", "phone:(914) 555-0187"]),
+        ("+33 1 99 00 88 61 01 99 00 88 62", ["phone:+33 1 99 00 88 61", "phone:01 99 00 88 62"]),
+        ("+44 20 7946 0958 12.5.2057", ["phone:+44 20 7946 0958"]),
+        ("+44 20 7946 0958\n+44 20 7946 0959\n+44 20 7946 0957", ["phone:+44 20 7946 0958", "phone:+44 20 7946 0959", "phone:+44 20 7946 0957"]),
+    ],
+)
+def test_every_number_of_a_cluster(text, want):
+    assert [f"{k}:{text[a:b]}" for k, a, b in pii.find(text, NAMES)] == want
+    assert not any(c.isdigit() for c in pii.redact(text, NAMES)) or "12.5.2057" in text
+
+
 def test_checksums():
     assert pii._dni("12345678Z") and not pii._dni("12345678A")
     assert pii.luhn("4539 1488 0343 6467") and not pii.luhn("4539 1488 0343 6468")
