@@ -3,8 +3,10 @@
 A text falls into blocks at blank lines. In a block, quotations and brackets are closed spans, and every terminator
 outside of them, or closing one, is a gap. Spaced scripts: a gap gets a cost for cutting and one for going on, from the
 word before (abbreviations, initials, ordinals) and the words behind (case, reporting verbs, continuing words), and the
-cheapest path through the block's gaps is taken. Spaceless scripts: the text around a gap is cut into words by the
-cheapest path through a lattice of dictionary words, and the word before and behind decide.
+cheapest path through the block's gaps is taken. Chinese and Japanese: the text around a gap is cut into words by the
+cheapest path through a lattice of dictionary words. Behind a quotation the words behind decide, at any other gap the
+word before (final, or leaving its clause open) and the words behind (opening, going on). Thai parts its sentences by
+white space, without a lattice.
 """
 
 from __future__ import annotations
@@ -50,6 +52,15 @@ GERMAN_MONTHS = set("januar februar märz april mai juni juli august september o
 FINAL_WORDS = "か よ ね な ぞ さ わ だ た です ます でした ました だった だろう でしょう のだ のだろうか そうだ ない ません 了 吗 呢 吧 啊 呀 的 过 着".split()
 GOING_ON = "と って という といって との は が を に の も へ で や から まで より など 、 ， ； ： と言った と聞いた とか だ です である 的 地 得 是 成了 成为".split()
 OPENING = "とても とにかく ところが ところで とうとう ときどき そして しかし なぜ その この あの それ これ 彼 彼女 私 でも だから だが では もし もう まだ 冬 朝 夜 古い 若い 隣 日曜日 はい が然 为什么 但是 而且 所以 因为 如果 据说 这 那 他 她 我们 他们 老师 谁 每个 整个 在".split()
+# Beside them at gaps outside quotations: words that begin like a word going on, greetings, words that leave a clause open.
+MORE_OPENING = (
+    "とりあえず とんでもない どうして もちろん もっと もしもし もともと はっきり はじめ はやく はたして はは にっこり にわかに にぎやか のんびり のろのろ がっかり がんばれ がんばって へえ へん"
+    " やはり やっぱり やっと やがて やめろ やめて やあ できる できた できない でかい それでは からだ よりによって なぜなら なるほど だめ だって だれ だんだん どこ だいたい 的确 的士"
+).split()
+GREETINGS = "こんにちは こんばんは".split()
+LEFT_OPEN = "は を へ その この あの 彼 彼女 私 そして しかし でも だから だが なぜ もし 但是 而且 所以 因为 如果 这 那 他 她 我 你 我们 他们".split()
+MAY_LEAVE_OPEN = "が に の も と や で から まで より 的 在".split()
+QUOTED_JA = "と って という といって との と言った と聞いた とおもった とおもう とか".split()
 REPORTING_CJK = "说 说道 问 问道 喊 喊道 答 答道 叫道 想 成了 成为".split()
 
 TERMINATORS = ".!?…।؟。！？"
@@ -153,10 +164,43 @@ _LATTICE = Lattice({*FINAL_WORDS, *GOING_ON, *OPENING, *REPORTING_CJK})
 _GOING, _REPORT, _FINAL = set(GOING_ON), set(REPORTING_CJK), set(FINAL_WORDS)
 
 
-def _spaceless_cut(block: str, end: int, span: tuple[int, int] | None) -> bool:
+_OPEN_LATTICE = Lattice({*FINAL_WORDS, *GOING_ON, *OPENING, *REPORTING_CJK, *MORE_OPENING, *GREETINGS, *LEFT_OPEN, *MAY_LEAVE_OPEN, *QUOTED_JA})
+_QUOTED, _OPENS, _LEFT, _MAY_LEAVE = set(QUOTED_JA), {*OPENING, *MORE_OPENING}, set(LEFT_OPEN), set(MAY_LEAVE_OPEN)
+_ALWAYS_GOING = set("的 成了 成为 问道 说道 答道 叫道 喊道".split())
+_SAYING = re.compile("[言思聞訊尋答叫呟考感云問]|いう|いった|おもう|おもった|つぶや|ささや|さけ")
+
+
+def _free_cut(block: str, mark: str, start: int, end: int) -> bool:
+    """Whether a sentence ends at a gap outside of quotations in a spaceless script, by the words on both of its sides."""
+    behind = block[end : end + 24].lstrip()
+    if not behind:
+        return True
+    if behind[0] in "，、,；;：:":
+        return False
+    words = _OPEN_LATTICE.words_of(behind[:16])
+    before = (_OPEN_LATTICE.words_of(block[max(0, start - 16) : start].split("\n")[-1].rstrip()) or [""])[-1]
+    word, rest = words[0], behind[len(words[0]) :]
+    going = word in _GOING or word in _QUOTED
+    if going and len(words) > 1 and words[1] not in _OPEN_LATTICE.words and re.match("[ぁ-ゖ]", word) and re.match("[ぁ-ゖ]", words[1]):
+        going = False  # the beginning of a longer word
+    if going and word in _QUOTED:
+        return (mark in ("。", ".") or rest[:1] in ("、", "，", ",")) and not _SAYING.search(re.split("[。！？!?…]", block[end : end + 40].lstrip(), maxsplit=1)[0])
+    if mark in ("。", "."):
+        return True  # only a quotation's particle goes on behind a full stop
+    if word in _ALWAYS_GOING:
+        return not rest.strip() or rest[0] in TERMINATORS
+    ends = before in _FINAL or before in GREETINGS
+    if re.fullmatch(r"[.…]+", mark):
+        if before in _LEFT or (before in _MAY_LEAVE and word not in _OPENS):
+            return False
+        return not going or ends
+    return not going or ends or not re.match(r"[぀-ヿ]", word)
+
+
+def _spaceless_cut(block: str, mark: str, start: int, end: int, span: tuple[int, int] | None) -> bool:
     """Whether a sentence ends at `end` in a spaceless script; span: the quotation that closes there."""
     if span is None:
-        return True
+        return _free_cut(block, mark, start, end)
     behind = block[end : end + 24].lstrip()
     if not behind:
         return True
@@ -284,8 +328,8 @@ def _block_cuts(block: str, noisy: int) -> list[int]:
                 end += 1
         at = end
         free = m.group()[-1] in "。！？"
-        spaceless = free or (span is not None and _KANA_HAN.match(block, _NEXT.match(block, end).end()) and _KANA_HAN.match(block, max(0, start - 1)))
-        costs = (_CUT if _spaceless_cut(block, end, span) else _JOIN) if spaceless else _costs(block, m.group(), start, end, span is not None or end > m.end(), noisy)
+        spaceless = free or (_KANA_HAN.match(block, _NEXT.match(block, end).end()) and _KANA_HAN.match(block, max(0, start - 1)))
+        costs = (_CUT if _spaceless_cut(block, m.group(), start, end, span) else _JOIN) if spaceless else _costs(block, m.group(), start, end, span is not None or end > m.end(), noisy)
         gaps.append((end, costs))
         sure &= costs is _CUT or costs is _JOIN
     if thai:

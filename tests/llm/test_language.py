@@ -36,6 +36,22 @@ def test_units(units):
     assert split("﻿  " + space.join(units) + " \n") == units
 
 
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["何だ？と彼は思った。", "もう帰ろう！", "もちろん行く。"],
+        ["彼は……知らなかった。", "行くよ……", "そして夜が来た。"],
+        ["誰だ！？と叫んだ。", "行こう。と彼は言った。", "そうだね。", "と、その時扉が開いた。"],
+        ["何だ?と彼は思った。", "にっこり笑った！", "とんでもない。", "のんびりしよう！", "はっきり言え。"],
+        ["Yahoo！の株を買った。", "そうですか？", "はい。"],
+        ["他……不知道。", "真的吗？", "的确如此！", "我们走。", "谁来了？的问题很难。"],
+        ["夜は長い……", "朝が来た。"],
+    ],
+)
+def test_words_on_both_sides_of_a_gap(units):
+    assert split("".join(units)) == units
+
+
 def test_blocks_cards_and_thai():
     assert split("Chapter 3\n\nOne line\nand another.\n \nLast") == ["Chapter 3", "One line\nand another.", "Last"]
     assert split("Title: A b. C\nYear: 1990\n\nNote: x") == ["Title: A b. C", "Year: 1990", "Note: x"]
