@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
@@ -24,8 +25,12 @@ from glyphmill.llm.sentences import is_card, units
 TRAIN_DOCS, TRAIN_CHARS = 160, 14_000
 #: Phrases that a change of language costs.
 CHANGE = 4.0
-#: Cells of a language's automaton; scripts with very many characters get less training text.
-CELLS = 3_000_000
+#: Cells of a language's automaton as a table; with more, for scripts with very many characters, only its transitions are stored.
+CELLS = 12_000_000
+#: Share of a language's training letters from which their script is one of the language's.
+OF_SCRIPT = 0.05
+#: Code points that letters are looked for in.
+POINTS = 0x32400
 #: A lane of the vectorised parse holds at most so many characters; longer sentences take several lanes.
 LANE = 256
 #: Lanes that are parsed at once.
@@ -66,7 +71,7 @@ class Alphabet:
     """Characters of the training texts as small numbers; 0 is a stretch without letters, 1 any other letter."""
 
     def __init__(self, letters: Iterable[str]):
-        self.table = np.zeros(0x11000, dtype=np.int16)
+        self.table = np.zeros(POINTS, dtype=np.int16)
         for c in _all_letters():
             self.table[c] = 1
         self.size = 3  # 2 parts training sentences
@@ -82,13 +87,27 @@ class Alphabet:
 
 @lru_cache(1)
 def _all_letters() -> tuple[int, ...]:
-    import unicodedata
+    return tuple(k for k in range(POINTS) if unicodedata.category(chr(k))[0] in "LM")
 
-    return tuple(k for k in range(0x11000) if unicodedata.category(chr(k))[0] in "LM")
+
+@lru_cache(200_000)
+def _script(letter: str) -> str:
+    """The first word of a letter's name, which is its script; empty for other characters."""
+    return unicodedata.name(letter, "").split(" ")[0] if unicodedata.category(letter)[0] in "LM" else ""
 
 
 def automaton(codes: Sequence[int], alphabet: int) -> np.ndarray:
     """Transitions of the suffix automaton of `codes`: a row per state, -1 where there is none."""
+    following = _transitions(codes)
+    table = np.full((len(following), alphabet), -1, dtype=np.int32)
+    for s, f in enumerate(following):
+        for c, t in f.items():
+            table[s, c] = t
+    table[:, 0] = -1
+    return table
+
+
+def _transitions(codes: Sequence[int]) -> list[dict[int, int]]:
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -114,12 +133,7 @@ def automaton(codes: Sequence[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = clone
         last = now
-    table = np.full((len(following), alphabet), -1, dtype=np.int32)
-    for s, f in enumerate(following):
-        for c, t in f.items():
-            table[s, c] = t
-    table[:, 0] = -1
-    return table
+    return following
 
 
 def _squeezed(codes: np.ndarray) -> np.ndarray:
@@ -127,28 +141,55 @@ def _squeezed(codes: np.ndarray) -> np.ndarray:
     return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])] if len(codes) else codes
 
 
+class _Sparse:
+    """Transitions in order of state and letter, for tables that would be mostly empty."""
+
+    def __init__(self, keys: np.ndarray, places: np.ndarray, on: np.ndarray):
+        self.keys, self.places, self.on = keys, places, on
+
+    def follow(self, states: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        wanted = (states + columns).astype(np.int32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.places[at], ~self.on[columns])
+
+
+def _sparse(following: list[dict[int, int]], width: int) -> _Sparse:
+    if len(following) * width >= 2**31:
+        raise ValueError("too much training text for so many letters")
+    found = sorted((s * width + c, t * width) for s, f in enumerate(following) for c, t in f.items() if c)
+    keys, places = np.array(found, dtype=np.int32).reshape(-1, 2).T
+    on = np.zeros(width, dtype=np.int32)
+    for c, t in following[0].items():
+        on[c] = t * width if c else 0
+    return _Sparse(np.ascontiguousarray(keys), np.ascontiguousarray(places), on)
+
+
 class Model:
     """Automata by language. Each has its own letters as columns; column 0 is anything else and has no transition."""
 
     def __init__(self, texts: dict[str, list[str]], cells: int = CELLS):
         self.languages = sorted(texts)
         self.alphabet = Alphabet(c for t in texts.values() for s in t for c in s.lower())
-        self.flat, self.columns, self.own, bits = [], [], [], []
+        self.flat, self.columns, self.own, self.scripts, bits = [], [], [], [], []
         for lang in self.languages:
-            letters = np.unique(np.concatenate([[0], *[self.alphabet.codes(s) for s in texts[lang]]]))
             codes: list[int] = []
             for s in texts[lang]:
-                if len(codes) * 2 * len(letters) > cells:
-                    break
                 codes += _squeezed(self.alphabet.codes(s)).tolist() + [2]
             own = [c for c in np.unique(codes).tolist() if c not in (1, 2)]
             column = np.zeros(self.alphabet.size, dtype=np.intp)
             column[own] = np.arange(1, len(own) + 1)
             self.columns.append(column)
-            table = automaton([int(column[c]) for c in codes], len(own) + 1)
+            columns, width = [int(column[c]) for c in codes], len(own) + 1
             # a state is its row's place; where a phrase ends, the complement of the place where the next one goes on
-            on = np.maximum(table[0], 0) * table.shape[1]
-            self.flat.append(np.where(table >= 0, table * table.shape[1], ~on).astype(np.int32).ravel())
+            if len(codes) * 2 * width > cells:
+                self.flat.append(_sparse(_transitions(columns), width))
+            else:
+                table = automaton(columns, width)
+                on = np.maximum(table[0], 0) * width
+                self.flat.append(np.where(table >= 0, table * width, ~on).astype(np.int32).ravel())
+            found = Counter(_script(c) for s in texts[lang] for c in s.lower())
+            del found[""]
+            self.scripts.append(frozenset(x for x, n in found.items() if n >= OF_SCRIPT * found.total()))
             self.own.append((column > 0) & (np.arange(self.alphabet.size) > 0))
             bits.append(math.log2(max(2, len(codes))))
         self.weights = np.array(bits) / max(bits) if bits else np.zeros(0)
@@ -165,12 +206,26 @@ class Model:
 
     def read(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(cost in phrases by language, letters) of each sentence; languages of another script cost infinitely much."""
+        return self._read(sentences, False)[:2]
+
+    def _by_script(self, sentence: str) -> np.ndarray:
+        """Which languages have most of a sentence's letters in their scripts; none where no letter is in a script of theirs."""
+        found = Counter(map(_script, sentence.lower()))
+        del found[""]
+        counts = np.array([sum(n for x, n in found.items() if x in scripts) for scripts in self.scripts])
+        return (counts == counts.max()) & (counts > 0)
+
+    def _read(self, sentences: Sequence[str], fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `read`, and the share of known letters of each sentence that no language takes, 1 of the others.
+
+        With `fallback` such a sentence is read by the languages of its script, unknown letters as phrases.
+        """
         langs = len(self.languages)
         codes, lengths = self.codes_of(sentences)
-        costs, letters = np.zeros((len(sentences), langs)), np.zeros(len(sentences))
+        costs, letters, known = np.zeros((len(sentences), langs)), np.zeros(len(sentences)), np.ones(len(sentences))
         filled = np.flatnonzero(lengths)
         if not len(filled):
-            return costs, letters
+            return costs, letters, known
         begins = (np.cumsum(lengths) - lengths)[filled]
         letters[filled] = np.add.reduceat(codes > 0, begins, dtype=np.int64)
         # long sentences take several lanes
@@ -181,13 +236,16 @@ class Model:
         size = np.minimum(lengths[owner] - nth * LANE, LANE)
         order = np.argsort(-size, kind="stable")
         start, size, owner = start[order], size[order], owner[order]
-        takes = np.zeros((len(sentences), langs), dtype=bool)
+        seen = np.zeros((len(sentences), langs))
         for k in range(langs):
-            # a language takes part where most letters are its own
-            seen = np.zeros(len(sentences))
-            seen[filled] = np.add.reduceat(self.own[k][codes], begins, dtype=np.int64)
-            takes[:, k] = seen >= 0.6 * np.maximum(letters, 1)
-            costs[~takes[:, k], k] = np.inf
+            seen[filled, k] = np.add.reduceat(self.own[k][codes], begins, dtype=np.int64)
+        takes = seen >= 0.6 * np.maximum(letters, 1)[:, None]  # a language takes part where most letters are its own
+        if fallback and langs:
+            for i in np.flatnonzero(~takes.any(axis=1) & (letters > 0)):
+                takes[i] = self._by_script(sentences[i])
+                costs[i] = letters[i] - seen[i]
+                known[i] = seen[i].max() / letters[i]
+        costs[~takes] = np.inf
         takes = takes[owner]
         phrases = np.zeros((len(owner), langs), dtype=np.int32)
         for b in range(0, len(owner), BLOCK):  # few enough lanes that their states stay in the cache
@@ -201,16 +259,17 @@ class Model:
                     phrases[b + mine, k] = self._parse(k, part, n[mine])
         for k in range(langs):
             np.add.at(costs[:, k], owner, phrases[:, k] * self.weights[k])
-        return costs, letters
+        return costs, letters, known
 
     def _parse(self, k: int, block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases of each lane (column of `block`, longest first) in language k; an unknown letter is read with the phrase behind it."""
         columns, flat = self.columns[k][block], self.flat[k]
+        dense = isinstance(flat, np.ndarray)
         active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")  # lanes longer than the step
         state, phrases = np.zeros(len(sizes), dtype=np.int32), np.ones(len(sizes), dtype=np.int32)
         for step in range(int(sizes[0])):
             a = int(active[step])
-            to = flat.take(state[:a] + columns[step, :a])
+            to = flat.take(state[:a] + columns[step, :a]) if dense else flat.follow(state[:a], columns[step, :a])
             ends = to >> 31  # -1 where a phrase ends
             phrases[:a] -= ends
             np.bitwise_xor(to, ends, out=state[:a])
@@ -302,11 +361,11 @@ def segments(texts: Sequence[str], model: Model) -> list[list[tuple[int, int, st
     for i, t in enumerate(texts):
         if t:
             pieces += [(i, a, b) for a, b in ([(0, len(t))] if is_card(t) else units(t))]
-    costs, letters = model.read([texts[i][a:b] for i, a, b in pieces])
+    costs, letters, known = model._read([texts[i][a:b] for i, a, b in pieces], True)
     finite = np.isfinite(costs)
     hopeless = ~finite.any(axis=1)
     costs = np.where(finite, costs, np.where(finite, costs, 0).max(axis=1, keepdims=True) + np.maximum(letters, 1)[:, None] * 0.7 + 3)
-    costs[hopeless | (letters < 3)] = 0
+    costs[hopeless | ((letters < 3) & (known == 1))] = 0
     out: list[list[tuple[int, int, str, float, int, int]]] = [[] for _ in texts]
     k = 0
     while k < len(pieces):
@@ -326,6 +385,7 @@ def segments(texts: Sequence[str], model: Model) -> list[list[tuple[int, int, st
                     others = np.delete(part, lang)
                     rest = float(others.min()) if len(others) else part[lang] * 2
                     confidence = max(0.0, min(1.0, 1 - part[lang] / rest)) if rest > 0 else 0.0
+                    confidence *= float((known * letters)[first : j + 1].sum() / max(1.0, letters[first : j + 1].sum()))
                     out[pieces[k][0]].append((pieces[first][1], pieces[j][2], model.languages[lang], round(confidence, 4), j + 1 - first, int(letters[first : j + 1].sum())))
                     first = j + 1
         k = e
@@ -335,7 +395,9 @@ def segments(texts: Sequence[str], model: Model) -> list[list[tuple[int, int, st
 def passages(docs: DataFrame, doc_id: str, text: str, training: tuple[tuple[str, tuple[str, ...]], ...], carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, carry..., seg_start, seg_end, language, confidence, sentences, letters): passages of one language each.
 
-    A text without letters has no passage and gives no row, nor does a null text. `carry` names string columns that
+    A text without letters, such as one of digits only, is in no language: it has no passage and gives no row, nor does a
+    null text, nor one in a script that no labelled text has. Text that no language takes, as most of its letters stand in
+    no training text, goes to the nearest language of its script with low confidence. `carry` names string columns that
     come along. A document that stands in several rows gives its passages once per row.
     """
     sent = docs.sparkSession.sparkContext.broadcast(training)

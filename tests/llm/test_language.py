@@ -141,6 +141,29 @@ def test_languages_mixed_texts_and_nothing():
     assert languages.path(np.array([[0, 3.0], [2.0, 0], [0, 3.0]]), 4.0) == [0, 0, 0]
 
 
+def test_rare_letters_keep_their_document(spark):
+    model = languages._model(languages.train(SAMPLE))
+    rare = ["鱷鯨鷗鸚鵡翱翔。", "ヌルヌルのウナギはペペロンチーノ。", "Њћђџ љњћ.", "𠀀𠀁𠀂𠀃𠀄"]
+    got = languages.segments([*rare, "ಕನ್ನಡ", "123 456"], model)
+    assert [[x[2] for x in g] for g in got[1:3]] == [["ja"], ["ru"]] and got[4:] == [[], []]
+    assert all(len(got[k]) == 1 and got[k][0][2] in ("zh", "ja") for k in (0, 3)) and all(0 <= g[0][3] < 0.6 for g in got[:4])
+    d = spark.createDataFrame([(i, x, None, None) for i, x in enumerate(rare)], "doc_id bigint, text string, s string, f string")
+    found = languages.label_findings(languages.passages(d, "doc_id", "text", languages.train(SAMPLE), ["s", "f"]), "s", "f").collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3]
+
+
+def test_rich_scripts_keep_their_training_text():
+    rng = random.Random(5)
+    han = [chr(0x4E00 + k) for k in range(1750)]
+    sentences_ = ["".join(rng.choice(han) for _ in range(100)) for _ in range(60)]
+    whole, small = languages.Model({"zh": sentences_, "en": SAMPLE["en"]}), languages.Model({"zh": sentences_, "en": SAMPLE["en"]}, cells=10_000)
+    costs, _ = whole.read(sentences_)
+    assert (costs[:, 1] == whole.weights[1]).all()  # each is known as a whole
+    mixed = [*SAMPLE["en"], *["".join(rng.choice(han) for _ in range(rng.randint(1, 600))) for _ in range(30)], sentences_[0][:50] + "x" + sentences_[1][50:]]
+    dense = languages.Model({"zh": sentences_, "en": SAMPLE["en"]}, cells=10**9)
+    assert np.array_equal(dense.read(mixed)[0], whole.read(mixed)[0]) and np.array_equal(dense.read(mixed)[0], small.read(mixed)[0])
+
+
 def test_label_findings(spark):
     texts = {1: "The captain found the old letter.", 2: "El capitán encontró la carta.", 3: "The tower was closed. She waited. Ella abrió la puerta. Nadie sabía por qué cerraron la torre.", 4: "??", 5: None, 6: "Nobody knew why.", 7: "She opened the gate."}
     labels = {1: ("en-US", "ENGLISH "), 2: ("en", "spanish"), 3: ("en", "en"), 4: (None, None), 5: ("en", "en"), 6: ("und", "en"), 7: ("English", "")}
