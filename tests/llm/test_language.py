@@ -225,6 +225,26 @@ def test_every_number_of_a_cluster(text, want):
     assert not any(c.isdigit() for c in pii.redact(text, NAMES)) or "12.5.2057" in text
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("At 12 Baker\nStreet now.", ["addr:12 Baker\nStreet"]),
+        ("Am Lindenweg\u00a012 bald.", ["addr:Lindenweg\u00a012"]),
+        ("Am Mühlenplatz\n3 bald.", ["addr:Mühlenplatz\n3"]),
+        ("Na rua\nAugusta 12.", ["addr:rua\nAugusta 12"]),
+        ("İ. 12 Baker Street.", ["addr:12 Baker Street"]),
+        ("İ. Calle Mayor 12. CAMİNO Mayor 3. Paſeo Mayor 4.", ["addr:Calle Mayor 12", "addr:CAMİNO Mayor 3", "addr:Paſeo Mayor 4"]),
+        ("İ. Au 45, Rue Lormel.", ["addr:45, Rue Lormel"]),
+        ("Mail ann{at}host.org.", ["email:ann{at}host.org"]),
+        ("Mail ann(ät)host.de or bob[ AT ]host.de.", ["email:ann(ät)host.de", "email:bob[ AT ]host.de"]),
+        ("Mail ann(at\u00a0)host.org.", ["email:ann(at\u00a0)host.org"]),
+    ],
+)
+def test_nothing_is_passed_over_before_the_patterns(text, want):
+    assert [f"{k}:{text[a:b]}" for k, a, b in pii.find(text, NAMES)] == want
+    assert len(pii._lower(text)) == len(text)
+
+
 def test_checksums():
     assert pii._dni("12345678Z") and not pii._dni("12345678A")
     assert pii.luhn("4539 1488 0343 6467") and not pii.luhn("4539 1488 0343 6468")
