@@ -14,7 +14,7 @@ HEAVY_KEYS = 2000
 def split_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has one row per key and in `weight` the key's number of rows.
 
-    The heavy keys, fewer than `heavy_keys`, are broadcast, so their rows stay where they are; all others are shuffled.
+    The heavy keys, fewer than `heavy_keys`, are broadcast; all others are shuffled, and for that join so are all `rows`.
     `keyed` is read several times: cut its lineage first. Keys are compared by equality, a null key joins nothing.
     """
     total = keyed.agg(F.sum(weight)).first()[0] or 0
