@@ -100,17 +100,13 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaked(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("match_words").cast("bigint").alias("longest_words"))
 
 
-def _names(spark: SparkSession, folder: str) -> frozenset[str]:
-    return pii.known_names(table(spark, folder, "given_names", "name"), "name")
-
-
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.find_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", _names(spark, folder))
+    return pii.find_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "given_names", "name"))
 
 
 def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text with placeholders."""
-    return pii.redact_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", _names(spark, folder))
+    return pii.redact_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "given_names", "name"))
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_content, p2_found, p2_counts, p3_found, p3_counts, p4_found, p6_found, p6_passages, p7_ids, p8_found, p8_items, p9_found, p9_redacted)}

@@ -177,7 +177,58 @@ def test_label_findings(spark):
 
 # --- p9 ---
 
-NAMES = pii._given(frozenset({"Nell", "Mateo", "Егор"}))
+FRAMES = {
+    "en": (["Please ask for {} or call.", "The letter was signed by {}, of Harrow.", "{} can be reached at noon.", "A note from {} and the clerk."], "Hale Voss Galdby Marl", "Nell Iris Clara"),
+    "es": (["La carta de {} llegó ayer.", "Según {}, con domicilio en Lugo, no.", "{} responde en el número."], "Ruiz Montal Olmer", "Mateo Elvira"),
+    "ru": (["Письмо от {} пришло.", "{} отвечает по телефону.", "Спросите {} или позвоните."], "Сумракин Лозвин Тальник", "Егор Варвара"),
+    "de": (["Der Brief von {} kam an.", "{} ist unter der Nummer da.", "Frag nach {} oder ruf an."], "Falkun Lozberg Brandt", "Lothar Helga"),
+    "fr": (["La lettre de {} est venue.", "Demandez {} ou appelez.", "{}, demeurant au village, part."], "Lormel Marcel Tonnar", "Mireille Anatole"),
+    "pt": (["A carta de {} chegou.", "Pergunte por {} ou ligue.", "{} mora em casa."], "Melo Torres Queiroz", "Rui Leonor"),
+}
+UNSEEN = {"en": "Kwame", "es": "Xiomara", "ru": "Аграфена", "de": "Thorvald", "fr": "Ghislaine", "pt": "Jandira"}
+
+
+def name_sample():
+    """Texts in which known names stand in ordinary contexts, beside capital words that are none."""
+    out = []
+    for frames, families, known in FRAMES.values():
+        out += [" ".join(f.format(f"{g} {x}") for f in frames) for g in known.split() for x in families.split()]
+    out += ["The Old Harbour was closed. At Port Harrow the Great Tower fell. In Quillmoor Lane it rained. By River Street we met."] * 20
+    return out
+
+
+NAMES = pii.learn(name_sample(), {"Nell", "Iris", "Clara", "Mateo", "Elvira", "Егор", "Варвара", "Lothar", "Helga", "Mireille", "Anatole", "Rui", "Leonor"})
+
+
+@pytest.mark.parametrize("lang", sorted(FRAMES))
+def test_unseen_names_are_learned_from_their_contexts(lang):
+    frames, families, _ = FRAMES[lang]
+    given, family = UNSEEN[lang], families.split()[0]
+    texts = name_sample() + [" ".join(f.format(f"{given} {x}") for f in frames) for x in families.split()]
+    model = pii.learn(texts, {"nell", "mateo", "егор", "lothar", "mireille", "rui"})
+    assert given.lower() in model.given and not {"port", "quillmoor", "the", "river", "old"} & model.given
+    elsewhere = f"Xyz {given} {family} xyz."
+    assert [(k, elsewhere[a:b]) for k, a, b in pii.find(elsewhere, model)] == [("name", f"{given} {family}")]
+
+
+def test_any_family_name_may_follow_a_title_or_a_given_name():
+    for family in ("Orlow", "Parcels", "Marlow", "Baker"):
+        for text, want in ((f"Dr. {family} came in.", family), (f"Nell {family} came in.", f"Nell {family}")):
+            assert [text[a:b] for _, a, b in pii.find(text, NAMES)] == [want]
+    assert pii.find("Orlow Press Inc. stood by St. Orlow Bridge.", NAMES) == []
+    nothing = pii.learn([], ())
+    assert pii.find("Kwame Mensah wrote.", nothing) == [] and pii.learn(["Ann Lee", ""], ()).given == frozenset()
+
+
+def test_checksums_confirm_cards_and_accounts():
+    def ids(text):
+        return [text[a:b] for k, a, b in pii.find(text, NAMES) if k == "idno"]
+
+    assert ids("Paid with 4539 1488 0343 6467, not 4539 1488 0343 6468.") == ["4539 1488 0343 6467"]
+    assert ids("To GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33.") == ["GB82 WEST 1234 5698 7654 32"]
+    assert ids("Order 4539148803436467 was sent.") == []
+    corsican = "1 99 05 2A 081 025"
+    assert pii._nir(f"{corsican} {97 - int('1990519081025') % 97:02d}") and not pii._nir(f"{corsican} 00")
 
 
 @pytest.mark.parametrize(
@@ -254,8 +305,16 @@ def test_checksums():
 
 def test_redaction_keeps_the_rest(spark):
     d = spark.createDataFrame([(1, "Mail a@b.org now."), (2, None), (3, ""), (4, "Nell Hale, 12 Elm St.")], "doc_id bigint, text string").withColumn("pii_kind", F.lit("x"))
-    got = {r.doc_id: r.text for r in pii.redact_personal(d, "doc_id", "text", {"Nell"}).collect()}
+    got = {r.doc_id: r.text for r in pii.redact_personal(d, "doc_id", "text", spark.createDataFrame([("Nell",)], "name string")).collect()}
     assert got == {1: "Mail [EMAIL] now.", 2: None, 3: "", 4: "[NAME], [ADDRESS]."}
     assert pii.find_personal(d.limit(0), "doc_id", "text").collect() == []
-    names = spark.createDataFrame([("Nell",), (None,), (" ",), ("Nell",)], "name string")
-    assert pii.known_names(names, "name") == {"Nell"}
+
+
+def test_large_tables_of_names_are_joined(spark):
+    rows = [(i, f"The {x} Hale came. Nell Voss left." if i % 7 else None) for i, x in enumerate(["Ann", "Zed", "Bo", "Nell", ""] * 8)]
+    d = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string").withColumn("n", F.lit("x")).withColumn("known", F.lit(1))
+    names = spark.createDataFrame([("Ann",), ("Bo ",), ("NELL",), (None,), (" ",), ("Nell",)], "name string")
+    sent, joined = (pii.find_personal(d, "doc_id", "text", names, most_names=n).collect() for n in (10, 2))
+    assert sorted(map(tuple, sent)) == sorted(map(tuple, joined)) and {r.pii_kind for r in sent} == {"name"} and len(sent) > 30
+    redacted = {r.doc_id: r.text for r in pii.redact_personal(d, "doc_id", "text", names, most_names=2).collect()}
+    assert redacted[1] == "The Zed Hale came. [NAME] left." and redacted[7] is None
