@@ -1,16 +1,18 @@
 """Sentence boundaries across languages and scripts.
 
-A text falls into blocks at blank lines. In a block, quotations and brackets are closed spans, and every terminator
-outside of them, or closing one, is a gap. Spaced scripts: a gap gets a cost for cutting and one for going on, from the
-word before (abbreviations, initials, ordinals) and the words behind (case, reporting verbs, continuing words), and the
-cheapest path through the block's gaps is taken. Chinese and Japanese: the text around a gap is cut into words by the
-cheapest path through a lattice of dictionary words. Behind a quotation the words behind decide, at any other gap the
-word before (final, or leaving its clause open) and the words behind (opening, going on). Thai parts its sentences by
-white space, without a lattice.
+A text falls into blocks at blank lines. In a block, quotations and brackets are closed spans, found in one pass with a
+stack, and every terminator outside of them, or closing one, is a gap. Each gap gets a score: evidence for a sentence's
+end minus evidence against it. Spaced scripts: the word before (abbreviations, initials, ordinals) and the words behind
+(case, reporting verbs, continuing words) give the evidence. Chinese and Japanese: the text on both sides of a gap is cut
+into words by the cheapest path through a lattice of dictionary words, and final particles, words that leave a clause
+open, opening words and words that go on give it; behind a quotation the words behind decide. The cheapest path through
+the lattice of a block's gaps then chooses the cuts: joining costs a gap's score, cutting its negative, and a unit of a
+single word costs SHORT. Thai parts its sentences by white space, without a lattice.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -48,10 +50,11 @@ OPENERS = set(
 )
 GERMAN_MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
 
-# A dictionary for the words at the edges of sentences in spaceless scripts: final, going on, opening, reporting.
+# A dictionary of the closed classes of words at the edges of sentences in spaceless scripts: final particles and endings, particles
+# and copulas that go on, conjunctions, pronouns and question words that open, verbs of saying.
 FINAL_WORDS = "か よ ね な ぞ さ わ だ た です ます でした ました だった だろう でしょう のだ のだろうか そうだ ない ません 了 吗 呢 吧 啊 呀 的 过 着".split()
-GOING_ON = "と って という といって との は が を に の も へ で や から まで より など 、 ， ； ： と言った と聞いた とか だ です である 的 地 得 是 成了 成为".split()
-OPENING = "とても とにかく ところが ところで とうとう ときどき そして しかし なぜ その この あの それ これ 彼 彼女 私 でも だから だが では もし もう まだ 冬 朝 夜 古い 若い 隣 日曜日 はい が然 为什么 但是 而且 所以 因为 如果 据说 这 那 他 她 我们 他们 老师 谁 每个 整个 在".split()
+GOING_ON = "と って という といって との は が を に の も へ で や から まで より など 、 ， ； ： と言った と聞いた とか だ です である 的 地 得 是".split()
+OPENING = "とても とにかく ところが ところで とうとう ときどき そして しかし なぜ その この あの それ これ 彼 彼女 私 でも だから だが では もし もう まだ はい いいえ 为什么 但是 而且 所以 因为 如果 虽然 据说 这 那 他 她 我 你 我们 他们 谁 每 在".split()
 # Beside them at gaps outside quotations: words that begin like a word going on, greetings, words that leave a clause open.
 MORE_OPENING = (
     "とりあえず とんでもない どうして もちろん もっと もしもし もともと はっきり はじめ はやく はたして はは にっこり にわかに にぎやか のんびり のろのろ がっかり がんばれ がんばって へえ へん"
@@ -61,7 +64,7 @@ GREETINGS = "こんにちは こんばんは".split()
 LEFT_OPEN = "は を へ その この あの 彼 彼女 私 そして しかし でも だから だが なぜ もし 但是 而且 所以 因为 如果 这 那 他 她 我 你 我们 他们".split()
 MAY_LEAVE_OPEN = "が に の も と や で から まで より 的 在".split()
 QUOTED_JA = "と って という といって との と言った と聞いた とおもった とおもう とか".split()
-REPORTING_CJK = "说 说道 问 问道 喊 喊道 答 答道 叫道 想 成了 成为".split()
+REPORTING_CJK = "说 说道 问 问道 喊 喊道 答 答道 叫道 想".split()
 
 TERMINATORS = ".!?…।؟。！？"
 _OPEN = {"“": "”\"", "„": "“”\"", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‘": "’", '"': '"”', "'": "'"}
@@ -78,7 +81,9 @@ _NEXT = re.compile(r"[\s​﻿�☀-➿\U0001f300-\U0001faff]*")
 _ENDS_TOKEN = frozenset(" \t\n\r\xa0\u200b\"'“”„«»‘’()[]（）「」『』,;:—")
 _WORD = re.compile(r"[¿¡]?([^\W\d_]+)")
 _THAI = re.compile(r"[฀-๿]")
-_THAI_SPACE = re.compile(r"\s+")
+_THAI_TOKEN = re.compile(r"\S+")
+_NOT_BLANK = re.compile(r"\s*")
+_KANA = re.compile(r"[぀-ヿ]")
 _KANA_HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _CAPITAL_WORD = re.compile(r" (?:The|A|An|And|Of|Is|La|El|Los|De|Del|Y|Und|Den|Le|Les|Et|Du|И|В|На|С|E|Do|Da|Que|That|His|Her)\s")
 _HAS_OPENING = re.compile("[“„«「『（(\\[\"‘']")
@@ -102,39 +107,44 @@ def is_card(text: str) -> bool:
     return n >= 3
 
 
+_MARKS = re.compile("[" + re.escape("".join(sorted({*_OPEN, *"".join(_OPEN.values())}))) + "]")
+_OPENED_BY: dict[str, str] = {}
+for _mark, _ends in _OPEN.items():
+    for _c in _ends:
+        _OPENED_BY[_c] = _OPENED_BY.get(_c, "") + _mark
+
+
 def _spans(block: str) -> list[tuple[int, int]]:
-    """Outermost quotations and brackets (start, end) of a block; one that isn't closed is none."""
+    """Outermost quotations and brackets (start, end) of a block, in one pass; an opening mark that isn't closed is none.
+
+    A closing mark closes the last open mark that it fits, and drops unclosed ones within.
+    """
     out: list[tuple[int, int]] = []
-    at = 0
     if not _HAS_OPENING.search(block):
         return out
-    while m := _OPENING.search(block, at):
-        start, mark = m.start(), m.group()
-        end = _closing(block, start, mark)
-        if end:
-            out.append((start, end))
-            at = end
-        else:
-            at = start + 1
-    return out
-
-
-def _closing(block: str, start: int, mark: str) -> int:
-    closers, depth = _OPEN[mark], 1
-    same = mark in closers
-    for k in range(start + 1, len(block)):
-        c = block[k]
-        if c in closers:
-            if c in "’'" and k + 1 < len(block) and block[k + 1].isalpha():
-                continue  # an apostrophe
-            if mark == "„" and c == "“" and k + 1 < len(block) and block[k + 1].isalpha():
+    stack: list[tuple[int, str]] = []
+    open_: dict[str, int] = {}
+    for m in _MARKS.finditer(block):
+        k, c = m.start(), m.group()
+        fits = _OPENED_BY.get(c)
+        if fits and any(open_.get(x) for x in fits):
+            top = stack[-1][1]
+            word = k + 1 < len(block) and block[k + 1].isalpha()
+            apostrophe = word and (c in "’'" or c == "“" and not open_.get("“") and k and block[k - 1].isspace())
+            if not apostrophe and not (c in _OPEN and c not in _OPEN[c] and top != "„") and not (c in "\"'" and top != c and _OPENING.match(block, k)):
+                while True:
+                    start, mark = stack.pop()
+                    open_[mark] -= 1
+                    if mark in fits:
+                        break
+                while out and out[-1][0] > start:
+                    out.pop()
+                out.append((start, k + 1))
                 continue
-            depth -= 1
-            if not depth:
-                return k + 1
-        elif c == mark and not same:
-            depth += 1
-    return 0
+        if c in _OPEN and _OPENING.match(block, k):
+            stack.append((k, c))
+            open_[c] = open_.get(c, 0) + 1
+    return out
 
 
 # --- spaceless scripts -------------------------------------------------------------------------------------------
@@ -166,161 +176,222 @@ _GOING, _REPORT, _FINAL = set(GOING_ON), set(REPORTING_CJK), set(FINAL_WORDS)
 
 _OPEN_LATTICE = Lattice({*FINAL_WORDS, *GOING_ON, *OPENING, *REPORTING_CJK, *MORE_OPENING, *GREETINGS, *LEFT_OPEN, *MAY_LEAVE_OPEN, *QUOTED_JA})
 _QUOTED, _OPENS, _LEFT, _MAY_LEAVE = set(QUOTED_JA), {*OPENING, *MORE_OPENING}, set(LEFT_OPEN), set(MAY_LEAVE_OPEN)
-_ALWAYS_GOING = set("的 成了 成为 问道 说道 答道 叫道 喊道".split())
+_ALWAYS_GOING = set("的 问道 说道 答道 叫道 喊道".split())
 _SAYING = re.compile("[言思聞訊尋答叫呟考感云問]|いう|いった|おもう|おもった|つぶや|ささや|さけ")
 
 
-def _free_cut(block: str, mark: str, start: int, end: int) -> bool:
-    """Whether a sentence ends at a gap outside of quotations in a spaceless script, by the words on both of its sides."""
-    behind = block[end : end + 24].lstrip()
-    if not behind:
-        return True
-    if behind[0] in "，、,；;：:":
-        return False
-    words = _OPEN_LATTICE.words_of(behind[:16])
-    before = (_OPEN_LATTICE.words_of(block[max(0, start - 16) : start].split("\n")[-1].rstrip()) or [""])[-1]
-    word, rest = words[0], behind[len(words[0]) :]
+#: Characters on either side of a gap that the lattice reads: more than twice the longest word, so that both words next to
+#: the gap, and those that could compete with them, lie within.
+LOOK = 2 * max(_LATTICE.longest, _OPEN_LATTICE.longest) + 2
+_CLAUSE_END = re.compile("[。！？!?…]")
+_CLAUSE_PART = re.compile("[。！？，；“「]")
+_HIRAGANA = re.compile("[ぁ-ゖ]")
+
+
+def _until(block: str, at: int, end: re.Pattern[str]) -> str:
+    m = end.search(block, at)
+    return block[at : m.start() if m else len(block)]
+
+
+def _free_score(block: str, mark: str, start: int, end: int) -> float:
+    """Evidence for an end at a gap outside of quotations in a spaceless script, from the words on both of its sides."""
+    at = _NOT_BLANK.match(block, end).end()
+    if at >= len(block):
+        return STOP
+    if block[at] in "，、,；;：:":
+        return -SURE
+    words = _OPEN_LATTICE.words_of(block[at : at + LOOK])
+    before = (_OPEN_LATTICE.words_of(block[max(0, start - LOOK) : start].split("\n")[-1].rstrip()) or [""])[-1]
+    word, rest = words[0], block[at + len(words[0]) : at + LOOK]
     going = word in _GOING or word in _QUOTED
-    if going and len(words) > 1 and words[1] not in _OPEN_LATTICE.words and re.match("[ぁ-ゖ]", word) and re.match("[ぁ-ゖ]", words[1]):
+    if going and len(words) > 1 and words[1] not in _OPEN_LATTICE.words and _HIRAGANA.match(word) and _HIRAGANA.match(words[1]):
         going = False  # the beginning of a longer word
     if going and word in _QUOTED:
-        return (mark in ("。", ".") or rest[:1] in ("、", "，", ",")) and not _SAYING.search(re.split("[。！？!?…]", block[end : end + 40].lstrip(), maxsplit=1)[0])
+        new = (mark in ("。", ".") or rest[:1] in ("、", "，", ",")) and not _SAYING.search(_until(block, at, _CLAUSE_END))
+        return STOP if new else -SURE
     if mark in ("。", "."):
-        return True  # only a quotation's particle goes on behind a full stop
+        return STOP  # only a quotation's particle goes on behind a full stop
     if word in _ALWAYS_GOING:
-        return not rest.strip() or rest[0] in TERMINATORS
-    ends = before in _FINAL or before in GREETINGS
+        return -STOP if rest.strip() and rest[0] not in TERMINATORS else STOP
+    score = STOP if mark[-1] in "!?！？" else 1.0
+    score += 2.0 if before in _FINAL or before in GREETINGS else 0.0
+    score += 1.0 if word in _OPENS else 0.0
     if re.fullmatch(r"[.…]+", mark):
-        if before in _LEFT or (before in _MAY_LEAVE and word not in _OPENS):
-            return False
-        return not going or ends
-    return not going or ends or not re.match(r"[぀-ヿ]", word)
+        score -= 5.0 if before in _LEFT else 2.5 if before in _MAY_LEAVE else 0.0
+        return score - (1.5 if going else 0.0)
+    return score - (4.0 if going and _KANA.match(word) else 0.0)
 
 
-def _spaceless_cut(block: str, mark: str, start: int, end: int, span: tuple[int, int] | None) -> bool:
-    """Whether a sentence ends at `end` in a spaceless script; span: the quotation that closes there."""
+def _spaceless_score(block: str, mark: str, start: int, end: int, span: tuple[int, int] | None) -> float:
+    """Evidence for a sentence's end at `end` in a spaceless script; span: the quotation that closes there."""
     if span is None:
-        return _free_cut(block, mark, start, end)
-    behind = block[end : end + 24].lstrip()
-    if not behind:
-        return True
-    if behind[0] in "，、,；;：:":
-        return False
+        return _free_score(block, mark, start, end)
+    at = _NOT_BLANK.match(block, end).end()
+    if at >= len(block):
+        return STOP
+    if block[at] in "，、,；;：:":
+        return -SURE
     if block[span[0]] in "（(":
-        return True
-    words = _LATTICE.words_of(behind[:16])
-    if re.match(r"[぀-ヿ]", behind):
-        return words[0] not in _GOING
+        return STOP
+    words = _LATTICE.words_of(block[at : at + LOOK])
+    if _KANA.match(block, at):
+        return -STOP if words[0] in _GOING else STOP
     if words[0] in _GOING or words[0] in _REPORT:
-        return False
+        return -STOP
     if block[max(0, span[0] - 1)] in "：:，,":  # somebody's words, told before
-        return True
-    clause = re.split("[。！？，；“「]", block[end : end + 40].lstrip(), maxsplit=1)[0]
-    return not (_REPORT & set(_LATTICE.words_of(clause)[-2:]))
+        return STOP
+    # a clause that ends with a verb of saying tells who spoke
+    last = _LATTICE.words_of(_until(block, at, _CLAUSE_PART)[-LOOK:])[-2:]
+    return -STOP if _REPORT & set(last) else STOP
 
 
 # --- spaced scripts ----------------------------------------------------------------------------------------------
 
-_CUT, _JOIN = (0.0, 9.0), (9.0, 0.0)
+#: Evidence: a terminator speaks for an end with STOP; what speaks against it with SURE decides alone.
+STOP, SURE = 3.0, 9.0
+#: Cost of a unit of a single word.
+SHORT = 1.0
+_NUMBER_BEFORE = re.compile(r"\d[\s​�☀-➿\U0001f300-\U0001faff]*$")
+_STREET_BEFORE = re.compile(r"\d+[A-Za-z]?\s+[A-ZÀ-Þ][^\W\d_]+\s*$")
+_DOTTED = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_NO_VOWEL = re.compile(r"[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz]{2,5}")
+_SPACELESS_PAIR = re.compile(f"[{_SPACELESS}]{{2}}")
+_BLANKS = re.compile(r"\s+")
 
 
-def _costs(block: str, mark: str, start: int, end: int, quoted: bool, noisy: int) -> tuple[float, float]:
-    """Costs of (cutting, going on) at a gap: `mark` from `start`, with its closers up to `end`.
+def _score(block: str, mark: str, start: int, end: int, quoted: bool, noisy: int) -> float:
+    """Evidence for a sentence's end at a gap of a spaced script: `mark` from `start`, with its closers up to `end`.
 
     noisy: 1 where capitals stand at random, so that only a small letter tells something; 2 where case tells nothing.
     """
     k = _NEXT.match(block, end).end()
     if k >= len(block):
-        return _CUT
+        return STOP
     if k == end and not _KANA_HAN.match(block, k) and not _THAI.match(block, k) and block[k] not in "“„«‘\"(「『（—–¿¡":
-        return _JOIN
+        return -SURE
     c = block[k]
     if c in ",;:،؛，、）)":
-        return _JOIN
-    if c in "—–-":
-        k2 = _NEXT.match(block, k + 1).end()
-        w = _WORD.match(block, k2)
-        if w and (w.group(1).lower() in REPORTING or (mark[-1] in "!?…" and w.group(1)[0].islower() and noisy < 2)):
-            return _JOIN
-        return _CUT if not (w and w.group(1)[0].islower()) else _JOIN
+        return -SURE
+    if c in "—–-":  # speech goes on behind a dash with who speaks, or in small letters
+        w = _WORD.match(block, _NEXT.match(block, k + 1).end())
+        if not w:
+            return STOP
+        small = w.group(1)[0].islower()
+        return STOP - (6.0 if w.group(1).lower() in REPORTING or small else 0.0)
     w = _WORD.match(block, k)
     word = w.group(1) if w else ""
     low = word.lower()
+    score = STOP
     if quoted and low in REPORTING:
-        return _JOIN
+        score -= 6.0
     if word and c.islower() and noisy < 2:
-        return _JOIN
+        score -= 6.0
     if mark[0] in ".…" and (len(mark) > 1 or mark == "…"):
-        return _JOIN if noisy and low in CONTINUING else _CUT
+        return score - (5.0 if noisy and low in CONTINUING else 1.0)
     if mark != "." or (quoted and end > start + 1):
-        return _CUT
-    # a full stop: what stands before it
+        return score
+    return score - _abbreviated(block, start, low, c.isdigit(), noisy)
+
+
+def _abbreviated(block: str, start: int, low: str, digit: bool, noisy: int) -> float:
+    """Evidence that the full stop at `start` belongs to the word before it; `low` is the word behind it."""
     b = start
-    while b and block[b - 1] not in _ENDS_TOKEN and start - b < 24:
+    while b and block[b - 1] not in _ENDS_TOKEN and not _KANA_HAN.match(block, b - 1):
         b -= 1
     before = block[b:start]
-    if not before:
-        return _CUT
     key = before.lower()
-    digit = c.isdigit()
+    if not before:
+        return 0.0
     if before.isdigit():
-        return _JOIN if low in GERMAN_MONTHS and len(before) < 3 else _CUT
+        return 6.0 if low in GERMAN_MONTHS and len(before) < 3 else 0.0
     if key in "дп" and re.search(r"[тТ]\.\s*$", block[max(0, start - 8) : start - 1]):
-        return _CUT
+        return 0.0
     if key in WITH_NUMBER:
         if digit:
-            return _JOIN
+            return 6.0
         if key in ("no", "nos", "ch", "art", "mar", "dec", "sep", "oct", "cap"):
-            return _CUT
+            return 0.0
     if key in _MAYBE:
         if digit:
-            return 1.5, 1.0
+            return 3.5
         if key in ("u.k", "u.s", "ee.uu", "uu", "co", "corp", "sr", "jr"):
-            return (0.5, 1.5) if low in OPENERS else _JOIN
-        if key in ("st",):
-            ahead = block[max(0, start - 40) : start - 2]
-            return _CUT if re.search(r"\d+[A-Za-z]?\s+[A-ZÀ-Þ][^\W\d_]+\s*$", ahead) else _JOIN
+            return 2.0 if low in OPENERS else 6.0
+        if key == "st":  # of a street with its number, else a saint
+            return 0.0 if _STREET_BEFORE.search(block, max(0, start - 40), start - 2) else 6.0
         if key in ("г", "гг", "в", "вв"):
-            return _CUT if re.search(r"\d[\s​�☀-➿\U0001f300-\U0001faff]*$", block[max(0, start - 9) : start - len(before)]) else _JOIN
-        return _CUT
+            return 0.0 if _NUMBER_BEFORE.search(block, max(0, start - 9), b) else 6.0
+        return 0.0
     if key in _NEVER or key.endswith((".ej", ".ex", ".e", ".b", ".h")):
-        return _JOIN
+        return 6.0
     if len(before) == 1 and before.isalpha():
-        ahead = block[max(0, start - 4) : start - 1].rstrip()
-        if ahead[-1:] in "º°ª" and ahead or ahead[-1:].isdigit():
-            return _CUT
-        return _JOIN
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", before):
-        return (0.5, 1.5) if low in OPENERS else _JOIN
-    return _CUT
+        ahead = block[max(0, b - 3) : b].rstrip()
+        return 0.0 if ahead and (ahead[-1] in "º°ª" or ahead[-1].isdigit()) else 6.0
+    if _DOTTED.fullmatch(before):
+        return 2.0 if low in OPENERS else 6.0
+    # a short word without vowel is no word, but may be a name in capitals
+    if _NO_VOWEL.fullmatch(before) and not before.isupper():
+        return 2.5 + (1.5 if digit else 0.0) - (1.0 if low in OPENERS else 0.0)
+    return 0.0
+
+
+def _words(block: str, start: int, end: int) -> int:
+    """Words of a stretch: 0, 1, or 2 for more; two characters of a spaceless script are more than one."""
+    first = _WORDLIKE.search(block, start, end)
+    if not first:
+        return 0
+    blank = _BLANKS.search(block, first.end(), end)
+    if blank and _WORDLIKE.search(block, blank.end(), end):
+        return 2
+    return 2 if _SPACELESS_PAIR.search(block, first.start(), end) else 1
+
+
+def _path(block: str, gaps: list[tuple[int, float]]) -> list[int]:
+    """The cheapest cuts of a block: a state per gap and number of words (none, one, more) in the open unit. Exact and linear."""
+    best, back, at = [0.0, math.inf, math.inf], [], 0
+    for end, score in gaps:
+        words, at = _words(block, at, end), end
+        moved, source = [math.inf] * 3, [0] * 3
+        for state in (0, 1, 2):
+            to = min(2, state + words)
+            if best[state] < moved[to]:
+                moved[to], source[to] = best[state], state
+        go, cut = (score, 0.0) if score > 0 else (0.0, -score)
+        ends = (moved[0] + cut, moved[1] + cut + SHORT, moved[2] + cut)
+        state = min((0, 1, 2), key=ends.__getitem__)
+        cuts = ends[state] < moved[0] + go or not moved[0] < math.inf
+        back.append((source, state if cuts else -1))
+        best = [ends[state] if cuts else moved[0] + go, moved[1] + go, moved[2] + go]
+    out, state = [], min((0, 1, 2), key=best.__getitem__)
+    for (end, _), (source, cut_from) in zip(reversed(gaps), reversed(back), strict=True):
+        if state == 0 and cut_from >= 0:
+            out.append(end)
+            state = source[cut_from]
+        else:
+            state = source[state]
+    return out[::-1]
 
 
-def _path(block: str, gaps: list[tuple[int, tuple[float, float]]]) -> list[int]:
-    """The cheapest way through the gaps of a block. A unit without letter or digit can't be cut off."""
-    states: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]  # cost, start of the open unit, cuts
-    for end, (cut, go) in gaps:
-        closed = [(c + cut + (0 if _WORDLIKE.search(block, s, end) else 50), end, (*cuts, end)) for c, s, cuts in states]
-        states = [min(closed), *[(c + go, s, cuts) for c, s, cuts in states if go < 9]]
-        states = sorted(states)[:4]
-    return list(min(states)[2])
+_SPACE_OR_CLOSER = frozenset(_CLOSERS + "   \t\n\r")
 
 
 def _block_cuts(block: str, noisy: int) -> list[int]:
     spans = _spans(block)
-    gaps: list[tuple[int, tuple[float, float]]] = []
-    at, sure = 0, True
-    thai = bool(_THAI.search(block))
+    gaps: list[tuple[int, float]] = []
+    at, nth, filled = 0, 0, -1
     for m in _GAP.finditer(block):
         start, end = m.span()
         if end <= at:
             continue
-        while at < len(block) and spans and spans[0][1] <= start:
-            spans.pop(0)
+        while nth < len(spans) and spans[nth][1] <= start:
+            nth, filled = nth + 1, -1
         span = None
-        if spans and spans[0][0] < start:
-            span = spans[0]
-            inner = block[end : span[1]]
-            if inner.strip(_CLOSERS + "   \t\n\r"):
+        if nth < len(spans) and spans[nth][0] < start:
+            span = spans[nth]
+            if filled < 0:  # where the last thing but closers and white space in the span ends
+                filled = span[1]
+                while filled > span[0] and block[filled - 1] in _SPACE_OR_CLOSER:
+                    filled -= 1
+            if end < filled:
                 continue
             end = span[1]
         else:
@@ -329,23 +400,25 @@ def _block_cuts(block: str, noisy: int) -> list[int]:
         at = end
         free = m.group()[-1] in "。！？"
         spaceless = free or (_KANA_HAN.match(block, _NEXT.match(block, end).end()) and _KANA_HAN.match(block, max(0, start - 1)))
-        costs = (_CUT if _spaceless_cut(block, m.group(), start, end, span) else _JOIN) if spaceless else _costs(block, m.group(), start, end, span is not None or end > m.end(), noisy)
-        gaps.append((end, costs))
-        sure &= costs is _CUT or costs is _JOIN
-    if thai:
-        taken = {e for e, _ in gaps}
-        spans = _spans(block)
-        for m in _THAI_SPACE.finditer(block):
-            s, e = m.span()
-            if s in taken or not 0 < s < e < len(block) or any(a < s < b for a, b in spans):
-                continue
-            left, right = block[max(0, s - 60) : s].split(), block[e : e + 60].split()
-            if left and right and (_THAI.search(left[-1]) or _THAI.search(right[0])):
-                gaps.append((s, _CUT))
-        gaps.sort()
-    if not sure:
-        return _path(block, gaps)
-    return [e for e, c in gaps if c is _CUT]
+        gaps.append((end, _spaceless_score(block, m.group(), start, end, span) if spaceless else _score(block, m.group(), start, end, span is not None or end > m.end(), noisy)))
+    if _THAI.search(block):
+        gaps = _thai_gaps(block, spans, gaps)
+    return _path(block, gaps) if gaps else []
+
+
+def _thai_gaps(block: str, spans: list[tuple[int, int]], gaps: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The gaps, and those at white space next to a Thai word outside of spans."""
+    taken, nth, out, last = {e for e, _ in gaps}, 0, list(gaps), None
+    for m in _THAI_TOKEN.finditer(block):
+        thai = bool(_THAI.search(m.group()))
+        if last is not None and (thai or last[1]):
+            s = last[0]
+            while nth < len(spans) and spans[nth][1] <= s:
+                nth += 1
+            if s not in taken and not (nth < len(spans) and spans[nth][0] < s):
+                out.append((s, SURE))
+        last = m.end(), thai
+    return sorted(out)
 
 
 _AROUND = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　﻿"

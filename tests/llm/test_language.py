@@ -1,9 +1,13 @@
 """Operators whose rules are fitted to languages: hand-written cases and odd inputs."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.llm import languages, pii, sentences
@@ -79,6 +83,49 @@ def test_sentence_rows(spark):
     assert sentences.split_sentences(d.limit(0), "doc_id", "text").collect() == []
 
 
+def test_hostile_texts_take_linear_time():
+    for piece, n, closing in (("(a ", 100_000, ""), ("“a ‘b ", 50_000, ""), ("(a. ", 50_000, ") " * 50_000), ("(" + "A b c. " * 50_000 + ")", 1, ""), ("a.b", 100_000, ". C"), ("กา ข ", 20_000, ""), ('"a b. ', 20_000, "")):
+        began = time.perf_counter()
+        list(sentences.units(piece * n + closing))
+        assert time.perf_counter() - began < 2
+
+
+@given(st.lists(st.sampled_from(["word", "Word", " ", ". ", "! ", "... ", "? ", "“", "”", '"', "(", ")", "Dr. ", "Mr. ", "sgt. ", "\n", "5 "]), max_size=60).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_the_path_is_the_cheapest_choice_of_cuts(text):
+    """Against all subsets of a block's first gaps."""
+    gaps: list[tuple[int, float]] = []
+    at = 0
+    for m in sentences._GAP.finditer(text):
+        gaps.append((m.end(), sentences._score(text, m.group(), m.start(), m.end(), False, 0)))
+    gaps = gaps[:9]
+
+    def cost(cuts):
+        total, start, open_words, at = 0.0, 0, 0, 0
+        for end, score in gaps:
+            open_words, at = min(2, open_words + sentences._words(text, at, end)), end
+            if end in cuts:
+                total += max(0.0, -score) + (sentences.SHORT if open_words == 1 else 0.0)
+                open_words = 0
+            else:
+                total += max(0.0, score)
+        return total
+
+    ends = [e for e, _ in gaps]
+    best = min(cost(set(c)) for k in range(len(ends) + 1) for c in itertools.combinations(ends, k))
+    assert cost(set(sentences._path(text, gaps))) == pytest.approx(best)
+
+
+def test_the_path_decides_what_a_score_leaves_open():
+    assert split("Bldg. Nord. It rained.") == ["Bldg. Nord.", "It rained."]
+    assert split("They met in the old Bldg. It rained.") == ["They met in the old Bldg.", "It rained."]
+
+
+def test_quotations_are_found_in_one_pass():
+    for text, want in (("(a “b.) c” d", [(0, 7)]), ("“a (b.” c) d", [(0, 7)]), ("(a (b) c", [(3, 6)]), ("“a ‘b’ c”", [(0, 9)]), ("don't 'a b' c", [(6, 11)]), ('"a" b "c"', [(0, 3), (6, 9)]), ("a) b) (c)", [(6, 9)]), ("„a“ b «c»", [(0, 3), (6, 9)])):
+        assert sentences._spans(text) == want, text
+
+
 # --- p6 ---
 
 SAMPLE = {
