@@ -1,14 +1,16 @@
 """References to records that do not exist.
 
-Skew-aware split: references are pre-aggregated per target and key (partial aggregation on the map side), the
-distinct keys meet the target table once, and only keys found bad are joined back to the referring rows. Keys that hold
-many rows are broadcast; their number is bounded by HEAVY_KEYS. All other keys take a shuffle join.
+Skew-aware split: references are pre-aggregated per target, key and period (on the map side first). Keys that hold many
+rows, whose number is bounded by HEAVY_KEYS, are checked by broadcasting them to the target tables; all other keys by a
+shuffled join of distinct keys. The groups found bad by either way are united, and only rows of these groups are read
+again, those of heavy keys by broadcast, so that no hot key's rows are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,20 @@ class Target:
     deleted: str | None = None
 
 
+_KEY, _GROUP = ["target", "ref"], ["target", "ref", "period"]
+
+
+def _known(targets: Sequence[Target], only: DataFrame | None = None) -> DataFrame:
+    """(target, ref, arrived, gone): a row per key of the targets; with `only`, of these keys, which are broadcast."""
+    parts = []
+    for t in targets:
+        gone = F.col(t.deleted) if t.deleted else F.lit(None).cast("timestamp_ntz")
+        rows = t.rows.filter(F.col(t.key).isNotNull()).select(F.lit(t.name).alias("target"), F.col(t.key).cast("bigint").alias("ref"), F.col(t.arrived).alias("arrived"), gone.alias("gone"))
+        rows = rows if only is None else rows.join(F.broadcast(only), _KEY, "left_semi")
+        parts.append(rows.groupBy(*_KEY).agg(F.min("arrived").alias("arrived"), F.min("gone").alias("gone")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def orphan_references(references: Sequence[Reference], targets: Sequence[Target], heavy_keys: int = HEAVY_KEYS) -> DataFrame:
     """(table_name, record_id, period, reason): one row per referring record whose reference doesn't hold.
 
@@ -48,26 +64,30 @@ def orphan_references(references: Sequence[Reference], targets: Sequence[Target]
     rows count once; if rows share an id but differ, the one with the smallest period and reason stays. A target with a
     repeated key counts as deleted or arrived by its earliest values. Empty tables give an empty result.
     """
-    refs = None
-    for r in references:
-        part = r.rows.filter(F.col(r.key).isNotNull()).select(F.lit(r.name).alias("table_name"), F.col(r.row_id).alias("record_id"), F.col(r.key).cast("bigint").alias("ref"), F.col(r.at).alias("at"), F.lit(r.target).alias("target"))
-        refs = part if refs is None else refs.unionByName(part)
-    known = None
-    for t in targets:
-        gone = F.col(t.deleted) if t.deleted else F.lit(None).cast("timestamp_ntz")
-        part = t.rows.filter(F.col(t.key).isNotNull()).groupBy(F.col(t.key).cast("bigint").alias("ref")).agg(F.min(t.arrived).alias("arrived"), F.min(gone).alias("gone")).select(F.lit(t.name).alias("target"), "ref", "arrived", "gone")
-        known = part if known is None else known.unionByName(part)
-
-    keys = refs.groupBy("target", "ref").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
-    joined = keys.join(known.withColumn("there", F.lit(True)), ["target", "ref"], "left")
-    bad = joined.filter(F.col("there").isNull() | F.col("gone").isNotNull() | (F.col("arrived") > F.col("first_at")))
-    bad = cut(bad.select("target", "ref", "n", "there", "gone", "arrived"))
-    hit = split_join(refs, bad, ["target", "ref"], "n", heavy_keys)
+    refs = reduce(DataFrame.unionByName, (r.rows.filter(F.col(r.key).isNotNull()).select(F.lit(r.name).alias("table_name"), F.col(r.row_id).alias("record_id"), F.col(r.key).cast("bigint").alias("ref"), F.col(r.at).alias("at"), F.lit(r.target).alias("target")) for r in references))
+    refs = refs.withColumn("period", F.date_format("at", "yyyy-MM"))
+    groups = cut(refs.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at")))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    heavy = groups.groupBy(*_KEY).agg(F.sum("n").alias("n")).filter(F.col("n") > total / heavy_keys).select(*_KEY)
+    heavy = cut(heavy)  # fewer than heavy_keys rows
+
+    def bad(checked: DataFrame) -> DataFrame:
+        """The groups whose key is missing or deleted, or arrived after the group's first row."""
+        return checked.filter(F.col("there").isNull() | F.col("gone").isNotNull() | (F.col("arrived") > F.col("first_at")))
+
+    there = F.lit(True).alias("there")
+    of_heavy = groups.join(F.broadcast(heavy), _KEY, "left_semi").join(F.broadcast(_known(targets, heavy).select("*", there)), _KEY, "left")
+    rest = groups.join(F.broadcast(heavy), _KEY, "left_anti").join(_known(targets).select("*", there), _KEY, "left")
+    found = cut(bad(of_heavy).unionByName(bad(rest)))
+
+    # a row without time has a null period, which equals no other; such rows meet under an empty one
+    period = F.coalesce("period", F.lit("")).alias("period")
+    rows = split_join(refs.select("table_name", "record_id", "at", *_KEY, period), found.select(*_KEY, period, "n", "there", "gone", "arrived"), _GROUP, "n", heavy_keys)
     reason = F.when(F.col("there").isNull(), "missing").when(F.col("gone").isNotNull(), "deleted").when(F.col("arrived") > F.col("at"), "late")
-    found = hit.select("table_name", "record_id", F.date_format("at", "yyyy-MM").alias("period"), reason.alias("reason")).filter(F.col("reason").isNotNull())
-    return found.groupBy("table_name", "record_id").agg(F.min(F.struct("period", "reason")).alias("x")).select("table_name", "record_id", "x.period", "x.reason")
+    rows = rows.select("table_name", "record_id", F.date_format("at", "yyyy-MM").alias("period"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+    return rows.groupBy("table_name", "record_id").agg(F.min(F.struct("period", "reason")).alias("x")).select("table_name", "record_id", "x.period", "x.reason")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
-    """(table_name, period, reason, n_records) of the rows of `orphan_references`."""
+    """(table_name, period, reason, n_records) of the rows of `orphan_references`, which are one per record."""
     return found.groupBy("table_name", "period", "reason").agg(F.count(F.lit(1)).alias("n_records"))

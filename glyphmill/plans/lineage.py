@@ -30,7 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> str:
-    """Path of `df` written as Parquet into the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Path of `df` written as Parquet into the shared folder; it is deleted when the application ends."""
+    path = scratch(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

@@ -14,12 +14,14 @@ HEAVY_KEYS = 2000
 def split_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has one row per key and in `weight` the key's number of rows.
 
-    The heavy keys, fewer than `heavy_keys`, are broadcast; all others are shuffled, and for that join so are all `rows`.
+    The heavy keys, fewer than `heavy_keys`, are broadcast, and their rows stay where they are; all others are shuffled.
     `keyed` is read several times: cut its lineage first. Keys are compared by equality, a null key joins nothing.
     """
-    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    on, total = list(on), keyed.agg(F.sum(weight)).first()[0] or 0
     limit = total / heavy_keys
-    heavy = F.broadcast(keyed.filter(F.col(weight) > limit).drop(weight))
+    heavy = keyed.filter(F.col(weight) > limit).drop(weight)
+    if heavy.isEmpty():
+        return rows.join(keyed.drop(weight).hint("shuffle_hash"), on)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
     rest = keyed.filter(F.col(weight) <= limit).drop(weight).hint("shuffle_hash")
-    on = list(on)
-    return rows.join(heavy, on).unionByName(rows.join(rest, on))
+    return rows.join(F.broadcast(heavy), on).unionByName(light.join(rest, on))
