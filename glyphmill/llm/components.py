@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.plans.lineage import cut
+from glyphmill.plans.skew import split_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (large star) or smaller (small star) neighbours are tied to its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    tied = both.join(least, "a")
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+    tied = split_join(both, least, ["a"], "n")  # a hub's edges stay where they are
     if large:
         tied = tied.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -23,9 +24,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, first): of every node of `edges` (a, b), the smallest node it is linked to, directly or not, or is itself.
 
-    Rounds grow with the logarithm of the number of nodes; each node has at most one row per round. No edges, no rows.
+    Nodes are numbers or strings. Edges with a null end are left out. Rounds grow with the logarithm of the number of nodes; each node has at most one row per round. No edges, no rows.
     """
-    now, before = cut(edges.filter("a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).distinct()), None
+    now, before = cut(edges.filter("a <> b").select("a", "b").distinct()), None
     while True:
         now = cut(_star(_star(now, True), False))
         print_ = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -72,17 +72,22 @@ def copies(docs: DataFrame, doc_id: str, text: str, file_hash: str) -> DataFrame
     chosen = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint"), F.col(text), F.col(file_hash))
     keyed = cut(flat_map(chosen, "doc_id bigint, no_text boolean, hk string, tk string", make))
 
-    # one row per text and per hash; both are named by their smallest document
+    # one row per text and per hash of null texts
     own = keyed.select("doc_id", F.when(F.col("no_text"), F.concat(F.lit("h"), "hk")).otherwise(F.col("tk")).alias("key"))
     groups = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
 
-    # a kept text meets the hash of a null text
-    hashes = groups.filter(F.col("key").startswith("h")).select(F.expr("substring(key, 2)").alias("hk"), F.col("rep").alias("b"))
-    kept = keyed.filter(~F.col("no_text") & F.col("hk").isNotNull()).groupBy("tk", "hk").agg(F.count(F.lit(1)).alias("m"))
-    texts = groups.select(F.col("key").alias("tk"), F.col("rep").alias("a"))
-    edges = kept.join(hashes, "hk").join(texts, "tk").select("a", "b")
-    linked = components(edges)
-    named = cut(groups.join(linked, groups["rep"] == linked["node"], "left").select("key", "n", F.coalesce("first", "rep").alias("first_doc_id"), F.col("node").isNotNull().alias("linked")).filter((F.col("n") > 1) | F.col("linked")).drop("linked"))
+    # a kept text meets the hash of a null text; only such hashes matter
+    kept = keyed.filter(~F.col("no_text") & F.col("hk").isNotNull()).select("tk", "hk")
+    wanted = groups.filter(F.col("key").startswith("h")).select(F.expr("substring(key, 2)").alias("hk"))
+    shared = cut(kept.groupBy("hk").agg(F.count(F.lit(1)).alias("m")).join(wanted, "hk", "left_semi"))
+    edges = split_join(kept, shared, ["hk"], "m").select(F.col("tk").alias("a"), F.concat(F.lit("h"), "hk").alias("b"))
+    linked = components(edges).select(F.col("node").alias("key"), F.col("first").alias("label"))
+
+    # a group's first document is the smallest of all groups with its label; a label may have very many groups
+    labelled = cut(groups.join(linked, "key", "left").filter("n > 1 or label is not null"))
+    firsts = cut(labelled.filter("label is not null").groupBy("label").agg(F.min("rep").alias("first_doc_id"), F.count(F.lit(1)).alias("m")))
+    named = labelled.filter("label is null").select("key", "n", F.col("rep").alias("first_doc_id"))
+    named = cut(named.unionByName(split_join(labelled.filter("label is not null"), firsts, ["label"], "m").select("key", "n", "first_doc_id")))
     return split_join(own, named, ["key"], "n").select("doc_id", "first_doc_id").distinct()
 
 

@@ -1,4 +1,8 @@
-"""Frequency of every distinct value or term, kept up to date by signed deltas."""
+"""Frequency of every distinct value or term, kept up to date by signed deltas.
+
+The persistent state holds a row per term and record: how many occurrences and rows it has there. Rows that come, change
+or go are aggregated into signed deltas of such pairs and merged into the state; the counts of a term are sums over it.
+"""
 
 from __future__ import annotations
 
@@ -10,73 +14,73 @@ from pyspark.sql import functions as F
 from glyphmill.llm.forms import nfc, stripped
 from glyphmill.plans.lineage import written
 
-#: Files of the persistent counts per field.
-BUCKETS = 16
+#: In place of a record for rows that have none; a few of them, so that a hot term's rows without record are spread.
+NO_RECORD, NO_RECORDS = "\0", 32
 
 
 @dataclass(frozen=True)
 class Field:
-    """Where terms stand: `value` in rows known by `row_id`; a row adds `amount` occurrences (None: 1) to `record`."""
+    """Where terms stand: `value` in rows known by `row_id`; a row adds `amount` occurrences (None: 1) to `record`.
+
+    `at` is the time that a row came into its state (None: the table tells no time).
+    """
 
     name: str
     row_id: str
     value: str
     record: str
     amount: str | None = None
+    at: str | None = None
 
 
 def occurrences(rows: DataFrame, field: Field) -> DataFrame:
-    """(row_id, term, record, amount), one per row id. Null and blank values, and null amounts as 0, stay in."""
+    """(term, record, row_id, amount) of the rows whose value isn't null or blank; null amounts count 0."""
     amount = F.coalesce(F.col(field.amount).cast("bigint"), F.lit(0)) if field.amount else F.lit(1).cast("bigint")
     term = F.nullif(nfc(F.lower(stripped(F.col(field.value)))), F.lit(""))
-    return rows.select(F.col(field.row_id).alias("row_id"), term.alias("term"), F.col(field.record).cast("string").alias("record"), amount.alias("amount")).dropDuplicates(["row_id"])
+    none = F.concat(F.lit(NO_RECORD), F.pmod(F.xxhash64(field.row_id), F.lit(NO_RECORDS)).cast("string"))
+    return rows.select(term.alias("term"), F.coalesce(F.col(field.record).cast("string"), none).alias("record"), F.col(field.row_id).alias("row_id"), amount.alias("amount")).filter("term is not null")
 
 
-def deltas(new: DataFrame | None, old: DataFrame | None, field: Field) -> DataFrame:
-    """(field_name, term, d_occurrences, d_records) between two states of a table; None is the empty state.
+def deltas(added: DataFrame | None, removed: DataFrame | None, field: Field) -> DataFrame:
+    """(field_name, term, record, d_amount, d_rows): signed changes by added and removed rows; a changed row is in both.
 
-    Rows that are added, changed or deleted mark their records; only marked records are aggregated, once as they were
-    (negative) and once as they are. A row without record adds occurrences but no record. Between two equal states
-    there are no rows.
+    Both may also be whole states of a table: what is in both cancels out. Repeated rows count once; where rows of one
+    term and record share an id, the greatest amount counts. One shuffle: equal rows, and all rows of a pair, meet by
+    term and record.
     """
-    sides = [(sign, occurrences(rows, field)) for sign, rows in ((1, new), (-1, old)) if rows is not None]
-    if len(sides) == 2:
-        a, b = sides[0][1], sides[1][1]
-        changed = F.xxhash64("row_id", F.coalesce("term", F.lit("\0")), F.coalesce("record", F.lit("\0")), "amount")
-        signed = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(-1))).withColumn("h", changed)
-        # a row that is in both states cancels out
-        touched = signed.groupBy("row_id", "h").agg(F.sum("s").alias("s"), F.min("record").alias("record")).filter("s <> 0").select(F.coalesce("record", F.concat(F.lit("\0"), F.col("row_id").cast("string"))).alias("mark")).distinct()
-        mark = F.coalesce("record", F.concat(F.lit("\0"), F.col("row_id").cast("string")))
-        sides = [(sign, x.withColumn("mark", mark).join(touched, "mark", "left_semi").drop("mark")) for sign, x in sides]
-    parts = None
-    for sign, x in sides:
-        pairs = x.filter(F.col("term").isNotNull()).groupBy("term", "record").agg(F.sum("amount").alias("amount"))
-        part = pairs.select("term", (F.lit(sign) * F.col("amount")).alias("o"), F.when(F.col("record").isNotNull(), sign).otherwise(0).alias("r"))
-        parts = part if parts is None else parts.unionByName(part)
-    out = parts.groupBy("term").agg(F.sum("o").cast("bigint").alias("d_occurrences"), F.sum("r").cast("bigint").alias("d_records"))
-    out = out if len(sides) == 1 else out.filter("d_occurrences <> 0 or d_records <> 0")
-    return out.select(F.lit(field.name).alias("field_name"), "term", "d_occurrences", "d_records")
-
-
-def merge(counts: DataFrame | None, changes: DataFrame) -> DataFrame:
-    """(field_name, term, occurrences, records) after `changes`; a term whose last record and occurrence went is gone."""
-    rows = changes.select("field_name", "term", F.col("d_occurrences").alias("occurrences"), F.col("d_records").alias("records"))
-    if counts is None:
-        return rows
-    both = counts.select(*rows.columns).unionByName(rows).groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    return both.filter("occurrences <> 0 or records <> 0")
-
-
-def store(counts: DataFrame) -> str:
-    """Writes the counts by field and bucket of the term; gives the path."""
-    return written(counts.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).repartition("field_name", "bucket"), "counts", "field_name", "bucket")
-
-
-def verdicts(counts: DataFrame, totals: DataFrame, rare: int = 2) -> DataFrame:
+    sides = [occurrences(rows, field).withColumn("s", F.lit(sign)) for sign, rows in ((1, added), (-1, removed)) if rows is not None]
+    rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    once = rows.repartition("term", "record").groupBy("term", "record", "row_id", "s").agg(F.max("amount").alias("amount"))
+    pairs = once.groupBy("term", "record").agg(F.sum(F.col("s") * F.col("amount")).cast("bigint").alias("d_amount"), F.sum("s").cast("bigint").alias("d_rows"))
+    return pairs.filter("d_amount <> 0 or d_rows <> 0").select(F.lit(field.name).alias("field_name"), "term", "record", "d_amount", "d_rows")
+
+
+def merge(state: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """(field_name, term, record, amount, n_rows) after `changes`; a pair whose last row went is gone."""
+    rows = changes.select("field_name", "term", "record", F.col("d_amount").alias("amount"), F.col("d_rows").alias("n_rows"))
+    if state is not None:
+        both = state.select(*rows.columns).unionByName(rows)
+        rows = both.groupBy("field_name", "term", "record").agg(F.sum("amount").alias("amount"), F.sum("n_rows").alias("n_rows"))
+    return rows.filter("n_rows > 0 or amount <> 0")
+
+
+def store(state: DataFrame, buckets: int | None = None) -> str:
+    """Writes the state by field and bucket of the term; gives the path. By default as many buckets as shuffle partitions."""
+    n = buckets or int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(state.withColumn("bucket", F.pmod(F.hash("term"), F.lit(n))).repartition("field_name", "bucket"), "counts", "field_name", "bucket")
+
+
+def counts(state: DataFrame) -> DataFrame:
+    """(field_name, term, occurrences, records) of a state; rows without record add occurrences only."""
+    has = (~F.col("record").startswith(NO_RECORD)).cast("bigint")
+    return state.groupBy("field_name", "term").agg(F.sum("amount").cast("bigint").alias("occurrences"), F.sum(has).alias("records"))
+
+
+def verdicts(counted: DataFrame, totals: DataFrame, rare: int = 2) -> DataFrame:
     """(field_name, term, occurrences, records, verdict); verdict is `rare`, `common` or null.
 
     `totals` has one row per field: (field_name, common_above), the number of records above which a term is common.
     """
-    judged = counts.join(F.broadcast(totals), "field_name")
+    judged = counted.join(F.broadcast(totals), "field_name")
     verdict = F.when(F.col("occurrences") <= rare, "rare").when(F.col("records") > F.col("common_above"), "common")
-    return judged.select("field_name", "term", F.col("occurrences").cast("bigint").alias("occurrences"), F.col("records").cast("bigint").alias("records"), verdict.alias("verdict"))
+    return judged.select("field_name", "term", "occurrences", "records", verdict.alias("verdict"))

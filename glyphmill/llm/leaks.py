@@ -2,30 +2,40 @@
 
 Each task turns its documents into shards of words and builds a suffix array of each shard (prefix doubling). Every
 suffix of every evaluation item is looked up there by binary search; the places found are extended to the longest
-verbatim match. Words that occur in no item can't take part in a match, nor can a run of fewer than `min_words` words
-between them; such suffixes are left out of the array, which loses no match.
+verbatim match, whose location is kept. Words that occur in no item can't take part in a match, nor can a run of fewer
+than `min_words` words between them; such suffixes are left out of the array, which loses no match. The corpus is read
+once for any number of items: blocks of items take turns at each shard.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Indexed words of a shard; bounds a task's memory (about 150 bytes a word).
+from glyphmill.llm.arrow import flat_map
+
+#: Words of a shard; bounds a task's memory (about 200 bytes a word).
 SHARD_WORDS = 1_000_000
-#: Evaluation words that are looked up at once; larger collections are taken in blocks of items.
+#: Evaluation words that are looked up at once; a larger collection is searched in blocks of items, shard by shard.
 BLOCK_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.casefold())
+    """Words of a text in small letters; each keeps its place among the words of the text as it is."""
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    low = text.casefold()
+    if len(low) == len(text):
+        return _WORD.findall(low)
+    return [x for w in _WORD.findall(text) for x in _WORD.findall(w.casefold())]
 
 
 def suffix_order(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +76,16 @@ class Probes:
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
         self.min_words, self.vocabulary = min_words, {}
-        ids, ends, owner = [], [], []
+        ids, ends, owner, begins = [], [], [], []
         for item, text in items:
             found = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if len(found) >= min_words:
+                begins += [len(ids)] * len(found)
                 ids += found
                 owner += [item] * len(found)
                 ends += [len(ids)] * len(found)
         self.ids, self.ends, self.owner = np.array(ids, dtype=np.int64), np.array(ends, dtype=np.int64), np.array(owner, dtype=np.int64)
+        self.begins = np.array(begins, dtype=np.int64)
         starts = np.arange(len(ids))
         starts = starts[self.ends - starts >= min_words] if len(ids) else starts
         self.rows = self.ids[starts[:, None] + np.arange(min_words)] if len(starts) else np.zeros((0, min_words), dtype=np.int64)
@@ -81,31 +93,41 @@ class Probes:
         # equal suffix heads are searched once
         self.heads, self.of = np.unique(self.rows, axis=0, return_inverse=True) if len(starts) else (self.rows, starts)
 
-    def runs(self, text: str) -> list[list[int]]:
-        """Runs of known words of `text` that are long enough to hold a match."""
-        out, run, get = [], [], self.vocabulary.get
-        for w in words(text):
-            k = get(w)
+    def runs(self, found: Sequence[str]) -> Iterator[tuple[int, list[int]]]:
+        """(place, ids) of the runs of known words that are long enough to hold a match."""
+        run: list[int] = []
+        for at, k in enumerate(map(self.vocabulary.get, found)):
             if k is not None:
                 run.append(k)
             elif run:
                 if len(run) >= self.min_words:
-                    out.append(run)
+                    yield at - len(run), run
                 run = []
         if len(run) >= self.min_words:
-            out.append(run)
-        return out
-
-    def matches(self, shard: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(doc, item, longest match in words) for a shard; ids of 0 or less part documents and runs."""
+            yield len(found) - len(run), run
+
+    def search(self, docs: Sequence[tuple[int, Sequence[str]]]) -> list[tuple[int, int, int, int, int]]:
+        """(doc, item, words, place in the document, place in the item) of the longest match of each document and item."""
+        ids: list[int] = []
+        nth: list[int] = []
+        place: list[int] = []
+        for i, (_, found) in enumerate(docs):
+            for at, run in self.runs(found):
+                ids += [*run, 0]
+                nth += [i] * (len(run) + 1)
+                place += range(at, at + len(run) + 1)
+        rows = self.matches(np.array(ids, dtype=np.int64), np.array(nth, dtype=np.int64))
+        return [(docs[d][0], item, n, place[at], first) for d, item, n, at, first in rows]
+
+    def matches(self, shard: np.ndarray, docs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(doc, item, words, place in the shard, place in the item) for a shard; ids of 0 or less part documents and runs."""
         if not len(self.heads) or not len(shard):
-            return
+            return []
         order, _ = suffix_order(shard, self.min_words)
         low, high = _lower_bound(shard, order, self.heads, False), _lower_bound(shard, order, self.heads, True)
         low, count = low[self.of], (high - low)[self.of]
         hit = np.flatnonzero(count)
-        longest: dict[tuple[int, int], int] = {}
-        padded = np.concatenate([shard, [0]])
+        padded, best = np.concatenate([shard, [0]]), np.zeros((0, 5), dtype=np.int64)
         for block in np.array_split(hit, max(1, int(count[hit].sum()) // 500_000 + 1)):  # pairs of places at once
             n = count[block]
             probe = np.repeat(block, n)
@@ -116,64 +138,84 @@ class Probes:
                 p, s = np.minimum(place[active] + length[active], len(shard)), start[active] + length[active]
                 active = active[(s < end[active]) & (padded[p] == self.ids[np.minimum(s, len(self.ids) - 1)])]
                 length[active] += 1
-            for key in zip(docs[place].tolist(), self.owner[start].tolist(), length.tolist(), strict=True):
-                if longest.get(key[:2], 0) < key[2]:
-                    longest[key[:2]] = key[2]
-        yield from ((d, i, n) for (d, i), n in longest.items())
+            rows = np.concatenate([best, np.stack([docs[place], self.owner[start], -length, place, start - self.begins[start]], axis=1)])
+            rows = rows[np.lexsort(rows.T[::-1])]  # by document, item, falling length, place
+            first = np.ones(len(rows), dtype=bool)
+            first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            best = rows[first]
+        best[:, 2] *= -1
+        return [tuple(r) for r in best.tolist()]
+
+
+@lru_cache(1)
+def _probes(items: tuple[tuple[int, str], ...], min_words: int) -> Probes:
+    return Probes(list(items), min_words)
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 10, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, match_words): every document holding at least `min_words` consecutive words of an item.
+    """(doc_id, item_id, match_words, doc_word, item_word): every document holding `min_words` consecutive words of an item.
 
     Words are runs of letters and digits, ignoring case and whatever stands between them; match_words is the longest
-    verbatim match. Rows without id, null and empty texts, and items of fewer words, match nothing. Repeated rows count once. The
-    items reach the driver and the tasks in blocks of `block_words` words, so their size is bounded.
+    verbatim match, doc_word and item_word count the words before it (of equal ones the first). Rows without id, null and
+    empty texts, and items of fewer words, match nothing. Repeated rows count once. The items reach the driver and the
+    tasks in blocks of `block_words` words, so their size at once is bounded.
     """
     corpus = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("length(text) > 0 and doc_id is not null")
     wanted = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter(F.length("text") > 0).distinct()
-    out, block, size = None, [], 0
-    schema = "doc_id bigint, item_id bigint, match_words int"
-
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        sent = corpus.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probes = Probes(sent.value, min_words)
-            ids: list[int] = []
-            owner: list[tuple[int, int]] = []  # (document, words with its separators)
-
-            def flush() -> pa.RecordBatch:
-                doc, n = zip(*owner, strict=True)
-                found = list(probes.matches(np.array(ids, dtype=np.int64), np.repeat(np.array(doc), np.array(n))))
-                ids.clear()
-                owner.clear()
-                columns = list(zip(*found, strict=True)) or [[], [], []]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "match_words"])
-
-            for batch in batches:
-                for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    before = len(ids)
-                    for r in probes.runs(t):
-                        ids.extend(r)
-                        ids.append(0)
-                    if len(ids) > before:
-                        owner.append((key, len(ids) - before))
-                    if len(ids) >= shard_words:
-                        yield flush()
-            if ids:
-                yield flush()
-
-        return corpus.mapInArrow(run, schema)
-
+    context, blocks, block, size = docs.sparkSession.sparkContext, [], [], 0
     for row in wanted.toLocalIterator():
         block.append((row.item_id, row.text))
         size += len(row.text) // 2
         if size >= block_words:
-            out, block, size = search(block) if out is None else out.unionByName(search(block)), [], 0
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
+            blocks.append(context.broadcast(tuple(block)))
+            block, size = [], 0
+    if block:
+        blocks.append(context.broadcast(tuple(block)))
+    columns = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("match_words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: list[tuple[int, list[str]]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b in blocks:
+                found = list(zip(*_probes(b.value, min_words).search(shard), strict=True)) or [[]] * len(columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(found, columns, strict=True)], names=[n for n, _ in columns])
+
+        n = 0
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard.append((key, words(t)))
+                n += len(shard[-1][1])
+                if n >= shard_words:
+                    yield from flush()
+                    shard, n = [], 0
+        if shard:
+            yield from flush()
+
+    out = corpus.mapInArrow(run, ", ".join(f"{n} bigint" for n, _ in columns))
     # a repeated document may fall into several tasks, an item into several blocks
-    return out.groupBy("doc_id", "item_id").agg(F.max("match_words").alias("match_words"))
+    longest = F.struct("match_words", -F.col("doc_word"), -F.col("item_word"))
+    found = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("match_words", "doc_word", "item_word"), longest).alias("x"))
+    return found.select("doc_id", "item_id", "x.*")
+
+
+def locations(docs: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, match_start, match_end, match_words): where the matches of `leaked` stand; code points, end exclusive.
+
+    Only the documents found are read with their texts; a document in several rows has the places of its first text.
+    """
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).join(found.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def make():
+        def rows(keys, items, counts, starts, texts):
+            for key, item, n, at, t in zip(keys, items, counts, starts, texts, strict=True):
+                ends = [m.span() for m in _WORD.finditer(t) for _ in _WORD.findall(m.group().casefold())]
+                yield key, item, ends[at][0], ends[at + n - 1][1], n
+
+        return rows
+
+    joined = found.join(texts, "doc_id").select("doc_id", "item_id", "match_words", "doc_word", "text")
+    return flat_map(joined, "doc_id bigint, item_id bigint, match_start bigint, match_end bigint, match_words bigint", make)
 
 
 def without_leaks(docs: DataFrame, doc_id: str, found: DataFrame) -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import copies, frequencies, languages, leaks, oversized, pii, sentences, tokenizer
+from glyphmill.plans.lineage import cut
 from glyphmill.sources.tables import table
 
 FIELDS = {
-    "terms": frequencies.Field("terms.term_text", "id", "term_text", "language", "df"),
+    "terms": frequencies.Field("terms.term_text", "id", "term_text", "language", "df", "updated_at"),
     "freq_words_english": frequencies.Field("freq_words_english.word", "id", "word", "document_filename", "doc_freq"),
-    "tokens": frequencies.Field("tokens.lemma", "id", "lemma", "doc_id"),
+    "tokens": frequencies.Field("tokens.lemma", "id", "lemma", "doc_id", None, "created_at"),
 }
+#: The moment of the first stored state of counts; later rows come as deltas. And the end of what a sliding state leaves out.
+MOMENT, EXPIRED = "2025-07-01", "2024-07-01"
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,14 +49,46 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copy_counts(_members(spark, folder))
 
 
+def _rows(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {t: table(spark, folder, t, *(c for c in (f.row_id, f.value, f.record, f.amount, f.at) if c)) for t, f in FIELDS.items()}
+
+
+def _deltas(read: dict[str, DataFrame], added: Callable[[frequencies.Field], Column | None], removed: Callable[[frequencies.Field], Column | None]) -> DataFrame:
+    """Deltas of all fields by the rows that the conditions choose; None chooses no row of a field."""
+    parts = []
+    for t, f in FIELDS.items():
+        sides = [None if (c := chosen(f)) is None else read[t].filter(c) for chosen in (added, removed)]
+        if any(x is not None for x in sides):
+            parts.append(frequencies.deltas(*sides, f))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _before(f: frequencies.Field) -> Column:
+    """Rows of the first state; those without time are in it."""
+    return F.coalesce(F.col(f.at) < F.lit(MOMENT).cast("timestamp_ntz"), F.lit(True)) if f.at else F.lit(True)
+
+
+def _after(f: frequencies.Field) -> Column | None:
+    return ~_before(f) if f.at else None
+
+
+def _nothing(f: frequencies.Field) -> None:
+    return None
+
+
+def _first_state(spark: SparkSession, read: dict[str, DataFrame]) -> DataFrame:
+    """The state of MOMENT, stored and read again."""
+    return spark.read.parquet(frequencies.store(frequencies.merge(None, _deltas(read, _before, _nothing))))
+
+
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    read = {t: table(spark, folder, t, f.row_id, f.value, f.record, *([f.amount] if f.amount else [])) for t, f in FIELDS.items()}
-    changes = reduce(DataFrame.unionByName, (frequencies.deltas(read[t], None, f) for t, f in FIELDS.items()))
-    counts = spark.read.parquet(frequencies.store(frequencies.merge(None, changes)))
+    read = _rows(spark, folder)
+    state = frequencies.merge(_first_state(spark, read), _deltas(read, _after, _nothing))
+    counted = frequencies.counts(spark.read.parquet(frequencies.store(state)))
     above = lambda t: read[t].agg((F.count_distinct(FIELDS[t].record) * 0.4).alias("common_above"))
     totals = reduce(DataFrame.unionByName, [above(t).select(F.lit(FIELDS[t].name).alias("field_name"), "common_above") for t in ("tokens", "freq_words_english")])
     totals = totals.unionByName(spark.range(1).select(F.lit("terms.term_text").alias("field_name"), F.lit(3.0).alias("common_above")))
-    return frequencies.verdicts(counts, totals)
+    return frequencies.verdicts(counted, totals)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,6 +99,13 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _verdicts(spark, folder)
 
 
+def p3_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of a sliding state: the stored one of MOMENT, plus the rows since then, minus those from before EXPIRED."""
+    read = _rows(spark, folder)
+    expired = lambda f: _before(f) & (F.col(f.at) < F.lit(EXPIRED).cast("timestamp_ntz")) if f.at else None
+    return frequencies.counts(frequencies.merge(_first_state(spark, read), _deltas(read, _after, expired)))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -100,6 +143,17 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaked(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("match_words").cast("bigint").alias("longest_words"))
 
 
+def p8_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the longest match of each document and item stands in the document."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return leaks.locations(docs, "doc_id", "text", cut(_leaked(spark, folder)))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are left when those with leaked passages are removed."""
+    return leaks.without_leaks(table(spark, folder, "documents", "doc_id"), "doc_id", _leaked(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "given_names", "name"))
 
@@ -109,15 +163,15 @@ def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "given_names", "name"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_content, p2_found, p2_counts, p3_found, p3_counts, p4_found, p6_found, p6_passages, p7_ids, p8_found, p8_items, p9_found, p9_redacted)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_content, p2_found, p2_counts, p3_found, p3_counts, p3_delta, p4_found, p6_found, p6_passages, p7_ids, p8_found, p8_items, p8_places, p8_clean, p9_found, p9_redacted)}
 
 _P3 = """
-with rows as (
-  select distinct 'tokens.lemma' as field_name, id, lemma as v, cast(doc_id as varchar) as record, 1 as amount from tokens
-  union all select distinct 'freq_words_english.word', id, word, document_filename, coalesce(doc_freq, 0) from freq_words_english
-  union all select distinct 'terms.term_text', id, term_text, language, coalesce(df, 0) from terms
-), named as (
-  select field_name, record, amount, nfc_normalize(lower(regexp_replace(v, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g'))) as term from rows
+with all_rows as (
+  select distinct 'tokens.lemma' as field_name, id, lemma as v, cast(doc_id as varchar) as record, 1 as amount, created_at as at from tokens
+  union all select distinct 'freq_words_english.word', id, word, document_filename, coalesce(doc_freq, 0), null from freq_words_english
+  union all select distinct 'terms.term_text', id, term_text, language, coalesce(df, 0), updated_at from terms
+), rows as (select * from all_rows {where}), named as (
+  select field_name, record, amount, nfc_normalize(lower(regexp_replace(v, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g'))) as term from rows
 ), counts as (
   select field_name, term, cast(sum(amount) as bigint) as occurrences, count(distinct record) as records from named where term <> '' group by all
 ), totals as (
@@ -143,14 +197,23 @@ g as (select key, min(doc_id) as least from keyed group by key),
 f as (select g.key, min(coalesce(o.least, g.least)) as first_doc_id from g left join r on r.key = g.key left join g o on o.key = r.other group by g.key),
 m as (select distinct doc_id, first_doc_id from keyed join f using (key))
 """
+_P8 = """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+ i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where text is not null),
+ dw as (select doc_id, unnest(range(len(w) - 9)) as k, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from d where len(w) >= 10),
+ iw as (select item_id, unnest(range(len(w) - 9)) as k, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from i where len(w) >= 10),
+ pairs as materialized (select distinct doc_id, item_id, dw.k as dk, iw.k as ik from dw join iw using (g)), hit as (select distinct doc_id, item_id from pairs)
+"""
+# runs of pairs on one diagonal are one match
+_P8_LONGEST = _P8 + """, islands as (select doc_id, item_id, dk - ik as diagonal, dk - row_number() over (partition by doc_id, item_id, dk - ik order by dk) as island from pairs),
+ longest as (select doc_id, item_id, max(n) as n from (select doc_id, item_id, count(*) + 9 as n from islands group by doc_id, item_id, diagonal, island) group by doc_id, item_id)
+"""
 SQL = {
-    "p3_found": _P3 + "select field_name, term, verdict from judged where verdict is not null",
-    "p3_counts": _P3 + "select field_name, term, occurrences, records, verdict from judged",
+    "p3_delta": _P3.format(where=f"where at is null or at >= timestamp '{EXPIRED}'") + "select field_name, term, occurrences, records from counts",
+    "p3_found": _P3.format(where="") + "select field_name, term, verdict from judged where verdict is not null",
+    "p3_counts": _P3.format(where="") + "select field_name, term, occurrences, records, verdict from judged",
     "p2_found": _P2 + "select first_doc_id, doc_id as copy_doc_id from m where doc_id <> first_doc_id",
     "p2_counts": _P2 + "select first_doc_id, count(*) as n_copies from m group by first_doc_id having count(*) > 1",
-    "p8_found": """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
- i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where text is not null),
- dw as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from d where len(w) >= 10),
- iw as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from i where len(w) >= 10)
- select distinct doc_id, item_id from dw join iw using (g)""",
+    "p8_found": _P8 + "select doc_id, item_id from hit",
+    "p8_clean": _P8 + "select doc_id from documents where doc_id not in (select doc_id from hit)",
+    "p8_items": _P8_LONGEST + "select item_id, count(*) as n_docs, max(n) as longest_words from longest group by item_id",
 }

@@ -147,6 +147,14 @@ def test_copies_of_nothing_and_a_hot_group(spark):
     assert len(got) == 199 and {r.first_doc_id for r in got} == {1}
 
 
+def test_hubs_of_hashes_and_labels(spark):
+    """A null text's hash shared by most rows, with many different texts: one group of everything."""
+    rows = [(0, None, "ab")] + [(i, f"text {i}", "AB" if i % 10 else f"c{i}") for i in range(1, 600)]
+    got = copies.copies(spark.createDataFrame(rows, "doc_id bigint, text string, file_hash string"), "doc_id", "text", "file_hash")
+    want = {(0, i) for i in range(1, 600) if i % 10}
+    assert {(r.first_doc_id, r.doc_id) for r in got.filter("doc_id <> first_doc_id").collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     assert {r.node: r["first"] for r in components.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
@@ -173,15 +181,23 @@ def test_deltas_keep_counts_up_to_date(spark):
                 docs[w] |= {d} - {None}
         return {w: (n[w], len(docs[w])) for w in n if n[w] or docs[w]}
 
-    def counted(df):
-        return {r.term: (r.occurrences, r.records) for r in df.collect() if r.occurrences or r.records}
+    def counted(state):
+        return {r.term: (r.occurrences, r.records) for r in frequencies.counts(state).collect() if r.occurrences or r.records}
 
     first = frequencies.merge(None, frequencies.deltas(frame(old), None, field))
     assert counted(first) == plainly(old)
-    stored = spark.read.parquet(frequencies.store(first))
-    assert counted(frequencies.merge(stored, frequencies.deltas(frame(new), frame(old), field))) == plainly(new)
+    stored = spark.read.parquet(frequencies.store(first, 3))
+    assert counted(stored) == plainly(old)
+    # whole states, and the rows that changed only
+    gone = {i: r for i, r in old.items() if new.get(i) != r}
+    come = {i: r for i, r in new.items() if old.get(i) != r}
+    for added, removed in ((new, old), (come, gone)):
+        changes = frequencies.deltas(frame(added), frame(removed), field)
+        again = spark.read.parquet(frequencies.store(frequencies.merge(stored, changes)))
+        assert counted(again) == plainly(new)
     assert counted(frequencies.merge(stored, frequencies.deltas(None, frame(old), field))) == {}
     assert frequencies.deltas(frame(old), frame(old), field).collect() == []
+    assert counted(frequencies.merge(None, frequencies.deltas(frame(old).limit(0), None, field))) == {}
 
 
 # --- p7 ---
@@ -236,12 +252,23 @@ def test_leaks_against_brute_force(spark):
     item_frame = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(0))
     for sizes in ({}, {"shard_words": 20}, {"block_words": 5}):
         got = leaks.leaked(frame, "doc_id", "text", item_frame, "item_id", "text", 4, **sizes)
+        texts, wanted = dict(docs), dict(items)
+        for r in leaks.locations(frame, "doc_id", "text", got).collect():
+            passage = leaks.words(texts[r.doc_id][r.match_start : r.match_end])
+            assert len(passage) == r.match_words and " ".join(passage) in " ".join(leaks.words(wanted[r.item_id]))
         assert {(r.doc_id, r.item_id): r.match_words for r in got.collect()} == want
     clean = leaks.without_leaks(frame, "doc_id", got)
     assert {r.doc_id for r in clean.collect() if r.doc_id is not None} == {d for d, _ in docs} - {d for d, _ in want}
     assert leaks.leaked(frame, "doc_id", "text", item_frame.limit(0), "item_id", "text", 4).collect() == []
 
 
+def test_places_where_small_letters_are_longer(spark):
+    d = spark.createDataFrame([(1, "İİ ẞ one Two ßß three four İ")], "doc_id bigint, text string")
+    item = spark.createDataFrame([(7, "ONE two SSSS three four")], "item_id bigint, text string")
+    found = leaks.leaked(d, "doc_id", "text", item, "item_id", "text", 3)
+    assert [tuple(r)[2:] for r in leaks.locations(d, "doc_id", "text", found).collect()] == [(5, 26, 5)]
+
+
 @given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 12))
 @settings(max_examples=150, deadline=None)
 def test_suffix_order(ids, depth):
