@@ -21,17 +21,22 @@ from pyspark.sql import functions as F
 from glyphmill.llm.arrow import flat_map
 from glyphmill.llm.sentences import is_card, units
 
-#: Bounds of the labelled sample: documents per language, and characters of training text per language.
-TRAIN_DOCS, TRAIN_CHARS = 160, 14_000
+#: Bounds of the labelled sample: documents per language, characters of a window at a hashed place in each of them, and
+#: characters of training text per language.
+TRAIN_DOCS, TRAIN_WINDOW, TRAIN_CHARS = 160, 4_000, 14_000
 #: Phrases that a change of language costs.
 CHANGE = 4.0
 #: Cells of a language's automaton as a table; with more, for scripts with very many characters, only its transitions are stored.
 CELLS = 12_000_000
+#: A run of LONG letters or more of a spaced script is read by itself, whole; where even the best language needs more than NOISE
+#: phrases a letter it is a key or other data and left out (random letters need about 0.7, text without its spaces 0.2 to 0.4).
+LONG, NOISE = 30, 0.5
 #: Share of a language's training letters from which their script is one of the language's.
 OF_SCRIPT = 0.05
 #: Code points that letters are looked for in.
 POINTS = 0x32400
-#: A lane of the vectorised parse holds at most so many characters; longer sentences take several lanes.
+#: A lane of the vectorised parse holds at most so many characters; longer sentences take several lanes, each of which goes on
+#: in the state where the one before it ends.
 LANE = 256
 #: Lanes that are parsed at once.
 BLOCK = 4096
@@ -50,8 +55,7 @@ SPELLINGS = {
     "ar": "ar ara arabic العربية",
     "th": "th tha thai ไทย",
 }
-# A run of letters is read up to here; what follows is no word of any language.
-_RUN = re.compile(r"([a-zа-яё]{24})[a-zа-яё]+")
+_RUN = re.compile(rf"[^\W\d_฀-๿぀-ヿ㐀-鿿豈-﫿]{{{LONG},}}")
 _CODE = {name: code for code, names in SPELLINGS.items() for name in names.split()}
 
 
@@ -196,7 +200,7 @@ class Model:
 
     def codes_of(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all sentences in one array, without repeats of 0, and the number of each."""
-        low = [_RUN.sub(r"\1", s.lower()) if len(s) > 80 else s.lower() for s in sentences]
+        low = [s.lower() for s in sentences]
         lengths = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
         codes = self.alphabet.codes("".join(low), lower=False)
         owner = np.repeat(np.arange(len(low)), lengths)
@@ -216,9 +220,29 @@ class Model:
         return (counts == counts.max()) & (counts > 0)
 
     def _read(self, sentences: Sequence[str], fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `_read_whole`; long runs are read by themselves and added to their sentence, or left out as noise."""
+        whole, runs, owner = [], [], []
+        for i, s in enumerate(sentences):
+            if len(s) >= LONG and (found := _RUN.findall(s)):
+                runs += found
+                owner += [i] * len(found)
+                s = _RUN.sub(" ", s)
+            whole.append(s)
+        costs, letters, known = self._read_whole([*whole, *runs], fallback)
+        n = len(sentences)
+        for k, i in enumerate(owner, n):
+            best = costs[k].min() if len(costs[k]) else 0
+            if best <= NOISE * letters[k]:
+                alone = letters[i] == 0
+                costs[i] = costs[k] if alone else costs[i] + np.where(np.isfinite(costs[k]), costs[k], letters[k])
+                known[i] = known[k] if alone else known[i]
+                letters[i] += letters[k]
+        return costs[:n], letters[:n], known[:n]
+
+    def _read_whole(self, sentences: Sequence[str], fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As `read`, and the share of known letters of each sentence that no language takes, 1 of the others.
 
-        With `fallback` such a sentence is read by the languages of its script, unknown letters as phrases.
+        With `fallback` such a sentence is read by the languages of its script.
         """
         langs = len(self.languages)
         codes, lengths = self.codes_of(sentences)
@@ -235,45 +259,60 @@ class Model:
         start = np.repeat(np.cumsum(lengths) - lengths, lanes_of) + nth * LANE
         size = np.minimum(lengths[owner] - nth * LANE, LANE)
         order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
+        start, size, owner, nth = start[order], size[order], owner[order], nth[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(nth > 0, place[np.maximum(order - 1, 0)], -1)  # the lane that a lane goes on from
         seen = np.zeros((len(sentences), langs))
         for k in range(langs):
             seen[filled, k] = np.add.reduceat(self.own[k][codes], begins, dtype=np.int64)
         takes = seen >= 0.6 * np.maximum(letters, 1)[:, None]  # a language takes part where most letters are its own
+        costs += letters[:, None] - seen  # a letter that a language's training text doesn't have is a phrase of its own
         if fallback and langs:
             for i in np.flatnonzero(~takes.any(axis=1) & (letters > 0)):
                 takes[i] = self._by_script(sentences[i])
-                costs[i] = letters[i] - seen[i]
                 known[i] = seen[i].max() / letters[i]
         costs[~takes] = np.inf
         takes = takes[owner]
         phrases = np.zeros((len(owner), langs), dtype=np.int32)
-        for b in range(0, len(owner), BLOCK):  # few enough lanes that their states stay in the cache
-            n = size[b : b + BLOCK]
-            steps = np.arange(int(n[0]))
-            block = codes[np.minimum(start[b : b + BLOCK] + steps[:, None], len(codes) - 1)]  # a row per step
-            for k in range(langs):
-                mine = np.flatnonzero(takes[b : b + BLOCK, k])
-                if len(mine):
-                    part = block if len(mine) == len(n) else block[:, mine]
-                    phrases[b + mine, k] = self._parse(k, part, n[mine])
+        state, ends = np.zeros((2, len(owner), langs), dtype=np.int32)
+        todo = np.arange(len(owner))
+        while len(todo):  # first all lanes; then those whose predecessor ends in another state than they began with
+            for b in range(0, len(todo), BLOCK):  # few enough lanes that their states stay in the cache
+                lanes = todo[b : b + BLOCK]
+                n = size[lanes]
+                steps = np.arange(int(n[0]))
+                block = codes[np.minimum(start[lanes] + steps[:, None], len(codes) - 1)]  # a row per step
+                for k in range(langs):
+                    mine = np.flatnonzero(takes[lanes, k])
+                    if len(mine):
+                        part = block if len(mine) == len(n) else block[:, mine]
+                        at = lanes[mine]
+                        phrases[at, k], ends[at, k] = self._parse(k, part, n[mine], state[at, k])
+            begin = np.where((before >= 0)[:, None], ends[before], 0)
+            todo = np.flatnonzero((begin != state).any(axis=1))
+            state = begin
+        phrases[before < 0] += 1
         for k in range(langs):
             np.add.at(costs[:, k], owner, phrases[:, k] * self.weights[k])
         return costs, letters, known
 
-    def _parse(self, k: int, block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane (column of `block`, longest first) in language k; an unknown letter is read with the phrase behind it."""
+    def _parse(self, k: int, block: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each lane (column of `block`, longest first) in language k, and the state at its end.
+
+        An unknown letter is read with the phrase behind it.
+        """
         columns, flat = self.columns[k][block], self.flat[k]
         dense = isinstance(flat, np.ndarray)
         active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")  # lanes longer than the step
-        state, phrases = np.zeros(len(sizes), dtype=np.int32), np.ones(len(sizes), dtype=np.int32)
+        state, phrases = begin.copy(), np.zeros(len(sizes), dtype=np.int32)
         for step in range(int(sizes[0])):
             a = int(active[step])
             to = flat.take(state[:a] + columns[step, :a]) if dense else flat.follow(state[:a], columns[step, :a])
             ends = to >> 31  # -1 where a phrase ends
             phrases[:a] -= ends
             np.bitwise_xor(to, ends, out=state[:a])
-        return phrases
+        return phrases, state
 
 
 @lru_cache(4)
@@ -284,18 +323,22 @@ def _model(key: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
 # --- training ----------------------------------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, doc_id: str, text: str, source: str, final: str, per_language: int = TRAIN_DOCS) -> dict[str, list[str]]:
-    """Texts by language whose labels agree: `per_language` at most, those whose id has the smallest hashes."""
-    labelled = docs.select(F.col(text).alias("text"), label_code(F.col(source)).alias("lang"), label_code(F.col(final)).alias("other"), F.xxhash64(doc_id).alias("h")).filter("lang = other and length(text) > 40")
+def labelled_sample(docs: DataFrame, doc_id: str, text: str, source: str, final: str, per_language: int = TRAIN_DOCS, window: int = TRAIN_WINDOW) -> dict[str, list[str]]:
+    """Texts by language whose labels agree: `per_language` at most, those whose id has the smallest hashes; of each a window.
+
+    The labels are counted without reading texts, and one pass over the texts picks the sample.
+    """
+    labelled = docs.select(F.col(text).alias("text"), label_code(F.col(source)).alias("lang"), label_code(F.col(final)).alias("other"), F.xxhash64(doc_id).alias("h"), F.xxhash64(F.col(doc_id), F.lit(6)).alias("h2")).filter("lang = other")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     # about twice as many as wanted pass by hash; of these the smallest hashes are taken
     passes = F.lit(False)
     for lang, n in sizes.items():
         bound = -(2**63) + int(2**64 * min(1.0, 2 * per_language / n + 8 / n)) - 1
         passes |= (F.col("lang") == lang) & (F.col("h") <= F.lit(min(bound, 2**63 - 1)))
-    rows = labelled.filter(passes).select("lang", "h", F.substring("text", 1, 4000).alias("text")).collect()  # a bounded sample
+    at = F.pmod("h2", F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
+    rows = labelled.filter(passes & (F.length("text") > 40)).select("lang", "h", F.substring(F.col("text"), at, F.lit(window)).alias("text")).collect()  # a bounded sample
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r.h):
+    for r in sorted(rows, key=lambda r: (r.h, r.text)):
         if len(out.setdefault(r.lang, [])) < per_language:
             out[r.lang].append(r.text)
     return out
@@ -361,7 +404,11 @@ def segments(texts: Sequence[str], model: Model) -> list[list[tuple[int, int, st
     for i, t in enumerate(texts):
         if t:
             pieces += [(i, a, b) for a, b in ([(0, len(t))] if is_card(t) else units(t))]
-    costs, letters, known = model._read([texts[i][a:b] for i, a, b in pieces], True)
+    # equal sentences of a batch are read once
+    wanted = [texts[i][a:b] for i, a, b in pieces]
+    place = {x: k for k, x in enumerate(dict.fromkeys(wanted))}
+    of = np.fromiter((place[x] for x in wanted), dtype=np.int64, count=len(wanted))
+    costs, letters, known = (x[of] for x in model._read(list(place), True))
     finite = np.isfinite(costs)
     hopeless = ~finite.any(axis=1)
     costs = np.where(finite, costs, np.where(finite, costs, 0).max(axis=1, keepdims=True) + np.maximum(letters, 1)[:, None] * 0.7 + 3)
@@ -423,9 +470,11 @@ def label_findings(found: DataFrame, source: str, final: str, least_sentences: i
     """(doc_id, language, confidence) of documents whose labels are absent or wrong, or whose text is in two languages.
 
     `found` are `passages` that carry the canonical codes of both labels. The main language has the most letters;
-    another counts with `least_sentences` sentences or more. Passages are grouped by document with map-side combining.
+    another counts with `least_sentences` sentences or more. Passages of repeated rows count once. One shuffle: a
+    document's passages meet by its id.
     """
-    by = found.groupBy("doc_id", "language").agg(F.sum("letters").alias("letters"), F.sum("sentences").alias("sentences"), (F.sum(F.col("confidence") * F.col("letters")) / F.greatest(F.sum("letters"), F.lit(1))).alias("confidence"), F.max(source).alias("s"), F.max(final).alias("f"))
+    once = found.repartition("doc_id").dropDuplicates(["doc_id", "seg_start", "seg_end", "language"])
+    by = once.groupBy("doc_id", "language").agg(F.sum("letters").alias("letters"), F.sum("sentences").alias("sentences"), (F.sum(F.col("confidence") * F.col("letters")) / F.greatest(F.sum("letters"), F.lit(1))).alias("confidence"), F.max(source).alias("s"), F.max(final).alias("f"))
     docs = by.groupBy("doc_id").agg(F.max_by("language", F.struct("letters", "language")).alias("main"), F.collect_list(F.struct("language", "sentences", "confidence")).alias("all"), F.max("s").alias("s"), F.max("f").alias("f"))  # at most one entry per language
     second = F.filter("all", lambda x: (x["language"] != F.col("main")) & (x["sentences"] >= least_sentences))
     wrong = F.coalesce((F.col("s") != F.col("main")) | (F.col("f") != F.col("main")), F.lit(True)) | F.col("s").isNull() | F.col("f").isNull()

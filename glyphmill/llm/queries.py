@@ -167,7 +167,7 @@ QUERIES = {q.__name__: q for q in (p1_found, p1_content, p2_found, p2_counts, p3
 
 _P3 = """
 with all_rows as (
-  select distinct 'tokens.lemma' as field_name, id, lemma as v, cast(doc_id as varchar) as record, 1 as amount, created_at as at from tokens
+  select distinct 'tokens.lemma' as field_name, id, lemma as v, cast(doc_id as varchar) as record, 1 as amount, created_at as made from tokens
   union all select distinct 'freq_words_english.word', id, word, document_filename, coalesce(doc_freq, 0), null from freq_words_english
   union all select distinct 'terms.term_text', id, term_text, language, coalesce(df, 0), updated_at from terms
 ), rows as (select * from all_rows {where}), named as (
@@ -208,7 +208,7 @@ _P8_LONGEST = _P8 + """, islands as (select doc_id, item_id, dk - ik as diagonal
  longest as (select doc_id, item_id, max(n) as n from (select doc_id, item_id, count(*) + 9 as n from islands group by doc_id, item_id, diagonal, island) group by doc_id, item_id)
 """
 SQL = {
-    "p3_delta": _P3.format(where=f"where at is null or at >= timestamp '{EXPIRED}'") + "select field_name, term, occurrences, records from counts",
+    "p3_delta": _P3.format(where=f"where made is null or made >= timestamp '{EXPIRED}'") + "select field_name, term, occurrences, records from counts",
     "p3_found": _P3.format(where="") + "select field_name, term, verdict from judged where verdict is not null",
     "p3_counts": _P3.format(where="") + "select field_name, term, occurrences, records, verdict from judged",
     "p2_found": _P2 + "select first_doc_id, doc_id as copy_doc_id from m where doc_id <> first_doc_id",

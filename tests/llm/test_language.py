@@ -176,7 +176,18 @@ def test_phrases_against_greedy_parsing():
             at, n = max(at + 1, e - 1), n + 1
         costs, _ = model.read([s, "x" * 700])
         k = model.languages.index(lang)
-        assert costs[0, k] == pytest.approx(n * model.weights[k])
+        unknown = sum(c.isalpha() and not any(c in x for x in train) for c in codes)  # each a phrase of its own
+        assert costs[0, k] == pytest.approx(n * model.weights[k] + unknown)
+
+
+def test_noise_is_left_out_and_unspaced_text_is_not():
+    rng = random.Random(9)
+    model = languages._model(languages.train(SAMPLE))
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900))
+    plain = "She opened the garden gate and waited."
+    a, n, _ = model._read([plain, f"{plain[:-1]} {noise}.", noise, plain.replace(" ", "") * 2], False)
+    assert n.tolist()[:3] == [31, 31, 0] and np.allclose(a[0], a[1], atol=1.01) and n[3] == 62
+    assert model.languages[int(np.argmin(a[3]))] == "en"
 
 
 def test_languages_mixed_texts_and_nothing():
@@ -211,6 +222,22 @@ def test_rich_scripts_keep_their_training_text():
     assert np.array_equal(dense.read(mixed)[0], whole.read(mixed)[0]) and np.array_equal(dense.read(mixed)[0], small.read(mixed)[0])
 
 
+def test_lanes_go_on_where_the_one_before_ends(monkeypatch):
+    model, rng = languages._model(languages.train(SAMPLE)), random.Random(3)
+    pool = [x for texts in SAMPLE.values() for t in texts for x in t.split()]
+    long = [" ".join(rng.choice(pool) for _ in range(n)) for n in (3, 200, 900)] + ["".join(rng.choice("abcdefgh") for _ in range(3000))]
+    wide = []
+    for lane in (256, 7, 10**6):
+        monkeypatch.setattr(languages, "LANE", lane)
+        wide.append(model.read(long)[0])
+    assert np.allclose(wide[0], wide[1]) and np.allclose(wide[0], wide[2]) and np.isfinite(wide[0]).any()
+
+
+def test_a_repeated_row_counts_once(spark):
+    d = spark.createDataFrame([(1, "She opened the garden gate. Nobody knew why. El capitán encontró la carta.", "en", "en")] * 3, "doc_id bigint, text string, s string, f string")
+    assert languages.label_findings(languages.passages(d, "doc_id", "text", languages.train(SAMPLE), ["s", "f"]), "s", "f").collect() == []
+
+
 def test_label_findings(spark):
     texts = {1: "The captain found the old letter.", 2: "El capitán encontró la carta.", 3: "The tower was closed. She waited. Ella abrió la puerta. Nadie sabía por qué cerraron la torre.", 4: "??", 5: None, 6: "Nobody knew why.", 7: "She opened the gate."}
     labels = {1: ("en-US", "ENGLISH "), 2: ("en", "spanish"), 3: ("en", "en"), 4: (None, None), 5: ("en", "en"), 6: ("und", "en"), 7: ("English", "")}
