@@ -115,39 +115,53 @@ BEHIND = {"obj", "dobj", "iobj", "pobj", "obl", "nmod", "conj", "xcomp", "ccomp"
 
 
 def linearize(tokens: Sequence[dict]) -> list[int]:
-    """Order of a tree's tokens: subjects, the root's adverbs, the root, then what is left; each with its modifiers around it."""
+    """Order of a tree's tokens: subjects, the root's adverbs, the root, then what is left; each with its modifiers around it.
+
+    Every token gets a sort key: the turn of the token it hangs on, then a step (side, place) for each level below it.
+    A coordinating conjunction stands directly before the first of its later siblings.
+    """
     by = {t["i"]: t for t in tokens}
-    children: dict[int, list[int]] = {}
     root = next((t["i"] for t in tokens if t["head"] == t["i"]), None)
     if root is None:
         return sorted(by)
+
+    def turn(i: int) -> tuple[int, int]:
+        rel = by[i]["dep"]
+        return (0 if rel in SUBJECTS else 1 if rel in ADVERBS and by[i]["head"] == root else 2 if i == root else 3, i)
+
+    def side(i: int) -> int:
+        """-1 before the head, 1 behind it, 0 for tokens that don't hang on their head."""
+        rel, head = by[i]["dep"], by[i]["head"]
+        return 0 if head == i or head not in by else -1 if rel in BEFORE else 1 if rel in BEHIND else 0
+
+    links: dict[int, int] = {}  # the first conjunction below each head
     for i in sorted(by):
-        if by[i]["head"] != i:
-            children.setdefault(by[i]["head"], []).append(i)
-    out: list[int] = []
-    stack: list[tuple[str, int]] = []
-    seen: set[int] = set()
-
-    def visit(start: int) -> None:
-        stack.append(("open", start))
-        while stack:
-            what, i = stack.pop()
-            if what == "put":
-                if i not in seen:
-                    seen.add(i)
-                    out.append(i)
-                continue
-            if i in seen:
-                continue
-            own = children.get(i, [])
-            link = next((c for c in children.get(by[i]["head"], []) if by[c]["dep"] == "cc" and c < i and c != i), None)
-            order = [("open", c) for c in own if by[c]["dep"] in BEFORE] + ([("open", link)] if link is not None else []) + [("put", i)] + [("open", c) for c in own if by[c]["dep"] in BEHIND]
-            stack.extend(reversed(order))
-
-    firsts = [i for i in sorted(by) if by[i]["dep"] in SUBJECTS] + [i for i in sorted(by) if by[i]["dep"] in ADVERBS and by[i]["head"] == root] + [root]
-    for i in [*firsts, *sorted(by)]:
-        visit(i)
-    return out
+        if by[i]["dep"] == "cc":
+            links.setdefault(by[i]["head"], i)
+    paths: dict[int, tuple] = {}
+
+    def path(i: int, above: tuple[int, ...] = ()) -> tuple:
+        """The earliest of a token's own turn, its place around its head, and that before the siblings a conjunction leads."""
+        if i in paths:
+            return paths[i]
+        options = [(turn(i),)]
+        head = by[i]["head"]
+        if side(i) and head not in above:
+            options.append((*path(head, (*above, i)), (side(i), i)))
+        if links.get(head) == i:
+            options += [(*path(x, (*above, i)), (0, -1)) for x in by if by[x]["head"] == head and x > i and x not in above]
+        if not above:
+            paths[i] = min(options)
+        return min(options)
+
+    children: dict[int, list[int]] = {}
+    for i in by:
+        children.setdefault(by[i]["head"], []).append(i)
+    heads_first = [i for i in by if by[i]["head"] == i or by[i]["head"] not in by]
+    for i in heads_first:  # so that no path is found through more than a head that has its own
+        heads_first += [c for c in children.get(i, []) if c != i]
+        path(i)
+    return sorted(by, key=lambda i: (*path(i), (0, i)))
 
 
 def _sentence_udf(make) -> object:
