@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill import resources as R
 from glyphmill.functions import text as T
+from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import evaluate, index, search
 from glyphmill.sources.tables import table
 
@@ -16,7 +17,7 @@ VERSION = 2
 
 
 def _docs(spark: SparkSession, folder: str, language: str = "en", *more: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "text", "lang", *more).filter(F.col("lang") == language)
+    return table(spark, folder, "documents", "doc_id", "text", "lang", *more).filter(label_code(F.col("lang")) == language)
 
 
 def _tokens(spark: SparkSession, folder: str, language: str = "en") -> DataFrame:
@@ -177,7 +178,7 @@ def rerank(spark, folder):
 
 
 def terms_missing(spark, folder):
-    known = table(spark, folder, "terms", "term_text", "language").filter("language = 'en'").select(F.lower(F.trim("term_text")).alias("term"))
+    known = table(spark, folder, "terms", "term_text", "language").filter(label_code(F.col("language")) == "en").select(F.lower(F.trim("term_text")).alias("term"))
     return index.missing_terms(_tokens(spark, folder), known)
 
 
@@ -216,7 +217,7 @@ QUERIES = {q.__name__: q for q in _ALL} | {"map": map_}
 
 
 def _tok(language: str) -> str:
-    return f"""(select doc_id, pos, term from (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '{T.ALPHABETS[language]}') as w from documents where lang = '{language}' and text is not null))
+    return f"""(select doc_id, pos, term from (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '{T.ALPHABETS[language]}') as w from documents where {label_sql('lang')} = '{language}' and text is not null))
  where length(term) > 1 and term not in {R.sql_list(R.STOPWORDS[language])})"""
 
 
@@ -278,10 +279,10 @@ SQL = {
     "upsert_latest": f"select query_id, doc_id, id, cast(relevant as bigint) as relevant from {_LATEST}",
     "cosine_topk": f"with {_VEC} select vec_id, round({_COS}, 6) as cosine from vec order by cosine desc, vec_id limit 20",
     "rerank": f"{_ONE}, {_VEC}, f as (select doc_id, round(score, 4) as bm25, round({_COS}, 4) as cosine from r join vec on vec_id = doc_id where rank <= 100) select doc_id, bm25, cosine, round(bm25 * cosine, 4) as final from f order by final desc, doc_id limit 20",
-    "terms_missing": f"select distinct term from {_tok('en')} where term not in (select lower(trim(term_text)) from terms where language = 'en' and term_text is not null)",
+    "terms_missing": f"select distinct term from {_tok('en')} where term not in (select lower(trim(term_text)) from terms where {label_sql('language')} = 'en' and term_text is not null)",
     "index_replace_doc": f"with {_base()} select term, count(*) as df, cast(sum(cnt) as bigint) as cnt from post group by term",
     "index_delete_doc": f"with {_base()} select term, count(*) as df, cast(sum(cnt) as bigint) as cnt from post where doc_id in (select doc_id from documents where deleted_at is null) group by term",
-    "index_current": f"with {_base()} select doc_id, status from documents join len using (doc_id) where lang = 'en' and file_hash = lower(file_hash) and not coalesce(date_added < timestamp '2025-01-01', false)",
+    "index_current": f"with {_base()} select doc_id, status from documents join len using (doc_id) where {label_sql('lang')} = 'en' and file_hash = lower(file_hash) and not coalesce(date_added < timestamp '2025-01-01', false)",
     "resolve_document": f"""with r as (select ref_no, lower(trim(reference)) as ref, trim(regexp_replace(lower(trim(reference)), '[.!?]+$', '')) as bare from {R.REFERENCES.values()}),
  d as (select doc_id, lower(title) as t, lower(file_path) as p, lower(regexp_extract(file_path, '([^/\\\\]+)$', 1)) as f from documents),
  m as (select ref_no, doc_id, case when p = ref then 1 when t = ref or f = ref then 2 when t = bare or f = bare then 3 else 4 end as level from r, d where ref <> '' and (contains(t, bare) or contains(f, bare) or p = ref)),

@@ -7,18 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.labels import LANGUAGES as LANGS
+from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import langid
 from glyphmill.sources.tables import table
 
-LANGS = ("en", "es", "ru", "de", "fr", "pt")
-
 
 def _docs(spark, folder) -> DataFrame:
     return table(spark, folder, "documents", "doc_id", "text", "lang").filter("text is not null")
 
 
 def _labelled(spark, folder) -> DataFrame:
-    return _docs(spark, folder).filter(F.col("lang").isin(*LANGS))
+    """Texts of all languages, with the code that the label names."""
+    return _docs(spark, folder).withColumn("lang", label_code(F.col("lang"))).filter("lang is not null")
 
 
 def _profiles(spark, folder, method: str) -> DataFrame:
@@ -124,7 +125,7 @@ _ALL = (word_counts, profile_frequent, profile_short, profile_normalize, profile
 QUERIES = {q.__name__: q for q in _ALL}
 
 _IN = "('" + "', '".join(LANGS) + "')"
-_LAB = f"(select * from documents where text is not null and lang in {_IN})"
+_LAB = f"(select * replace ({label_sql('lang')} as lang) from documents where text is not null and {label_sql('lang')} is not null)"
 _WC = f"wc as materialized (select doc_id, w as word, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '{langid.WORD}')) as w from documents where text is not null) group by all)"
 _PW = f"pw as materialized (select lang, unnest(regexp_extract_all(lower(text), '{langid.PROFILE_WORD}')) as word from {_LAB})"
 _FREQ = "freq as (select lang, word, weight from lang_profiles where method = 'frequent'), short as (select lang, word, weight as p from lang_profiles where method = 'short')"

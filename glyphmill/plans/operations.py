@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from glyphmill import resources as R
+from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import catalog, commands, index, translate
 from glyphmill.plans.lineage import shared_folder
 from glyphmill.sources.tables import table
@@ -55,7 +56,7 @@ def cache_valid(spark, folder):
 def translate_passthrough(spark, folder):
     """What a translation into English does with each document: passes it through, needs a model, or can't."""
     d = table(spark, folder, "documents", "doc_id", "text", "lang")
-    return d.select("doc_id", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty").when(F.col("lang") == "en", "passthrough").when(F.col("lang") == "ru", "model").otherwise("language_unknown").alias("outcome"))
+    return d.select("doc_id", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty").when(label_code(F.col("lang")) == "en", "passthrough").when(label_code(F.col("lang")) == "ru", "model").otherwise("language_unknown").alias("outcome"))
 
 
 def speech_rate(spark, folder):
@@ -161,7 +162,7 @@ def dispatch_counts(spark, folder):
     r = index.upsert_latest(table(spark, folder, "synthesis_request", "request_id", "doc_id", "text", "requested_at"), ["request_id"], "requested_at")
     d = table(spark, folder, "documents", "doc_id", "lang", "status").withColumn("there", F.lit(True))
     j = r.join(d, "doc_id", "left")
-    code = F.when(F.col("there").isNull(), "document_not_found").when(F.col("status") != "processed", "document_not_ready").when(F.coalesce(~F.col("lang").isin("en", "ru"), F.lit(True)), "language_unknown").when(F.coalesce(F.trim("text"), F.lit("")) == "", "document_text_unavailable").otherwise("ok")
+    code = F.when(F.col("there").isNull(), "document_not_found").when(F.col("status") != "processed", "document_not_ready").when(F.coalesce(~label_code(F.col("lang")).isin("en", "ru"), F.lit(True)), "language_unknown").when(F.coalesce(F.trim("text"), F.lit("")) == "", "document_text_unavailable").otherwise("ok")
     return j.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,7 +199,7 @@ def stream_index(spark, folder):
     out = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        toks = index.tokens(batch.filter("lang = 'en'"), "doc_id", "en", R.STOPWORDS["en"])
+        toks = index.tokens(batch.filter(label_code(F.col("lang")) == "en"), "doc_id", "en", R.STOPWORDS["en"])
         index.postings(toks).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     _stream(spark, folder, "documents").select("doc_id", "text", "lang").writeStream.foreachBatch(write).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
@@ -249,7 +250,7 @@ SQL = {
     "label_disambiguate": "select doc_id, case when title is not null and count(*) over (partition by title) > 1 then title || ' [' || doc_id || ']' else title end as label from documents",
     "catalog_books": "select source, lang, count(*) as n_chapters, cast(sum(n_chars) as bigint) as n_chars, min(title) as first_title from documents group by source, lang",
     "cache_valid": f"select c.* from {R.CACHE.values()} c where exists (select 1 from {R.CACHE_NOW.values()} n where n.doc_id = c.doc_id and n.file_hash = c.file_hash and n.language = c.language)",
-    "translate_passthrough": "select doc_id, case when coalesce(trim(text), '') = '' then 'empty' when lang = 'en' then 'passthrough' when lang = 'ru' then 'model' else 'language_unknown' end as outcome from documents",
+    "translate_passthrough": f"select doc_id, case when coalesce(trim(text), '') = '' then 'empty' when {label_sql('lang')} = 'en' then 'passthrough' when {label_sql('lang')} = 'ru' then 'model' else 'language_unknown' end as outcome from documents",
     "speech_rate": "select cast(rate as bigint) as rate, count(*) as n, greatest(-10, least(10, cast(round_even(10 * log2(1 + rate / 100), 0) as bigint))) as step from synthesis_request where rate is not null group by rate",
     "locale_codes": f"select code, case lower(code) when '409' then 'en-US' when '809' then 'en-GB' when 'c09' then 'en-AU' when '1009' then 'en-CA' end as locale from {R.LCIDS.values()}",
     "voice_catalog": f"select voice_id, locale, name, row_number() over (order by case locale when 'en-US' then 0 when 'en-GB' then 1 else 2 end, name) as place from (select distinct * from {R.VOICES.values()} where voice_id <> '' and locale like 'en%')",
@@ -267,9 +268,9 @@ SQL = {
     "tree_relink": f"""with recursive {_STATE}, al as (select * from {R.TOKENS.values()}), kp as (select sent_id, i from tr where ru <> ''),
  up as (select al.sent_id, al.i, al.head as h, 0 as n from al join kp on kp.sent_id = al.sent_id and kp.i = al.i union all select up.sent_id, up.i, al.head, n + 1 from up join al on al.sent_id = up.sent_id and al.i = up.h where (up.sent_id, up.h) not in (select sent_id, i from kp) and al.head <> al.i)
  select sent_id, cast(i as bigint) as i, cast(case when (sent_id, arg_max(h, n)) in (select sent_id, i from kp) then arg_max(h, n) else i end as bigint) as new_head from up group by sent_id, i""",
-    "dispatch_counts": "with r as (select request_id, doc_id, text from synthesis_request qualify row_number() over (partition by request_id order by requested_at desc) = 1) select case when d.doc_id is null then 'document_not_found' when status <> 'processed' then 'document_not_ready' when coalesce(lang not in ('en', 'ru'), true) then 'language_unknown' when coalesce(trim(r.text), '') = '' then 'document_text_unavailable' else 'ok' end as code, count(*) as n from r left join documents d on d.doc_id = r.doc_id group by 1",
+    "dispatch_counts": f"with r as (select request_id, doc_id, text from synthesis_request qualify row_number() over (partition by request_id order by requested_at desc) = 1) select case when d.doc_id is null then 'document_not_found' when status <> 'processed' then 'document_not_ready' when coalesce({label_sql('lang')} not in ('en', 'ru'), true) then 'language_unknown' when coalesce(trim(r.text), '') = '' then 'document_text_unavailable' else 'ok' end as code, count(*) as n from r left join documents d on d.doc_id = r.doc_id group by 1",
     "debounce_events": f"with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as r from events where user_id is not null and ts is not null), a as (select user_id, event_id, ts, r from e where r = 1 union all select * from (select n.user_id, n.event_id, n.ts, n.r from a join e n on n.user_id = a.user_id and n.r > a.r and n.ts >= a.ts + interval {GAP} second qualify row_number() over (partition by n.user_id order by n.r) = 1)) select event_id from a",
-    "stream_index": f"select term, count(*) as df, cast(sum(c) as bigint) as cnt from (select doc_id, term, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where lang = 'en' and text is not null) where length(term) > 1 and term not in {R.sql_list(R.STOPWORDS['en'])} group by doc_id, term) group by term",
+    "stream_index": f"select term, count(*) as df, cast(sum(c) as bigint) as cnt from (select doc_id, term, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where {label_sql('lang')} = 'en' and text is not null) where length(term) > 1 and term not in {R.sql_list(R.STOPWORDS['en'])} group by doc_id, term) group by term",
     "expand_moves": f"select event_no, 0 as part, path, case kind when 'moved' then 'deleted' else kind end as kind from {R.FILE_EVENTS.values()} union all select event_no, 1, dest_path, 'created' from {R.FILE_EVENTS.values()} where kind = 'moved'",
     "stable_files": f"select event_no, path, coalesce(size = lag(size) over w and mtime = lag(mtime) over w, false) as stable from {R.FILE_EVENTS.values()} window w as (partition by path order by seen_at, event_no)",
     "silence_runs": f"with l as (select user_id, ts, case when ts < lag(ts) over w + interval {GAP} second then 0 else 1 end as starts from events where user_id is not null window w as (partition by user_id order by ts)), g as (select user_id, ts, sum(starts) over (partition by user_id order by ts rows unbounded preceding) as g from l) select user_id, count(*) as n_events, min(ts) as started, max(ts) as ended from g group by user_id, g",

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from glyphmill import resources as R
 from glyphmill.functions import text as T
+from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import chunking, summarize
 from glyphmill.sources.tables import table
 
@@ -19,7 +20,7 @@ def _docs(spark, folder) -> DataFrame:
 
 
 def _english(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "text", "lang").filter("lang = 'en' and text is not null").drop("lang")
+    return table(spark, folder, "documents", "doc_id", "text", "lang").filter((label_code(F.col("lang")) == "en") & F.col("text").isNotNull()).drop("lang")
 
 
 def paragraphs(spark, folder):
@@ -151,8 +152,9 @@ _ALL = (paragraphs, sentences, summary_terms, summary_df, term_weights, sentence
 QUERIES = {q.__name__: q for q in _ALL} | {"summarize": summarize_}
 
 _S = R.sql_list(STOP)
-_TERMS = f"tt as materialized (select doc_id, term from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where lang = 'en' and text is not null) where length(term) > 2 and term not in {_S})"
-_TW = "tf as materialized (select doc_id, term, count(*) as tf from tt group by all), df as (select term, count(*) as df from tf group by term), nd as (select count(*) as n from documents where lang = 'en' and text is not null), tw as materialized (select doc_id, term, tf, 0.5 * (1 + tf / max(tf) over (partition by doc_id)) * ln(n / df) as weight from tf join df using (term), nd)"
+_EN = f"{label_sql('lang')} = 'en' and text is not null"
+_TERMS = f"tt as materialized (select doc_id, term from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where {_EN}) where length(term) > 2 and term not in {_S})"
+_TW = f"tf as materialized (select doc_id, term, count(*) as tf from tt group by all), df as (select term, count(*) as df from tf group by term), nd as (select count(*) as n from documents where {_EN}), tw as materialized (select doc_id, term, tf, 0.5 * (1 + tf / max(tf) over (partition by doc_id)) * ln(n / df) as weight from tf join df using (term), nd)"
 _WS = "[\\s\\p{Z}\\x{85}\\x0B\\x1C-\\x1F]"
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g')"
 
@@ -187,7 +189,6 @@ def _norm(t: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '\\n{{3,}}', '\n\n', 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
-_EN = "lang = 'en' and text is not null"
 SQL = {
     "paragraphs": f"with {_sentences('text is not null')} select doc_id, pi as idx, cast(pstart as bigint) as start, length(p) as n_chars from pst",
     "sentences": f"with {_sentences('text is not null')} select doc_id, idx, cast(doc_start as bigint) as doc_start, cast(para_start as bigint) as para_start, md5(text) as digest from sent",
