@@ -15,9 +15,10 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.labels import label_code
 from glyphmill.llm.arrow import flat_map
 from glyphmill.llm.sentences import is_card, units
 
@@ -41,33 +42,7 @@ LANE = 256
 #: Lanes that are parsed at once.
 BLOCK = 4096
 
-# Spellings of the languages' names.
-SPELLINGS = {
-    "en": "en eng english anglais inglés",
-    "es": "es spa spanish español castellano espagnol",
-    "ru": "ru rus russian русский",
-    "de": "de deu ger german deutsch allemand",
-    "fr": "fr fra fre french français francés",
-    "pt": "pt por portuguese português",
-    "zh": "zh zho chi cmn chinese mandarin 中文",
-    "ja": "ja jpn japanese 日本語",
-    "hi": "hi hin hindi हिन्दी",
-    "ar": "ar ara arabic العربية",
-    "th": "th tha thai ไทย",
-}
 _RUN = re.compile(rf"[^\W\d_฀-๿぀-ヿ㐀-鿿豈-﫿]{{{LONG},}}")
-_CODE = {name: code for code, names in SPELLINGS.items() for name in names.split()}
-
-
-def label_code(label: Column) -> Column:
-    """The code a label names in any spelling; null if it names none of the languages."""
-    key = F.regexp_extract(F.lower(F.trim(label)), r"^[\p{Z}\s]*([\p{L}\p{M}]+)", 1)
-    whole = F.regexp_replace(F.lower(F.trim(label)), r"[\p{Z}\s]+", "")
-    ok = whole.rlike(r"^[\p{L}\p{M}]+(?:[-_][a-z0-9]{2,8})*$")
-    table = F.create_map(*[F.lit(x) for kv in _CODE.items() for x in kv])
-    return F.when(ok, F.element_at(table, key))
-
-
 # --- suffix automata ---------------------------------------------------------------------------------------------
 
 

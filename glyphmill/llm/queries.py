@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.labels import label_code
 from glyphmill.llm import copies, frequencies, languages, leaks, oversized, pii, sentences, tokenizer
 from glyphmill.plans.lineage import cut
 from glyphmill.sources.tables import table
@@ -113,7 +114,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def _passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "source_language", "final_language")
     training = languages.train(languages.labelled_sample(docs, "doc_id", "text", "source_language", "final_language"))
-    labels = docs.select("doc_id", "text", languages.label_code(F.col("source_language")).alias("s"), languages.label_code(F.col("final_language")).alias("f"))
+    labels = docs.select("doc_id", "text", label_code(F.col("source_language")).alias("s"), label_code(F.col("final_language")).alias("f"))
     return languages.passages(labels, "doc_id", "text", training, ["s", "f"])
 
 

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from glyphmill.functions.labels import label_code
 from glyphmill.llm import languages, pii, sentences
 
 
@@ -242,7 +243,7 @@ def test_label_findings(spark):
     texts = {1: "The captain found the old letter.", 2: "El capitán encontró la carta.", 3: "The tower was closed. She waited. Ella abrió la puerta. Nadie sabía por qué cerraron la torre.", 4: "??", 5: None, 6: "Nobody knew why.", 7: "She opened the gate."}
     labels = {1: ("en-US", "ENGLISH "), 2: ("en", "spanish"), 3: ("en", "en"), 4: (None, None), 5: ("en", "en"), 6: ("und", "en"), 7: ("English", "")}
     d = spark.createDataFrame([(i, texts[i], *labels[i]) for i in texts], "doc_id bigint, text string, source string, final string")
-    d = d.withColumn("s", languages.label_code(F.col("source"))).withColumn("f", languages.label_code(F.col("final"))).withColumn("language", F.lit("?"))
+    d = d.withColumn("s", label_code(F.col("source"))).withColumn("f", label_code(F.col("final"))).withColumn("language", F.lit("?"))
     found = languages.passages(d, "doc_id", "text", languages.train(SAMPLE), ["s", "f"])
     got = {(r.doc_id, r.language) for r in languages.label_findings(found, "s", "f").collect()}
     assert got == {(2, "es"), (3, "en"), (3, "es"), (6, "en"), (7, "en")}
