@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +63,8 @@ def by_frequent_words(counts: DataFrame, profiles: DataFrame) -> DataFrame:
 def by_short_words(counts: DataFrame, profiles: DataFrame, longest: int = SHORT) -> DataFrame:
     """(doc_id, lang, score): sum of ln(p) over the short words; unknown ones have p = 1e-10."""
     short = counts.filter(F.length("word") <= longest)
-    totals = short.groupBy("doc_id").agg(F.sum("n").alias("total")).crossJoin(profiles.select("lang").distinct())
+    languages = sorted(r.lang for r in profiles.select("lang").distinct().collect() if r.lang)  # a row per language
+    totals = short.groupBy("doc_id").agg(F.sum("n").alias("total")).select("doc_id", "total", F.explode(F.array(*map(F.lit, languages)).cast("array<string>")).alias("lang"))
     known = short.join(profiles, "word").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.log("p")).alias("s"), F.sum("n").alias("k"))
     floor = F.log(F.lit(LEAST))
     score = F.coalesce("s", F.lit(0.0)) + (F.col("total") - F.coalesce("k", F.lit(0))) * floor
@@ -99,12 +99,37 @@ def char_windows(docs: DataFrame, doc_id: str, text: str, size: int = 200, step:
 
 
 def top_ngrams(text: str, top: int, low: int = 2, high: int = 4) -> list[tuple[str, int]]:
-    """The most frequent character n-grams of a text in small letters, white space as one blank; ties by n-gram."""
+    """The most frequent character n-grams of a text in small letters, white space as one blank; ties by n-gram.
+
+    Characters are numbered in order, from 1; an n-gram is a number of `high` digits in that base, so that a shorter one
+    stands before those it begins. high is so small that it fits 64 bits: 4 for up to 65,534 different characters.
+    """
     t = _BLANKS.sub(" ", text).lower()
-    counts: Counter[str] = Counter()
+    letters, at = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)
+    base = len(letters) + 2
+    if base**high >= 2**64:
+        raise ValueError("too many different characters for n-grams of this length")
+    digits, grams = at.astype(np.uint64) + np.uint64(1), []
     for n in range(low, high + 1):
-        counts.update(map("".join, zip(*(t[k:] for k in range(n)), strict=False)))
-    return heapq.nsmallest(top, counts.items(), key=lambda x: (-x[1], x[0]))
+        if len(digits) >= n:
+            code = np.zeros(len(digits) - n + 1, dtype=np.uint64)
+            for k in range(high):
+                code = code * np.uint64(base) + (digits[k : k + len(code)] if k < n else np.uint64(0))
+            grams.append(code)
+    if not grams:
+        return []
+    codes, counts = np.unique(np.concatenate(grams), return_counts=True)
+    least = np.partition(counts, len(counts) - top)[len(counts) - top] if len(counts) > top else 0
+    some = np.flatnonzero(counts >= least)
+    out = []
+    for c, n in sorted(zip(codes[some].tolist(), counts[some].tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:top]:
+        gram = []
+        while c:
+            c, digit = divmod(c, base)
+            if digit:
+                gram.append(chr(letters[digit - 1]))
+        out.append(("".join(reversed(gram)), n))
+    return out
 
 
 def char_ngrams(docs: DataFrame, doc_id: str, text: str, top: int = 100) -> DataFrame:

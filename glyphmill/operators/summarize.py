@@ -14,8 +14,8 @@ from pyspark.sql.window import Window as W
 from glyphmill.functions import text as T
 
 ITERATIONS, DAMPING = 30, 0.85
-#: Up to this many nodes a dense matrix is used; larger graphs are kept as edges.
-DENSE = 2000
+#: Pairs of sentences that are made before equal ones are counted together.
+PORTION = 4_000_000
 
 
 def terms(text: Column, language: str, stopwords: Sequence[str]) -> Column:
@@ -45,15 +45,13 @@ def term_weights(docs: DataFrame, doc_id: str, text: str, language: str, stopwor
     return w.select("doc_id", "term", "tf", (0.5 * (1 + F.col("tf") / F.col("max_tf")) * F.log(F.col("n_docs") / F.col("df"))).alias("weight"))
 
 
-def pagerank(n: int, edges: dict[tuple[int, int], float]) -> np.ndarray:
-    """Weighted PageRank of an undirected graph: 30 synchronous steps; a node without edges gives its rank to all."""
+def pagerank(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted PageRank of an undirected graph with edges (a, b): 30 synchronous steps; a node without edges gives its rank to all."""
     if not n:
         return np.zeros(0)
-    pairs = np.array(list(edges), dtype=np.int64).reshape(-1, 2)
-    w = np.fromiter(edges.values(), dtype=float, count=len(edges))
-    src, dst, w2 = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]]), np.concatenate([w, w])
-    total = np.bincount(src, weights=w2, minlength=n)
-    share = w2 / total[src] if len(src) else w2
+    src, dst, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
+    total = np.bincount(src, weights=w, minlength=n)
+    share = w / total[src] if len(src) else w
     rank = np.full(n, 1.0 / n)
     for _ in range(ITERATIONS):
         loose = rank[total <= 0].sum()
@@ -61,42 +59,53 @@ def pagerank(n: int, edges: dict[tuple[int, int], float]) -> np.ndarray:
     return rank
 
 
-def sentence_ranks(term_lists: Sequence[Sequence[str]]) -> np.ndarray:
-    """TextRank of sentences whose edges are the Jaccard similarities of their terms. Only pairs that share a term meet."""
+def _counted(codes: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate(weights))
+
+
+def shared_terms(term_lists: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, Jaccard similarity) of the pairs a < b of lists that share a term; only such pairs are ever made.
+
+    Pairs are made term by term and counted in portions of PORTION, so memory holds the distinct pairs and one portion.
+    """
     n, where = len(term_lists), {}
     sizes = np.zeros(n)
     for i, ts in enumerate(term_lists):
         for t in dict.fromkeys(ts):
             where.setdefault(t, []).append(i)
             sizes[i] += 1
-    if n <= DENSE:
-        shared = np.zeros((n, n))
-        for places in where.values():
-            shared[np.ix_(places, places)] += 1
-        a, b = np.nonzero(np.triu(shared, 1))
-        both = shared[a, b]
-    else:
-        counts: dict[tuple[int, int], int] = {}
-        for places in where.values():
-            for x, i in enumerate(places):
-                for j in places[x + 1 :]:
-                    counts[i, j] = counts.get((i, j), 0) + 1
-        a, b = np.array(list(counts), dtype=np.int64).reshape(-1, 2).T
-        both = np.fromiter(counts.values(), dtype=float, count=len(counts))
-    return pagerank(n, dict(zip(zip(a.tolist(), b.tolist(), strict=True), (both / (sizes[a] + sizes[b] - both)).tolist(), strict=True)))
+    codes, weights, open_ = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], 0
+    for places in where.values():
+        if len(places) < 2:
+            continue
+        x = np.array(places, dtype=np.int64)
+        for k in range(1, len(x)):  # each place with the one k further on
+            codes.append(x[:-k] * n + x[k:])
+            weights.append(np.ones(len(x) - k))
+            open_ += len(x) - k
+            if open_ >= PORTION:
+                one, count = _counted(codes, weights)
+                codes, weights, open_ = [one], [count], 0
+    pairs, both = _counted(codes, weights)
+    a, b = np.divmod(pairs, max(n, 1))
+    return a, b, both / (sizes[a] + sizes[b] - both)
+
+
+def sentence_ranks(term_lists: Sequence[Sequence[str]]) -> np.ndarray:
+    """TextRank of sentences whose edges are the Jaccard similarities of their terms."""
+    return pagerank(len(term_lists), *shared_terms(term_lists))
 
 
 def word_ranks(words: Sequence[str], window: int = 2) -> dict[str, float]:
     """TextRank of words that stand within `window` places of each other."""
     nodes = list(dict.fromkeys(words))
     at = {w: i for i, w in enumerate(nodes)}
-    edges: dict[tuple[int, int], float] = {}
-    for i, a in enumerate(words):
-        for b in words[i + 1 : i + window + 1]:
-            if a != b:
-                k = (at[a], at[b]) if at[a] < at[b] else (at[b], at[a])
-                edges[k] = edges.get(k, 0.0) + 1.0
-    return dict(zip(nodes, pagerank(len(nodes), edges).tolist(), strict=True))
+    n, x = len(nodes), np.fromiter((at[w] for w in words), dtype=np.int64, count=len(words))
+    near = [(x[:-k], x[k:]) for k in range(1, window + 1) if len(x) > k] or [(x[:0], x[:0])]
+    codes = [(np.minimum(a, b) * n + np.maximum(a, b))[a != b] for a, b in near]
+    pairs, count = _counted(codes, [np.ones(len(c)) for c in codes])
+    return dict(zip(nodes, pagerank(n, *np.divmod(pairs, max(n, 1)), count).tolist(), strict=True))
 
 
 @F.pandas_udf(Types.ArrayType(Types.DoubleType()))
@@ -104,6 +113,12 @@ def rank_sentences(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: [] if x is None else sentence_ranks([list(t) for t in x]).tolist())
 
 
+@F.pandas_udf(Types.ArrayType(Types.StructType([Types.StructField("a", Types.LongType()), Types.StructField("b", Types.LongType()), Types.StructField("similarity", Types.DoubleType())])))
+def similar_sentences(lists: pd.Series) -> pd.Series:
+    """Pairs of sentences that share a term, with their Jaccard similarity."""
+    return lists.map(lambda x: [] if x is None else [{"a": a, "b": b, "similarity": s} for a, b, s in zip(*(v.tolist() for v in shared_terms([list(t) for t in x])), strict=True)])
+
+
 @F.pandas_udf(Types.ArrayType(Types.StructType([Types.StructField("term", Types.StringType()), Types.StructField("rank", Types.DoubleType())])))
 def rank_words(words: pd.Series) -> pd.Series:
     return words.map(lambda x: [] if x is None else [{"term": t, "rank": r} for t, r in sorted(word_ranks(list(x)).items())])

@@ -58,17 +58,10 @@ def sentence_scores(spark, folder):
     return summarize.scored_sentences(_rows(spark, folder), _weights(spark, folder)).select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.round("score", 5).alias("score"))
 
 
-def _sentence_terms(spark, folder) -> DataFrame:
-    e = _rows(spark, folder).select("doc_id", F.posexplode("sentences").alias("idx", "s"))
-    return e.select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.explode(F.array_distinct("s.terms")).alias("term"), F.size(F.array_distinct("s.terms")).alias("n"))
-
-
 def sentence_similarity(spark, folder):
-    """Jaccard similarities of a document's sentences that share a term: a join on (document, term), never all pairs."""
-    t = _sentence_terms(spark, folder)
-    a, b = t.select("doc_id", "term", F.col("idx").alias("a"), F.col("n").alias("na")), t.select("doc_id", "term", F.col("idx").alias("b"), F.col("n").alias("nb"))
-    shared = a.join(b, ["doc_id", "term"]).filter("a < b").groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return shared.select("doc_id", "a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity"))
+    """Jaccard similarities of a document's sentences that share a term, computed in the document's row."""
+    p = _rows(spark, folder).select("doc_id", F.explode(summarize.similar_sentences(F.transform("sentences", lambda x: x["terms"]))).alias("x"))
+    return p.select("doc_id", "x.a", "x.b", F.round("x.similarity", 6).alias("similarity"))
 
 
 def word_cooccurrence(spark, folder):

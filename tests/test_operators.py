@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,17 +61,29 @@ def test_pagerank_sums_to_one_and_agrees_with_the_definition():
                 for j in range(n):
                     new[j] += 0.85 * rank[i] * (graph[i].get(j, 0) / total if total else 1 / n)
             rank = new
-        got = summarize.pagerank(n, edges)
+        pairs = np.array(list(edges), dtype=np.int64).reshape(-1, 2).T
+        got = summarize.pagerank(n, *pairs, np.array(list(edges.values()), dtype=float))
         assert abs(sum(got) - 1) < 1e-12 and max(abs(a - b) for a, b in zip(got, rank, strict=True)) < 1e-12
 
 
-def test_large_graphs_are_ranked_as_small_ones(monkeypatch):
+def test_pairs_of_sentences_in_any_portion(monkeypatch):
     rng = random.Random(8)
-    terms = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 4))] for _ in range(30)]
-    dense = summarize.sentence_ranks(terms)
-    monkeypatch.setattr(summarize, "DENSE", 5)
-    assert max(abs(dense - summarize.sentence_ranks(terms))) < 1e-12
-    assert list(summarize.sentence_ranks([])) == []
+    lists = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 4))] for _ in range(30)]
+    sets = [set(x) for x in lists]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(30) for j in range(i + 1, 30) if sets[i] & sets[j]}
+    for portion in (10**6, 5):
+        monkeypatch.setattr(summarize, "PORTION", portion)
+        a, b, s = summarize.shared_terms(lists)
+        assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), s.tolist(), strict=True)) == pytest.approx(want)
+    assert list(summarize.sentence_ranks([])) == [] and summarize.word_ranks([]) == {} and summarize.word_ranks(["a"]) == {"a": 1.0}
+
+
+@given(st.text(alphabet="ab é中🙂\n", max_size=80), st.integers(1, 30))
+@settings(max_examples=200, deadline=None)
+def test_top_ngrams(text, top):
+    t = re.sub(r"[ \t\n\x0B\f\r]+", " ", text).lower()
+    counts = Counter(t[k : k + n] for n in (2, 3, 4) for k in range(len(t) - n + 1))
+    assert langid.top_ngrams(text, top) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top]
 
 
 def test_bm25_by_hand(spark):
