@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Types
+from pyspark.sql.window import Window as W
 
 from glyphmill.resources import SKIPPED_POS
 
@@ -64,13 +65,40 @@ def direct(translated: DataFrame) -> DataFrame:
     return s.select("sent_id", F.array_join(F.filter(F.transform("tokens", lambda t: t["ru"]), lambda x: x != ""), " ").alias("translation"))
 
 
-def coverage(translated: DataFrame) -> DataFrame:
-    """One row: words, translated, skipped, unknown, coverage in percent, and the unknown words sorted."""
+def coverage(translated: DataFrame, *by: str) -> DataFrame:
+    """(by..., words, translated, skipped, unknown, coverage in percent) per group, or in one row."""
     n = lambda s: F.count_if(F.col("state") == s)
-    a = translated.agg(F.count(F.lit(1)).alias("total_words"), n("translated").alias("translated_words"), n("skipped").alias("skipped_words"), n("unknown").alias("n_unknown"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("state") == "unknown", F.col("text")))), ", ").alias("unknown_words"))
+    a = translated.groupBy(*by).agg(F.count(F.lit(1)).alias("total_words"), n("translated").alias("translated_words"), n("skipped").alias("skipped_words"), n("unknown").alias("n_unknown"))
     return a.withColumn("coverage", F.coalesce(F.round(F.col("translated_words") / F.nullif(F.col("total_words"), F.lit(0)) * 100, 1), F.lit(0.0)))
 
 
+def unknown_words(translated: DataFrame) -> DataFrame:
+    """(word, n): the words that the dictionary doesn't have, a row each."""
+    return translated.filter("state = 'unknown'").groupBy(F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def report(translated: DataFrame, pos_names: dict[str, str]) -> DataFrame:
+    """(section, place, line): the report of a translation: totals, unknown words, words by frequency, their grammar.
+
+    Lines of a section are sorted by `place`, then by themselves; none is gathered in one task.
+    """
+    c = coverage(translated)
+    totals = F.array(*[F.struct(F.lit(k).alias("place"), F.concat(F.rpad(F.lit(label), 33, " "), F.col(name).cast("string")).alias("line")) for k, (label, name) in enumerate((("Всего слов:", "total_words"), ("Переведено:", "translated_words"), ("Пропущено:", "skipped_words"), ("Не найдено в словаре:", "n_unknown"), ("Покрытие, %:", "coverage")))])
+    head = c.select(F.lit("totals").alias("section"), F.explode(totals).alias("x")).select("section", F.col("x.place").cast("bigint").alias("place"), "x.line")
+    unknown = unknown_words(translated).select(F.lit("unknown").alias("section"), F.lit(0).cast("bigint").alias("place"), F.concat(F.lit("    "), "word").alias("line"))
+    stats = lexical_stats(translated.withColumn("_at", F.struct("sent_id", "i")), "lemma", "pos", "text", "_at")
+    first = translated.groupBy(F.lower("lemma").alias("lemma"), F.coalesce("pos", F.lit("")).alias("pos")).agg(F.max(F.when(F.col("state") == "translated", F.col("ru"))).alias("target"))
+    both = stats.join(first, ["lemma", "pos"])
+    by_n = both.select(F.lit("frequency").alias("section"), (-F.col("n")).alias("place"), F.concat_ws(" | ", F.lpad(F.col("n").cast("string"), 8, " "), F.rpad("lemma", 20, " "), F.rpad(F.coalesce("target", F.lit("")), 22, " "), F.rpad("pos", 7, " ")).alias("line"))
+    grammar = both.select(F.lit("grammar").alias("section"), (-F.col("n")).alias("place"), F.concat_ws(" ", F.rpad("lemma", 20, " "), F.rpad("pos", 7, " "), decoded(F.col("pos"), pos_names, "неизвестно")).alias("line"))
+    return head.unionByName(unknown).unionByName(by_n).unionByName(grammar)
+
+
+def most_common(stats: DataFrame, limit: int) -> DataFrame:
+    """The `limit` most frequent rows of `lexical_stats`; ties by lemma and part of speech. Each task keeps its best only."""
+    return stats.orderBy(F.desc("n"), "lemma", "pos").limit(limit)
+
+
 def lexical_stats(tokens: DataFrame, lemma: str, pos: str, form: str, order: str) -> DataFrame:
     """(lemma, pos, n, form): frequency of each (lemma, part of speech) with its first form."""
     return tokens.groupBy(F.lower(F.col(lemma)).alias("lemma"), F.coalesce(pos, F.lit("")).alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.min_by(form, order).alias("form"))
@@ -79,8 +107,7 @@ def lexical_stats(tokens: DataFrame, lemma: str, pos: str, form: str, order: str
 def relink(kept: DataFrame, tokens: DataFrame) -> DataFrame:
     """(sent_id, i, new_head): heads after tokens were dropped; climbs over dropped heads, a lone token is its own head.
 
-    Heads are climbed by doubling, so the number of joins grows with the logarithm of the tree's depth; a sentence is
-    one row here, so there is no shuffle per step.
+    A sentence is one row, in which heads are climbed step by step, so there is no join or shuffle per step.
     """
     t = tokens.join(kept.select("sent_id", "i").withColumn("keep", F.lit(True)), ["sent_id", "i"], "left")
     s = t.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("i", "head", F.coalesce("keep", F.lit(False)).alias("keep")))).alias("t"))
@@ -183,64 +210,95 @@ def transfer(translated: DataFrame, linked: DataFrame) -> DataFrame:
     return sentence_arrays(kept, "text", "dep", "head").select("sent_id", _sentence_udf(words)("tokens").alias("translation"))
 
 
-# Labels of a dependent's bracket by its relation, inside a verb phrase and inside other phrases.
-_LABELS = {"xcomp": "XCOMP", "ccomp": "CCOMP", "advcl": "SBAR", "parataxis": "Parataxis", "appos": "Appos", "acl": "RC", "acl:relcl": "RC", "obl:agent": "AgentPP", "agent": "AgentPP"}
-_LEAVES = {"aux": "AUX", "aux:pass": "AUX", "auxpass": "AUX", "cop": "COP", "mark": "MARK", "expl": "EXPL", "compound:prt": "PRT", "discourse": "DISCOURSE", "vocative": "DISCOURSE", "case": "P"}
-_RANK = {"MARK": 0, "AUX": 1, "COP": 2, "P": 3}
+# What becomes of a dependent by its relation, in each kind of phrase: where it stands (before its head: mark, aux, cop,
+# left; behind it: right, late, end), the label of its bracket, and what is built of it.
+_COMMON = {"punct": ("end", "PUNCT", "leaf")}
+_MODIFIED = _COMMON | {"advmod": ("left", "", "ADVP")} | dict.fromkeys(("obl", "obj", "dobj"), ("right", "", "NP"))
+_OBLIQUE = (
+    _COMMON
+    | dict.fromkeys(("det", "amod", "nummod", "nummod:entity"), ("left", "", "modifier"))
+    | dict.fromkeys(("fixed", "flat", "compound"), ("right", "", "word"))
+    | {"nmod": ("right", "", "NP"), "appos": ("right", "Appos", "NP"), "conj": ("right", "CoordNP", "NP")}
+    | dict.fromkeys(("acl", "acl:relcl"), ("right", "RC", "clause"))
+)
+PHRASE_RULES = {
+    "NP": _OBLIQUE | {"case": ("left", "P", "leaf"), "parataxis": ("right", "Parataxis", "phrase"), "discourse": ("right", "Discourse", "leaf")},
+    "NP of a PP": _OBLIQUE,
+    "ADJP": _MODIFIED | {"conj": ("right", "CoordADJP", "ADJP")},
+    "ADVP": _MODIFIED | {"conj": ("right", "CoordADVP", "ADVP")},
+    "VP": _COMMON
+    | {"mark": ("mark", "MARK", "leaf"), "cop": ("cop", "COP", "leaf"), "advmod": ("left", "", "ADVP"), "expl": ("left", "EXPL", "leaf"), "obl": ("right", "", "oblique")}
+    | {"xcomp": ("right", "XCOMP", "phrase"), "ccomp": ("right", "CCOMP", "clause"), "advcl": ("right", "SBAR", "clause"), "conj": ("right", "CoordVP", "phrase"), "parataxis": ("right", "Parataxis", "clause")}
+    | {"compound:prt": ("right", "PRT", "leaf"), "appos": ("right", "Appos", "phrase")}
+    | dict.fromkeys(("aux", "aux:pass", "auxpass"), ("aux", "AUX", "leaf"))
+    | dict.fromkeys(("obj", "iobj", "dobj", "pobj"), ("right", "", "NP"))
+    | dict.fromkeys(("obl:agent", "agent"), ("right", "AgentPP", "NP"))
+    | dict.fromkeys(("discourse", "vocative"), ("late", "DISCOURSE", "leaf")),
+}
+_SLOTS = ("mark", "aux", "cop", "left", "head", "right", "late", "end")
 _KIND = {"VERB": "VP", "AUX": "VP", "NOUN": "NP", "PROPN": "NP", "PRON": "NP", "NUM": "NP", "ADJ": "ADJP", "DET": "ADJP", "ADV": "ADVP"}
 
 
 def constituency(tokens: Sequence[dict]) -> str:
-    """A bracketed phrase structure of a dependency tree: a phrase per head, its dependents labelled by their relation."""
+    """A bracketed phrase structure of a dependency tree: a phrase per head by PHRASE_RULES; other dependents are left out."""
     by = {t["i"]: t for t in tokens}
-    children: dict[int, list[int]] = {}
+    below: dict[int, list[int]] = {i: [] for i in by}
     for i in sorted(by):
-        h = by[i]["head"]
-        if h != i and h in by:
-            children.setdefault(h, []).append(i)
+        if by[i]["head"] != i and by[i]["head"] in by:
+            below[by[i]["head"]].append(i)
     root = next((i for i in sorted(by) if by[i]["head"] == i or by[i]["dep"] == "ROOT"), None)
     if root is None:
         return "(S)"
-    leaf = lambda label, i: f"({label} {by[i]['text']})"
+    pos, rel = {i: t["pos"] for i, t in by.items()}, {i: t["dep"] for i, t in by.items()}
+
+    def bracket(label: str, *parts: str) -> str:
+        return f"({' '.join([label, *parts])})"
+
+    def leaf(label: str, i: int) -> str:
+        return bracket(label, by[i]["text"])
+
+    def link(i: int) -> list[str]:
+        """The conjunction of a conjunct: its own, or its head's before it."""
+        own = [c for c in below[i] if rel[c] == "cc"] or [c for c in below.get(by[i]["head"], []) if rel[c] == "cc" and c < i]
+        return [leaf("CC", c) for c in own[:1]]
 
-    def phrase(i: int, without: frozenset[str] = frozenset()) -> str:
-        t = by[i]
-        kind = _KIND.get(t["pos"])
+    def phrase(i: int, kind: str | None = None) -> str:
+        kind = kind or _KIND.get(pos[i])
         if kind is None:
-            own = " ".join([leaf("P" if t["pos"] == "ADP" else t["pos"], i), *(phrase(c) for c in children.get(i, []) if t["pos"] == "ADP")])
-            return f"(PP {own})" if t["pos"] == "ADP" else own
-        if by[i]["pos"] not in ("VERB", "AUX") and any(by[c]["dep"] == "cop" for c in children.get(i, [])):
-            kind = "VP"
-        early, late, points = [], [], []
-        for c in children.get(i, []):
-            rel = by[c]["dep"]
-            if rel in SUBJECTS or rel == "cc" or rel in without:
-                continue
-            if rel == "punct":
-                points.append(leaf("PUNCT", c))
-            elif rel == "conj":
-                link = next((x for x in [*children.get(c, []), *children.get(i, [])] if by[x]["dep"] == "cc" and x < c), None)
-                late.append((1, c, f"(Coord{kind} " + (leaf("CC", link) + " " if link is not None else "") + phrase(c) + ")"))
-            elif rel in _LEAVES and not (rel == "case" and kind == "VP"):
-                label = _LEAVES[rel]
-                (late if label in ("PRT", "DISCOURSE") else early).append((_RANK.get(label, 4), c, leaf(label, c)))
-            elif rel in _LABELS:
-                late.append((0, c, f"({_LABELS[rel]} {clause(c) if rel in ('ccomp', 'advcl', 'acl', 'acl:relcl', 'parataxis') else phrase(c)})"))
-            elif rel == "obl":
-                cases = [leaf("P", x) for x in children.get(c, []) if by[x]["dep"] == "case"]
-                late.append((0, c, "(PP " + " ".join([*cases, phrase(c, frozenset({"case"}))]) + ")" if cases else phrase(c)))
-            elif rel in ("det", "amod", "nummod", "advmod"):
-                early.append((4, c, phrase(c) if by[c]["pos"] in ("ADJ", "DET", "ADV") else leaf(by[c]["pos"], c)))
-            else:
-                late.append((0, c, phrase(c)))
-        head = leaf("V" if kind == "VP" else t["pos"], i)
-        return f"({kind} " + " ".join([x for *_, x in sorted(early)] + [head] + [x for *_, x in sorted(late)] + points) + ")"
-
-    def clause(i: int) -> str:
-        subject = next((c for c in children.get(i, []) if by[c]["dep"] in SUBJECTS), None)
-        return "(S " + (phrase(subject) + " " if subject is not None else "") + phrase(i) + ")"
-
-    return clause(root)
+            if pos[i] == "ADP":
+                return bracket("PP", leaf("P", i), *map(phrase, below[i]))
+            return leaf("SCONJP" if pos[i] == "SCONJ" else pos[i], i)
+        slots: dict[str, list[str]] = {name: [] for name in _SLOTS}
+        slots["head"] = [leaf("V" if kind == "VP" else pos[i], i)]
+        for c in below[i]:
+            if rel[c] in PHRASE_RULES[kind]:
+                slot, label, what = PHRASE_RULES[kind][rel[c]]
+                built = leaf(label, c) if what == "leaf" else build(what, c)
+                slots[slot].append(bracket(label, *(link(c) if rel[c] == "conj" else []), built) if label and what != "leaf" else built)
+        return bracket(kind.split()[0], *(x for name in _SLOTS for x in slots[name]))
+
+    def build(what: str, c: int) -> str:
+        if what == "clause":
+            return clause(c)
+        if what == "word" or what == "modifier" and _KIND.get(pos[c]) != "ADJP":
+            return leaf(pos[c], c)
+        if what == "oblique":
+            cases = [leaf("P", x) for x in below[c] if rel[x] == "case"]
+            return bracket("PP", *cases, phrase(c, "NP of a PP")) if cases else phrase(c)
+        return phrase(c, {"modifier": "ADJP", "phrase": None}.get(what, what))
+
+    def clause(i: int, whole: bool = False) -> str:
+        """A sentence: subject, then the predicate; a noun or adjective with a copula is one. `whole`: with what stands beside it."""
+        kind = _KIND.get(pos[i])
+        subject = [phrase(c, "NP") for c in below[i] if rel[c] in SUBJECTS][:1]
+        if kind == "VP":
+            beside = [bracket("Parataxis", clause(c)) if rel[c] == "parataxis" else bracket("Dislocated", phrase(c)) for c in below[i] if whole and rel[c] in ("parataxis", "dislocated")]
+            return bracket("S", *subject, phrase(i, "VP"), *beside)
+        if not whole and kind not in ("NP", "ADJP"):
+            return bracket("S", phrase(i))
+        return bracket("S", *subject, phrase(i, "VP" if any(rel[c] == "cop" for c in below[i]) else None))
+
+    return clause(root, True)
 
 
 def to_constituency(tokens: DataFrame) -> DataFrame:
@@ -248,6 +306,25 @@ def to_constituency(tokens: DataFrame) -> DataFrame:
     return sentence_arrays(tokens, "text", "pos", "dep", "head").select("sent_id", _sentence_udf(constituency)("tokens").alias("tree"))
 
 
-def decoded(code: Column, names: dict[str, str]) -> Column:
-    """The name of a tag; an unknown tag stays as it is."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), code), code)
+def decoded(code: Column, names: dict[str, str], missing: str | None = None) -> Column:
+    """The name of a tag; an unknown tag stays as it is, an empty or null one is `missing`."""
+    known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), code), code)
+    return known if missing is None else F.when(F.coalesce(code, F.lit("")) == "", missing).otherwise(known)
+
+
+def attached(words: DataFrame) -> DataFrame:
+    """`words` (sent_id, i, pos, ...) with dep and head by rules: a stand-in where no annotator is given.
+
+    The root is the first verb, else the first word; determiners, adjectives, numbers and prepositions belong to the next
+    noun behind them, everything else to the root. A sentence's words meet by its id; sentences are short by nature.
+    """
+    w = W.partitionBy("sent_id").orderBy("i")
+    root = F.coalesce(F.min(F.when(F.col("pos") == "VERB", F.col("i"))).over(W.partitionBy("sent_id")), F.min("i").over(W.partitionBy("sent_id")))
+    noun = F.min(F.when(F.col("pos") == "NOUN", F.col("i"))).over(w.rowsBetween(1, W.unboundedFollowing))
+    d = words.withColumn("_root", root).withColumn("_noun", noun)
+    leads = F.col("pos").isin("DET", "ADJ", "NUM", "ADP") & F.col("_noun").isNotNull()
+    names = {"DET": "det", "ADJ": "amod", "NUM": "nummod", "ADP": "case"}
+    dep = F.when(F.col("i") == F.col("_root"), "ROOT").when(leads, F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("pos")))
+    dep = dep.when(F.col("pos") == "NOUN", F.when(F.col("i") < F.col("_root"), "nsubj").otherwise("obj")).when(F.col("pos") == "VERB", "conj").otherwise("dep")
+    head = F.when((F.col("i") != F.col("_root")) & leads, F.col("_noun")).otherwise(F.col("_root"))
+    return d.withColumn("dep", dep).withColumn("head", head.cast("int")).drop("_root", "_noun")

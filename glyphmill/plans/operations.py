@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from glyphmill import resources as R
 from glyphmill.functions.labels import label_code, label_sql
-from glyphmill.operators import catalog, commands, index, translate
-from glyphmill.plans.lineage import shared_folder
+from glyphmill.operators import catalog, commands, hooks, index, translate
+from glyphmill.plans.lineage import scratch
+from glyphmill.sources.store import stored_or_extracted
 from glyphmill.sources.tables import table
 from glyphmill.streaming import events as ev
 
@@ -94,60 +93,84 @@ def dictionary_export(spark, folder):
 
 
 def _words(spark, folder) -> DataFrame:
-    """Distinct rows of the tokens table with a part of speech in Latin letters."""
+    """Distinct rows of the tokens table with a universal part of speech."""
     t = table(spark, folder, "tokens", "id", "sentence_id", "token_index", "wordform", "lemma", "pos_rus").dropDuplicates(["id"])
-    pos = F.when(F.col("pos_rus") == "Существительное", "NOUN").when(F.col("pos_rus") == "Глагол", "VERB").when(F.col("pos_rus") == "Прилагательное", "ADJ").otherwise("X")
+    pos = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in R.TOKEN_POS.items() for x in kv]), F.col("pos_rus")), F.lit("X"))
     return t.select("id", "sentence_id", "token_index", "wordform", F.lower(F.trim("lemma")).alias("lemma"), pos.alias("pos"))
 
 
+def _annotated(spark, folder) -> DataFrame:
+    """The words of sentences as annotated tokens: numbered in their sentence, attached by rules."""
+    w = _words(spark, folder).filter("sentence_id is not null and lemma <> ''")
+    i = F.row_number().over(W.partitionBy("sentence_id").orderBy("token_index", "id")) - 1
+    return translate.attached(w.select(F.col("sentence_id").alias("sent_id"), i.alias("i"), F.col("wordform").alias("text"), "lemma", "pos", F.lit("").alias("tag")))
+
+
 def mt_lookup(spark, folder):
     found = translate.lookup(_words(spark, folder).filter("lemma <> ''"), R.DICTIONARY.frame(spark))
     return found.filter("target is not null").groupBy("lemma", "pos", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _translated(spark) -> DataFrame:
-    return translate.translate_tokens(R.TOKENS.frame(spark), R.DICTIONARY.frame(spark))
+def _translated(spark, folder) -> DataFrame:
+    return translate.translate_tokens(_annotated(spark, folder), R.DICTIONARY.frame(spark))
 
 
 def mt_tokens(spark, folder):
-    return _translated(spark).select("sent_id", F.col("i").cast("bigint").alias("i"), "text", "state", "ru")
+    return _translated(spark, folder).select("sent_id", F.col("i").cast("bigint").alias("i"), "text", "state", "ru")
 
 
 def mt_direct(spark, folder):
-    return translate.direct(_translated(spark))
+    return translate.direct(_translated(spark, folder))
 
 
 def mt_coverage(spark, folder):
-    return translate.coverage(_translated(spark))
+    return translate.coverage(_translated(spark, folder))
+
+
+def mt_coverage_by_sentence(spark, folder):
+    return translate.coverage(_translated(spark, folder), "sent_id")
+
+
+def mt_unknown_words(spark, folder):
+    return translate.unknown_words(_translated(spark, folder))
 
 
 def mt_report_lines(spark, folder):
-    s = translate.lexical_stats(_translated(spark).withColumn("at", F.col("sent_id") * 1000 + F.col("i")), "lemma", "pos", "text", "at")
-    return s.select("lemma", "pos", F.concat(F.lpad(F.col("n").cast("string"), 8, " "), F.lit(" | "), F.rpad("lemma", 20, " "), F.lit(" | "), F.rpad("pos", 7, " ")).alias("line"))
+    return translate.report(_translated(spark, folder), R.POS_NAMES)
 
 
 def lexical_stats(spark, folder):
     return translate.lexical_stats(_words(spark, folder).filter("lemma <> ''"), "lemma", "pos", "wordform", "id")
 
 
+def lexical_top(spark, folder):
+    return translate.most_common(lexical_stats(spark, folder), 50)
+
+
 def tag_decode(spark, folder):
-    return R.TOKENS.frame(spark).select("sent_id", F.col("i").cast("bigint").alias("i"), translate.decoded(F.col("pos"), R.POS_NAMES).alias("pos_name"))
+    """Part of speech and relation of each word by name."""
+    return _annotated(spark, folder).select("sent_id", F.col("i").cast("bigint").alias("i"), translate.decoded(F.col("pos"), R.POS_NAMES, "неизвестно").alias("pos_name"), translate.decoded(F.col("dep"), R.DEP_NAMES, "неизвестно").alias("dep_name"))
 
 
-def _linked(spark) -> DataFrame:
-    return translate.relink(_translated(spark).filter("ru <> ''"), R.TOKENS.frame(spark))
+def tag_names(spark, folder):
+    """Penn tags by name, of the annotated sentences."""
+    return R.TOKENS.frame(spark).select("sent_id", F.col("i").cast("bigint").alias("i"), translate.decoded(F.col("tag"), R.TAG_NAMES, "").alias("tag_name"))
+
+
+def _linked(spark, folder) -> DataFrame:
+    return translate.relink(_translated(spark, folder).filter("ru <> ''"), _annotated(spark, folder))
 
 
 def tree_relink(spark, folder):
-    return _linked(spark).select("sent_id", F.col("i").cast("bigint").alias("i"), F.col("new_head").cast("bigint").alias("new_head"))
+    return _linked(spark, folder).select("sent_id", F.col("i").cast("bigint").alias("i"), F.col("new_head").cast("bigint").alias("new_head"))
 
 
 def mt_transfer(spark, folder):
-    return translate.transfer(_translated(spark), _linked(spark))
+    return translate.transfer(_translated(spark, folder), _linked(spark, folder))
 
 
 def dep_to_constituency(spark, folder):
-    return translate.to_constituency(R.TOKENS.frame(spark))
+    return translate.to_constituency(_annotated(spark, folder))
 
 
 # --- commands ---
@@ -187,23 +210,74 @@ def _stream(spark, folder: str, name: str) -> DataFrame:
 
 
 def stream_debounce(spark, folder):
-    """The accepted events of a stream over the events, written and read again."""
-    out = f"{shared_folder(spark)}/debounced-{uuid.uuid4().hex}"
-    s = ev.debounce_stream(_stream(spark, folder, "events"), "user_id", "ts", "event_id", GAP)
-    s.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("event_id")
+    """The accepted events of a stream over the events."""
+    out = scratch(spark, "debounced")
+    through = ev.Debouncer(spark, f"{out}/rows", "user_id", "ts", "event_id", GAP)
+    s = _stream(spark, folder, "events").select("user_id", "ts", "event_id")
+    ev.run_stream(lambda: ev.polled(s.writeStream.foreachBatch(through.write).option("checkpointLocation", f"{out}/state"), None).start())
+    return through.accepted().select("event_id")
 
 
 def stream_index(spark, folder):
     """Term counts of an index kept by a stream of documents; a batch is written under its number, so a repeat replaces it."""
-    out = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    out = scratch(spark, "index")
 
     def write(batch: DataFrame, number: int) -> None:
         toks = index.tokens(batch.filter(label_code(F.col("lang")) == "en"), "doc_id", "en", R.STOPWORDS["en"])
-        index.postings(toks).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        index.postings(toks).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    s = _stream(spark, folder, "documents").select("doc_id", "text", "lang")
+    ev.run_stream(lambda: ev.polled(s.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state"), None).start())
+    return spark.read.parquet(f"{out}/rows").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cnt"))
 
-    _stream(spark, folder, "documents").select("doc_id", "text", "lang").writeStream.foreachBatch(write).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cnt"))
+
+def stream_reindex(spark, folder):
+    """An index that follows events of files: all are created, those changed later are read again, deleted ones go."""
+    out = scratch(spark, "reindex")
+    d = table(spark, folder, "documents", "doc_id", "status", "deleted_at")
+    created = d.select("doc_id", F.lit("created").alias("kind"), F.lit(0).alias("no"))
+    later = d.filter("deleted_at is not null or status = 'pending'").select("doc_id", F.explode(F.array(F.struct(F.lit("modified").alias("kind"), F.lit(1).alias("no")), F.struct(F.when(F.col("deleted_at").isNotNull(), "deleted").otherwise("modified").alias("kind"), F.lit(2).alias("no")))).alias("x")).select("doc_id", "x.*")
+    created.write.parquet(f"{out}/events/part=1")
+    later.write.parquet(f"{out}/events/part=2")
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang").filter(label_code(F.col("lang")) == "en")
+
+    def postings(ids: DataFrame) -> DataFrame:
+        return index.postings(index.tokens(docs.join(ids, "doc_id", "left_semi"), "doc_id", "en", R.STOPWORDS["en"]))
+
+    follower = ev.IndexStream(spark, f"{out}/index", postings)
+    s = spark.readStream.schema("doc_id bigint, kind string, no int, part int").option("maxFilesPerTrigger", 4).parquet(f"{out}/events")
+    ev.run_stream(lambda: ev.polled(s.writeStream.foreachBatch(follower.write).option("checkpointLocation", f"{out}/state"), None).start())
+    return follower.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cnt"))
+
+
+def reconcile_index(spark, folder):
+    """An index of the catalog's earlier state, brought to the later one: new, changed and stale files are read, removed ones go."""
+    before, after = _states(spark, folder)
+    docs = table(spark, folder, "documents", "file_path", "text", "lang").filter(label_code(F.col("lang")) == "en")
+    of = lambda files: index.postings(index.tokens(docs.join(files, "file_path", "left_semi"), "file_path", "en", R.STOPWORDS["en"])).withColumnRenamed("doc_id", "file_path")
+    status = catalog.diff(before, after, "file_path", "file_hash", "version")
+    todo = status.filter("status in ('new', 'changed', 'stale')").select("file_path")
+    touched = status.filter("status <> 'unchanged'").select("file_path")
+    now = index.replace_documents(of(before.select("file_path")), of(todo), touched, "file_path")
+    return now.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cnt"))
+
+
+def coalesced_events(spark, folder):
+    return ev.coalesced(_events(spark, folder).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+def stored_text(spark, folder):
+    """Each document's stored text, else the one its sentences give in their order."""
+    s = table(spark, folder, "sentences", "id", "doc_id", "sentence_index", "text").dropDuplicates(["id"]).filter("doc_id is not null and text is not null")
+    extracted = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sentence_index", "id", "text"))).alias("s")).select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("joined"))
+    return stored_or_extracted(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", extracted, "joined").select("doc_id", F.md5("text").alias("digest"))
+
+
+def embedding_backfill(spark, folder):
+    """Vectors of all documents: stored ones, and hashed ones for documents without."""
+    docs, v = table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "embeddings", "vec_id", "embedding")
+    filled = hooks.backfill(docs, "doc_id", "text", v, "vec_id", "embedding")
+    return filled.select("doc_id", "stored", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("square"))
 
 
 def expand_moves(spark, folder):
@@ -232,16 +306,22 @@ def last_n_events(spark, folder):
     return ev.last_events(_events(spark, folder), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
-_ALL = (catalog_diff, catalog_diff_counts, catalog_removed, label_disambiguate, catalog_books, cache_valid, translate_passthrough, speech_rate, locale_codes, voice_catalog, dictionary_parse, dictionary_search, dictionary_upsert, dictionary_export, mt_lookup, mt_tokens, mt_direct, mt_coverage, mt_report_lines, lexical_stats, tag_decode, tree_relink, mt_transfer, dep_to_constituency, parse_command, dispatch_counts, debounce_events, stream_debounce, stream_index, expand_moves, stable_files, silence_runs, window_rms, running_totals, last_n_events)
+_ALL = (catalog_diff, catalog_diff_counts, catalog_removed, label_disambiguate, catalog_books, cache_valid, translate_passthrough, speech_rate, locale_codes, voice_catalog, dictionary_parse, dictionary_search, dictionary_upsert, dictionary_export, mt_lookup, mt_tokens, mt_direct, mt_coverage, mt_coverage_by_sentence, mt_unknown_words, mt_report_lines, lexical_stats, lexical_top, tag_decode, tag_names, tree_relink, mt_transfer, dep_to_constituency, parse_command, dispatch_counts, debounce_events, stream_debounce, stream_index, stream_reindex, reconcile_index, coalesced_events, stored_text, embedding_backfill, expand_moves, stable_files, silence_runs, window_rms, running_totals, last_n_events)
 QUERIES = {q.__name__: q for q in _ALL}
 
 _STATES = f"b as (select file_path, case when status = 'error' then null else file_hash end as file_hash, case when doc_length > 100 then 1 else 2 end as version from documents where date_added < timestamp '{MOMENT}'), a as (select file_path, file_hash, 2 as version from documents where deleted_at is null)"
 _DIFF = f"with {_STATES}, d as (select coalesce(a.file_path, b.file_path) as file_path, case when b.file_path is null then 'new' when a.file_path is null then 'removed' when a.file_hash is distinct from b.file_hash then 'changed' when b.version < a.version then 'stale' else 'unchanged' end as status from b full join a on a.file_path = b.file_path)"
-_WORDS = "w as (select id, wordform, lower(trim(lemma)) as lemma, case pos_rus when 'Существительное' then 'NOUN' when 'Глагол' then 'VERB' when 'Прилагательное' then 'ADJ' else 'X' end as pos from (select distinct id, wordform, lemma, pos_rus from tokens))"
+_POS_CASE = "case pos_rus when 'Существительное' then 'NOUN' when 'Определитель' then 'DET' when 'Глагол' then 'VERB' when 'Прилагательное' then 'ADJ' when 'Предлог' then 'ADP' when 'Число' then 'NUM' else 'X' end"
+_WORDS = f"w as (select id, sentence_id, token_index, wordform, lower(trim(lemma)) as lemma, {_POS_CASE} as pos from (select distinct id, sentence_id, token_index, wordform, lemma, pos_rus from tokens))"
+_ANNOTATED = f"""{_WORDS}, nw as (select sentence_id as sent_id, row_number() over (partition by sentence_id order by token_index, id) - 1 as i, wordform as text, lemma, pos, '' as tag from w where sentence_id is not null and lemma <> ''),
+ rw as (select *, coalesce(min(case when pos = 'VERB' then i end) over (partition by sent_id), min(i) over (partition by sent_id)) as root, min(case when pos = 'NOUN' then i end) over (partition by sent_id order by i rows between 1 following and unbounded following) as noun from nw),
+ al as materialized (select sent_id, i, text, lemma, pos, tag, case when i = root then 'ROOT' when pos in ('DET', 'ADJ', 'NUM', 'ADP') and noun is not null then case pos when 'DET' then 'det' when 'ADJ' then 'amod' when 'NUM' then 'nummod' else 'case' end when pos = 'NOUN' then case when i < root then 'nsubj' else 'obj' end when pos = 'VERB' then 'conj' else 'dep' end as dep,
+  case when i <> root and pos in ('DET', 'ADJ', 'NUM', 'ADP') and noun is not null then noun else root end as head from rw)"""
 _DICT = f"dict as (select * from {R.DICTIONARY.values()}), ex as (select source_word, pos, arg_min(target_word, id) as exact from dict group by all), an as (select source_word, arg_min(target_word, id) as first_target from dict group by all)"
-_STATE = f"""{_DICT}, tk as (select * from {R.TOKENS.values()} where pos not in ('PUNCT', 'SPACE')),
+_STATE = f"""{_ANNOTATED}, {_DICT}, tk as (select * from al where pos not in ('PUNCT', 'SPACE')),
  st as (select tk.*, case when tk.pos in {R.sql_list(R.SKIPPED_POS)} or (tk.pos = 'AUX' and tag <> 'MD') then 'skipped' when coalesce(exact, first_target) is not null then 'translated' else 'unknown' end as state, coalesce(exact, first_target) as target
  from tk left join ex on ex.source_word = lower(tk.lemma) and ex.pos = tk.pos left join an on an.source_word = lower(tk.lemma)), tr as (select *, case state when 'skipped' then '' when 'translated' then target else text end as ru from st)"""
+_COVERAGE = "count(*) as total_words, count(*) filter (where state = 'translated') as translated_words, count(*) filter (where state = 'skipped') as skipped_words, count(*) filter (where state = 'unknown') as n_unknown, round(count(*) filter (where state = 'translated') / count(*) * 100, 1) as coverage"
 _C = R.DICTIONARY_CHANGES.values()
 SQL = {
     "catalog_diff": f"{_DIFF} select file_path, status from d",
@@ -261,11 +341,19 @@ SQL = {
     "mt_lookup": f"with {_WORDS}, {_DICT} select lemma, pos, target, count(*) as n from (select w.lemma, w.pos, coalesce(exact, first_target) as target from w left join ex on ex.source_word = lemma and ex.pos = w.pos left join an on an.source_word = lemma where lemma <> '') where target is not null group by all",
     "mt_tokens": f"with {_STATE} select sent_id, cast(i as bigint) as i, text, state, ru from tr",
     "mt_direct": f"with {_STATE} select sent_id, coalesce(string_agg(ru, ' ' order by i) filter (where ru <> ''), '') as translation from tr group by sent_id",
-    "mt_coverage": f"with {_STATE} select count(*) as total_words, count(*) filter (where state = 'translated') as translated_words, count(*) filter (where state = 'skipped') as skipped_words, count(*) filter (where state = 'unknown') as n_unknown, array_to_string(list_sort(list(distinct text) filter (where state = 'unknown')), ', ') as unknown_words, round(count(*) filter (where state = 'translated') / count(*) * 100, 1) as coverage from tr",
-    "mt_report_lines": f"with {_STATE} select lower(lemma) as lemma, pos, lpad(cast(count(*) as varchar), 8, ' ') || ' | ' || rpad(lower(lemma), 20, ' ') || ' | ' || rpad(pos, 7, ' ') as line from tr group by lower(lemma), pos",
+    "mt_coverage": f"with {_STATE} select {_COVERAGE} from tr",
+    "mt_coverage_by_sentence": f"with {_STATE} select sent_id, {_COVERAGE} from tr group by sent_id",
+    "mt_unknown_words": f"with {_STATE} select text as word, count(*) as n from tr where state = 'unknown' group by text",
+    "mt_report_lines": f"""with {_STATE}, tot as (select {_COVERAGE} from tr), ls as (select lower(lemma) as lemma, pos, count(*) as n, max(ru) filter (where state = 'translated') as target from tr group by lower(lemma), pos)
+ select 'totals' as section, cast(k as bigint) as place, rpad(label, 33, ' ') || v as line from (select unnest([0, 1, 2, 3, 4]) as k, unnest(['Всего слов:', 'Переведено:', 'Пропущено:', 'Не найдено в словаре:', 'Покрытие, %:']) as label, unnest([cast(total_words as varchar), cast(translated_words as varchar), cast(skipped_words as varchar), cast(n_unknown as varchar), cast(coverage as varchar)]) as v from tot)
+ union all select distinct 'unknown', 0, '    ' || text from tr where state = 'unknown'
+ union all select 'frequency', -n, lpad(cast(n as varchar), 8, ' ') || ' | ' || rpad(lemma, 20, ' ') || ' | ' || rpad(coalesce(target, ''), 22, ' ') || ' | ' || rpad(pos, 7, ' ') from ls
+ union all select 'grammar', -n, rpad(lemma, 20, ' ') || ' ' || rpad(ls.pos, 7, ' ') || ' ' || coalesce(pos_name, ls.pos) from ls left join {R.POS.values()} p on p.pos = ls.pos""",
     "lexical_stats": f"with {_WORDS} select lemma, pos, count(*) as n, arg_min(wordform, id) as form from w where lemma <> '' group by lemma, pos",
-    "tag_decode": f"select sent_id, cast(i as bigint) as i, coalesce(pos_name, t.pos) as pos_name from {R.TOKENS.values()} t left join {R.POS.values()} p on p.pos = t.pos",
-    "tree_relink": f"""with recursive {_STATE}, al as (select * from {R.TOKENS.values()}), kp as (select sent_id, i from tr where ru <> ''),
+    "lexical_top": f"with {_WORDS} select lemma, pos, count(*) as n, arg_min(wordform, id) as form from w where lemma <> '' group by lemma, pos order by n desc, lemma, pos limit 50",
+    "tag_decode": f"with {_ANNOTATED} select sent_id, cast(i as bigint) as i, coalesce(pos_name, al.pos) as pos_name, coalesce(dep_name, al.dep) as dep_name from al left join {R.POS.values()} p on p.pos = al.pos left join {R.DEPS.values()} d on d.dep = al.dep",
+    "tag_names": f"select sent_id, cast(i as bigint) as i, coalesce(tag_name, t.tag) as tag_name from {R.TOKENS.values()} t left join {R.TAGS.values()} g on g.tag = t.tag",
+    "tree_relink": f"""with recursive {_STATE}, kp as (select sent_id, i from tr where ru <> ''),
  up as (select al.sent_id, al.i, al.head as h, 0 as n from al join kp on kp.sent_id = al.sent_id and kp.i = al.i union all select up.sent_id, up.i, al.head, n + 1 from up join al on al.sent_id = up.sent_id and al.i = up.h where (up.sent_id, up.h) not in (select sent_id, i from kp) and al.head <> al.i)
  select sent_id, cast(i as bigint) as i, cast(case when (sent_id, arg_max(h, n)) in (select sent_id, i from kp) then arg_max(h, n) else i end as bigint) as new_head from up group by sent_id, i""",
     "dispatch_counts": f"with r as (select request_id, doc_id, text from synthesis_request qualify row_number() over (partition by request_id order by requested_at desc) = 1) select case when d.doc_id is null then 'document_not_found' when status <> 'processed' then 'document_not_ready' when coalesce({label_sql('lang')} not in ('en', 'ru'), true) then 'language_unknown' when coalesce(trim(r.text), '') = '' then 'document_text_unavailable' else 'ok' end as code, count(*) as n from r left join documents d on d.doc_id = r.doc_id group by 1",
@@ -279,3 +367,14 @@ SQL = {
     "last_n_events": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 8",
 }
 SQL["stream_debounce"] = SQL["debounce_events"]
+_INDEX = f"select term, count(*) as df, cast(sum(c) as bigint) as cnt from (select doc_id, term, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where {label_sql('lang')} = 'en' and text is not null and deleted_at is null) where length(term) > 1 and term not in {R.sql_list(R.STOPWORDS['en'])} group by doc_id, term) group by term"
+SQL |= {
+    "stream_reindex": _INDEX,
+    "reconcile_index": _INDEX,
+    "coalesced_events": "select user_id, event_id, event_type from events where user_id is not null qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
+    "stored_text": "with j as (select doc_id, string_agg(text, ' ' order by sentence_index, id) as joined from (select distinct id, doc_id, sentence_index, text from sentences where doc_id is not null and text is not null) group by doc_id) select doc_id, md5(coalesce(text, joined)) as digest from documents left join j using (doc_id)",
+    "embedding_backfill": """with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents where text is not null),
+ v as (select doc_id, cast('0x' || substr(md5(w), 1, 6) as bigint) % 64 as p, sum(case when substr(md5(w), 7, 1) < '8' then 1.0 else -1.0 end) as x from w group by all),
+ h as (select doc_id, sum(x * x) as q from v group by doc_id), e as (select vec_id, list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)) as q from embeddings where embedding is not null)
+ select d.doc_id, e.vec_id is not null as stored, round(cast(case when e.vec_id is not null then e.q when text is not null then coalesce(h.q, 0) end as double), 4) as square from documents d left join e on e.vec_id = d.doc_id left join h on h.doc_id = d.doc_id""",
+}

@@ -94,11 +94,33 @@ DICTIONARY_LINES = Table(
     ((1, "# a comment"), (2, "tower\tбашня\tNOUN\tNN"), (3, "rain | дождь | NOUN"), (4, "old; старый; ADJ; JJ; Degree=Pos"), (5, "sea, море"), (6, "alone"), (7, ""), (8, "  "), (9, "a|b\tc|d"), (10, "| пусто"), (11, "x;"), (12, "word, слово, NOUN, NN, Number=Sing, more")),
 )
 
-# Universal parts of speech, in Russian and as phrase kinds; used by tag decoding.
+# Names of universal parts of speech, relations, Penn tags and tags of Russian morphology, in Russian.
 POS_NAMES = {
     "ADJ": "прилагательное", "ADP": "предлог/послелог", "ADV": "наречие", "AUX": "вспомогательный глагол", "CCONJ": "сочинительный союз", "DET": "детерминатив", "INTJ": "междометие", "NOUN": "существительное", "NUM": "числительное",
     "PART": "частица", "PRON": "местоимение", "PROPN": "собственное существительное", "PUNCT": "пунктуация", "SCONJ": "подчинительный союз", "SYM": "символ", "VERB": "глагол", "X": "другое", "SPACE": "пробел",
 }
+DEP_NAMES = {
+    "nsubj": "подлежащее", "obj": "прямое дополнение", "dobj": "прямое дополнение", "iobj": "косвенное дополнение", "pobj": "косвенное дополнение", "obl": "обстоятельственный член", "aux": "вспомогательный глагол",
+    "aux:pass": "вспомогательный глагол пассива", "auxpass": "вспомогательный глагол пассива", "cop": "связка", "case": "падежный маркер", "mark": "подчинительный союз", "amod": "согласованное определение",
+    "nummod": "числительное-определение", "nmod": "несогласованное определение", "appos": "приложение", "det": "детерминатив", "advmod": "обстоятельство", "advcl": "обстоятельственное придаточное",
+    "xcomp": "открытое дополнительное придаточное", "ccomp": "дополнительное придаточное", "cc": "сочинительный союз", "conj": "сочинённая связь", "fixed": "устойчивое выражение", "dep": "неопределённая зависимость",
+    "root": "главное слово", "punct": "пунктуация", "parataxis": "партаксис", "discourse": "дискурсивный элемент", "vocative": "обращение", "expl": "формальное слово", "clf": "классификатор", "acl": "причастный оборот",
+    "acl:relcl": "относительное придаточное", "relcl": "относительное придаточное", "compound": "сложное слово", "flat": "плоская структура", "list": "список", "orphan": "пропущенная зависимость",
+    "reparandum": "исправление", "goeswith": "продолжение слова", "obl:agent": "агентный падеж", "agent": "агентный падеж", "prep": "предлог",
+}
+TAG_NAMES = {
+    "NN": "Сущ. ед.ч.", "NNS": "Сущ. мн.ч.", "NNP": "Имя собств.", "NNPS": "Имя собств. мн.ч.", "VB": "Глагол (базовая)", "VBD": "Глагол прош.", "VBG": "Герундий", "VBN": "Причастие прош.", "VBP": "Глагол наст.",
+    "VBZ": "Глагол 3л. ед.ч.", "JJ": "Прилагательное", "JJR": "Прил. сравн.", "JJS": "Прил. прев.", "RB": "Наречие", "RBR": "Нареч. сравн.", "RBS": "Нареч. прев.", "DT": "Артикль/опред.", "IN": "Предлог/союз",
+    "PRP": "Мест. личное", "PRP$": "Мест. притяж.", "CC": "Сочин. союз", "CD": "Числительное", "MD": "Модальный", "TO": "Частица to", "WRB": "Вопрос. нареч.", "WP": "Вопрос. мест.", "WDT": "Вопрос. опред.",
+}
+MORPH_NAMES = {
+    "NOUN": "существительное", "ADJF": "прилагательное", "ADJS": "краткое прилагательное", "COMP": "компаратив", "VERB": "глагол", "INFN": "инфинитив", "PRTF": "причастие", "PRTS": "краткое причастие", "GRND": "деепричастие",
+    "NUMR": "числительное", "NUMB": "число", "ADVB": "наречие", "NPRO": "местоимение", "PRED": "предикатив", "PREP": "предлог", "CONJ": "союз", "PRCL": "частица", "INTJ": "междометие", "UNK": "неизвестно",
+}
+#: Part-of-speech names of the tokens table.
+TOKEN_POS = {"Существительное": "NOUN", "Определитель": "DET", "Глагол": "VERB", "Прилагательное": "ADJ", "Предлог": "ADP", "Число": "NUM"}
+DEPS = Table("dep string, dep_name string", tuple(DEP_NAMES.items()))
+TAGS = Table("tag string, tag_name string", tuple(TAG_NAMES.items()))
 POS = Table("pos string, pos_name string", tuple(POS_NAMES.items()))
 
 #: Parts of speech that translation skips, and auxiliary verbs but modal ones (tag MD).

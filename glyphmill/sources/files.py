@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glyphmill.functions.text import CONTROL, natural_key
+from glyphmill.sources.formats import READERS
 
 #: Extensions that are read, and their content types.
 CONTENT_TYPES = {"txt": "text/plain", "pdf": "application/pdf", "rtf": "application/rtf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
@@ -36,21 +39,53 @@ def decoded(content: Column, strict: bool = True, most: int = MOST_BYTES) -> Col
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
+def _extracted(extensions: pd.Series, contents: pd.Series) -> pd.DataFrame:
+    """Text or error of files of other formats than plain text."""
+
+    def one(ext: str | None, data: bytes | None) -> tuple[str | None, str | None]:
+        if ext not in READERS or data is None:
+            return None, "unsupported"
+        try:
+            text = READERS[ext](bytes(data))
+        except Exception:  # a broken file is a row with an error, whatever it breaks
+            return None, "unreadable"
+        return (text, None) if text.strip() else (None, "empty")
+
+    return pd.DataFrame([one(e, c) for e, c in zip(extensions, contents, strict=True)], columns=["text", "error"])
+
+
 def read_documents(spark: SparkSession, folder: str, recursive: bool = True, strict: bool = True) -> DataFrame:
-    """(path, title, extension, size, modified, file_hash, text, error) of the text files of a folder.
+    """(path, title, extension, size, modified, file_hash, text, error) of the TXT, DOCX, RTF and PDF files of a folder.
 
     Files whose name begins with a dot or a tilde are left out, as are files of no bytes (Spark gives no row for them).
-    Other kinds than text have the error `unsupported`.
+    Other kinds have the error `unsupported`, broken files `unreadable`, files without text `empty`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     ext = extension(F.col("path"))
-    d = files.filter(~name.rlike(r"^[.~]")).select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), ext.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_hash"), F.when(ext == "txt", decoded(F.col("content"), strict)).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit("unsupported").alias("error"))).alias("d"))
+    d = files.filter(~name.rlike(r"^[.~]")).select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), ext.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("file_hash"), "content")
+    # only files of other formats go to Python
+    d = d.withColumn("x", _extracted("extension", F.when(F.col("extension").isin(list(READERS)), F.col("content"))))
+    d = d.withColumn("d", F.when(F.col("extension") == "txt", decoded(F.col("content"), strict)).otherwise(F.struct("x.text", "x.error")))
     return d.select("path", "title", "extension", "size", "modified", "file_hash", "d.text", "d.error")
 
 
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """Measured seconds per file and stage, from a CSV with a header."""
+    seconds = ", ".join(f"{x}_seconds double" for x in ("extraction", "cleaning", "language_detection", "summarization", "total", "cumulative"))
+    return spark.read.csv(path, header=True, schema=f"file_name string, file_path string, language string, token_count bigint, summary_sentence_count bigint, keyword_count bigint, cumulative_token_count bigint, {seconds}")
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(lang, word, weight) of a JSON file {language: {word: weight}}."""
+    text = spark.read.text(path, wholetext=True)
+    maps = text.select(F.explode(F.from_json("value", "map<string, map<string, double>>")).alias("lang", "words"))
+    return maps.select("lang", F.explode("words").alias("word", "weight"))
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(lang, path, text) of training texts in one folder per language."""
+    """(lang, path, text) of training texts in one folder per language; they stay apart, so no language is one huge row."""
     return read_documents(spark, folder, strict=False).filter("text is not null").select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("lang"), "path", "text")
 
 
