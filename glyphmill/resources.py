@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Stopwords; a parameter of the operators that use them.
 STOPWORDS = {
@@ -14,6 +14,37 @@ STOPWORDS = {
 }
 
 
+@dataclass
+class LanguageTools:
+    """Stopwords of a language and what brings its words to their normal form."""
+
+    stopwords: tuple[str, ...]
+    normalize: Callable[[Column], Column]
+
+
+_TOOLS: dict[str, LanguageTools] = {}
+_SPARK_NAMES = {"es": "spanish", "de": "german", "fr": "french", "pt": "portuguese"}
+
+
+def register_language(language: str, stopwords: Sequence[str], normalize: Callable[[Column], Column] = lambda w: w) -> None:
+    """Sets or replaces the tools of a language, for example by a stemmer as a pandas UDF."""
+    _TOOLS[language] = LanguageTools(tuple(stopwords), normalize)
+
+
+def language_tools(language: str) -> LanguageTools:
+    """The registered tools; by default English and Russian stopwords from here and Spark's for Spanish, German, French and Portuguese."""
+    if language not in _TOOLS:
+        if language in STOPWORDS:
+            register_language(language, STOPWORDS[language])
+        elif language in _SPARK_NAMES:
+            from pyspark.ml.feature import StopWordsRemover
+
+            register_language(language, StopWordsRemover.loadDefaultStopWords(_SPARK_NAMES[language]))
+        else:
+            raise ValueError(f"no tools for language {language}")
+    return _TOOLS[language]
+
+
 def sql_list(words: Sequence[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
@@ -171,6 +202,12 @@ PAGES = Table(
 
 CACHE = Table("doc_id bigint, action string, file_hash string, language string", ((1, "summary", "h1", "en"), (1, "speech", "h0", "en"), (2, "summary", "h2", "ru"), (3, "summary", "h3", "en")))
 CACHE_NOW = Table("doc_id bigint, file_hash string, language string", ((1, "h1", "en"), (2, "h2", "en"), (4, "h4", "ru")))
-LCIDS = Table("code string", (("409",), ("809",), ("c09",), ("419",), ("1009",), ("",), ("zz",)))
+LCIDS = Table("code string", (("409",), ("809",), ("c09",), ("419",), ("1009",), ("",), ("zz",), ("409;9",), ("407; 809",), ("9",), ("0x1409",), ("1809;409",), ("7c09",)))
 REFERENCES = Table("ref_no bigint, reference string", ((1, "mikax-tahun-9200"), (2, "Chapter"), (3, "no such document at all"), (4, "  "), (5, "comet.")))
 VOICES = Table("voice_id string, locale string, name string", (("v1", "en-US", "Ann"), ("v2", "en-GB", "Ben"), ("v1", "en-US", "Ann"), ("v3", "ru-RU", "Vera"), ("", "en-US", "None"), ("v4", "en-AU", "Cat")))
+
+#: Sentences for a small classifier that needs no corpus.
+STUB_SENTENCES = {
+    "en": ("the old harbour is quiet in the early morning", "she opened the letter and read it with a smile", "we will walk to the station when the rain stops", "the map shows a road between the river and the hill"),
+    "es": ("el viejo puerto está tranquilo por la mañana", "ella abrió la carta y la leyó con una sonrisa", "caminaremos a la estación cuando pare la lluvia", "el mapa muestra un camino entre el río y la colina"),
+}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphmill import resources as R
 from glyphmill.functions import text as T
-from glyphmill.operators import catalog, chunking, evaluate, index, langid, search, summarize, translate
+from glyphmill.operators import catalog, chunking, commands, dispatch, evaluate, index, langid, search, summarize, translate
 from glyphmill.streaming import events as ev
 
 TEXT = st.text(alphabet="ab .!?\n'é中", max_size=300)
@@ -160,3 +160,108 @@ def test_debounce_compares_with_the_last_accepted(spark):
     got = sorted(r.event_id for r in ev.debounce(d, "k", "at", "id", 1.0).collect())
     assert got == [0, 3, 5, 20]
     assert ev.debounce(d.limit(0), "k", "at", "id", 1.0).collect() == []
+
+
+def tree(*words):
+    return [dict(zip(("i", "text", "pos", "dep", "head"), (i, *w), strict=True)) for i, w in enumerate(words)]
+
+
+def test_constituency_rules():
+    s = tree(("The", "DET", "det", 2), ("old", "ADJ", "amod", 2), ("captain", "NOUN", "nsubj", 5), ("has", "AUX", "aux", 5), ("quietly", "ADV", "advmod", 5), ("opened", "VERB", "ROOT", 5), ("maps", "NOUN", "obj", 5), ("and", "CCONJ", "cc", 6), ("drums", "NOUN", "conj", 6), ("in", "ADP", "case", 10), ("forests", "NOUN", "obl", 5), (".", "PUNCT", "punct", 5))
+    assert translate.constituency(s) == "(S (NP (ADJP (DET The)) (ADJP (ADJ old)) (NOUN captain)) (VP (AUX has) (ADVP (ADV quietly)) (V opened) (NP (NOUN maps) (CoordNP (CC and) (NP (NOUN drums)))) (PP (P in) (NP (NOUN forests))) (PUNCT .)))"
+    s = tree(("Towers", "NOUN", "nsubj", 2), ("are", "AUX", "cop", 2), ("famous", "ADJ", "ROOT", 2))
+    assert translate.constituency(s) == "(S (NP (NOUN Towers)) (VP (COP are) (V famous)))"
+    s = tree(("She", "PRON", "nsubj", 1), ("said", "VERB", "ROOT", 1), ("that", "SCONJ", "mark", 4), ("he", "PRON", "nsubj", 4), ("left", "VERB", "ccomp", 1))
+    assert translate.constituency(s) == "(S (NP (PRON She)) (VP (V said) (CCOMP (S (NP (PRON he)) (VP (MARK (SCONJ that)) (V left))))))".replace("(MARK (SCONJ that))", "(MARK that)")
+    assert translate.constituency([]) == "(S)"
+
+
+def test_linearization():
+    s = tree(("Yesterday", "ADV", "advmod", 2), ("captain", "NOUN", "nsubj", 2), ("found", "VERB", "ROOT", 2), ("maps", "NOUN", "obj", 2), ("and", "CCONJ", "cc", 3), ("drums", "NOUN", "conj", 3), ("old", "ADJ", "amod", 3))
+    assert translate.linearize(s) == [1, 0, 2, 4, 6, 3, 5]  # the conjunction leads its first later sibling
+    loop = [{"i": 0, "dep": "obj", "head": 1}, {"i": 1, "dep": "obj", "head": 0}]
+    assert translate.linearize(loop) == [0, 1]
+    chain = [{"i": k, "dep": "obj" if k else "ROOT", "head": max(0, k - 1)} for k in range(3000)]
+    assert translate.linearize(chain) == list(range(3000))
+
+
+def test_commands(spark):
+    want = {
+        "найди в тексте комета": ("search", "комета", None),
+        'Please, find "the old captain" !': ("search", "the old captain", None),
+        "look  for: towers": ("search", "towers", None),
+        "find it's here": ("search", "it's here", None),
+        "find finding": ("search", "finding", None),
+        "find a, then read": None,
+        "find a\nread": None,
+        "find 'a and read'": ("search", "a and read", None),
+        'find "a" b': None,
+        'find "a': None,
+        "find ?!": None,
+        "прочитай мне вслух": None,
+        "Translate the text into RUSSIAN.": ("translation", "", "ru"),
+        "translate to ru язык": ("translation", "", "ru"),
+        "translate": None,
+        "create a summary of this document!": ("summary", "", None),
+        "readable": None,
+        "": None,
+        None: None,
+    }
+    d = spark.createDataFrame(list(enumerate(want)), "id int, text string").withColumn("action", F.lit("x")).drop("action")
+    got = {r.text: (r.action, r.argument, r.target_language) if r.action else None for r in commands.parsed(d, "text").collect()}
+    assert got == want
+    assert commands.parsed(d.limit(0), "text").collect() == []
+
+
+def test_outcomes_and_failures(spark):
+    c = spark.createDataFrame([(1, None), (2, None), (3, None), (4, None), (5, None), (6, None), (None, None), (1, "invalid_command")], "doc_id bigint, error_code string")
+    docs = spark.createDataFrame([(1, "processed", "EN-us", "t", None), (2, "pending", "en", "t", None), (3, "processed", "xx", "t", None), (4, "processed", "ru", " ", None), (5, "processed", "en", "t", "2025")], "doc_id bigint, status string, lang string, text string, deleted_at string")
+    got = sorted((r.doc_id or 0, r.code) for r in dispatch.outcome(c, docs).collect())
+    assert got == [(0, "document_not_found"), (1, "invalid_command"), (1, "ok"), (2, "document_not_ready"), (3, "language_unknown"), (4, "document_text_unavailable"), (5, "document_not_found"), (6, "document_not_found")]
+
+    def step(x):
+        if x == "voice":
+            raise dispatch.Failure("voice_unavailable")
+        return str(1 // int(x))
+
+    rows = spark.createDataFrame([("1",), ("0",), ("voice",), (None,)], "t string").select(dispatch.attempted(step)(F.col("t")).alias("x")).collect()
+    assert [tuple(r.x) for r in rows] == [("1", None), (None, "operation_failed"), (None, "voice_unavailable"), (None, None)]
+
+
+def test_registry_and_deletes(spark):
+    assert "el" in R.language_tools("es").stopwords and "the" in R.language_tools("en").stopwords
+    with pytest.raises(ValueError):
+        R.language_tools("xx")
+    R.register_language("xx", ["a"], F.upper)
+    assert R.language_tools("xx").stopwords == ("a",)
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, w string")
+    left, n = index.delete_where(d, F.col("w") == "a")
+    assert sorted(r.id for r in left.collect()) == [2, 3] and n.first()[0] == 1 and index.delete_all(d).count() == 0
+
+
+def test_debounce_in_batches_is_debounce(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice("aab"), k, rng.randint(0, 60_000)) for k in range(120)]
+    rows.sort(key=lambda r: r[2])
+    d = spark.createDataFrame(rows, "k string, id bigint, ms bigint").withColumn("at", F.timestamp_millis("ms").cast("timestamp_ntz"))
+    want = sorted(r.event_id for r in ev.debounce(d, "k", "at", "id", 2.0).collect())
+    through = ev.Debouncer(spark, str(tmp_path / "rows"), "k", "at", "id", 2.0)
+    for number, (low, high) in enumerate(((0, 20_000), (20_000, 20_001), (20_001, 70_000))):
+        for _ in range(2):  # a repeated batch replaces itself
+            through.write(d.filter((F.col("ms") >= low) & (F.col("ms") < high)), number)
+    assert sorted(r.event_id for r in through.accepted().collect()) == want
+
+
+def test_streams_start_again(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def write(batch, number):
+        seen.append(number)
+        if len(seen) == 1:
+            raise RuntimeError("once")
+        batch.write.mode("overwrite").parquet(str(tmp_path / "out"))
+
+    s = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    ev.run_stream(lambda: ev.polled(s.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")), None).start(), wait_seconds=0.01)
+    assert seen == [0, 0] and spark.read.parquet(str(tmp_path / "out")).count() == 5
