@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.forms import nfc, stripped
+from glyphmill.functions.forms import nfc
+from glyphmill.llm.forms import stripped
 from glyphmill.plans.lineage import written
 
 #: In place of a record for rows that have none; a few of them, so that a hot term's rows without record are spread.

@@ -198,6 +198,21 @@ g as (select key, min(doc_id) as least from keyed group by key),
 f as (select g.key, min(coalesce(o.least, g.least)) as first_doc_id from g left join r on r.key = g.key left join g o on o.key = r.other group by g.key),
 m as (select distinct doc_id, first_doc_id from keyed join f using (key))
 """
+# the cut rule read off each piece's window of limit + 1 characters, from its start: the last blank line, line break, sentence mark, blank
+_CLOSE = "\"''’”»“)\\]」』）"
+_P1 = f"""with recursive items as (
+  select 'document' as item_kind, doc_id as item_id, text, 2000 as lim, 100 as overlap from documents where length(text) > 2000
+  union select 'request', request_id, text, 600, 40 from synthesis_request where length(text) > 600
+), steps as (
+  select item_kind, item_id, text, lim, overlap, 0 as s, cast(null as bigint) as e, false as done from items
+  union all
+  select item_kind, item_id, text, lim, overlap, s, case when length(text) - s <= lim then length(text) else s + coalesce(
+    case when blank >= lim / 2 then blank end, case when line >= lim / 2 then line end, case when greatest(mark, free) >= lim / 2 then greatest(mark, free) end, case when gap >= lim / 2 then gap end, lim) end, length(text) - s <= lim
+  from (select *, length(regexp_extract(substr(w, 1, lim), '(?s)^.*\\r?\\n\\r?\\n')) as blank, length(regexp_extract(substr(w, 1, lim), '(?s)^.*\\n')) as line,
+    length(regexp_extract(w, '(?s)^(.*[.!?…।؟][{_CLOSE}]*)[ \\t\\r\\n]', 1)) as mark, length(regexp_extract(w, '(?s)^(.*[。！？][{_CLOSE}]*)[^{_CLOSE}]', 1)) as free, length(regexp_extract(substr(w, 1, lim), '(?s)^.* ')) as gap
+    from (select item_kind, item_id, text, lim, overlap, case when e is null then 0 else e - overlap end as s, substr(text, case when e is null then 1 else e - overlap + 1 end, lim + 1) as w from steps where not done))
+)
+"""
 _P8 = """with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
  i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark where text is not null),
  dw as (select doc_id, unnest(range(len(w) - 9)) as k, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) as g from d where len(w) >= 10),
@@ -209,6 +224,7 @@ _P8_LONGEST = _P8 + """, islands as (select doc_id, item_id, dk - ik as diagonal
  longest as (select doc_id, item_id, max(n) as n from (select doc_id, item_id, count(*) + 9 as n from islands group by doc_id, item_id, diagonal, island) group by doc_id, item_id)
 """
 SQL = {
+    "p1_found": _P1 + "select distinct item_kind, item_id, s as piece_start, e as piece_end from steps where e is not null",
     "p3_delta": _P3.format(where=f"where made is null or made >= timestamp '{EXPIRED}'") + "select field_name, term, occurrences, records from counts",
     "p3_found": _P3.format(where="") + "select field_name, term, verdict from judged where verdict is not null",
     "p3_counts": _P3.format(where="") + "select field_name, term, occurrences, records, verdict from judged",
