@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from glyphmill.functions import text as T
+from glyphmill.plans.skew import if_small
 
 
 def check(k1: float, b: float, limit: int) -> None:
@@ -28,7 +30,8 @@ def scores(queries: DataFrame, postings: DataFrame, stats: DataFrame, collection
     Repeated query terms count once. Scores are summed with map-side combining and rounded to 6 digits.
     """
     wanted = queries.distinct()
-    hits = postings.join(F.broadcast(wanted.join(stats, "term")), "term").crossJoin(F.broadcast(collection))
+    weighted = if_small(wanted.join(stats, "term"), wanted)  # statistics have a row per term
+    hits = postings.join(weighted, "term").crossJoin(F.broadcast(collection))  # one row
     weight = bm25_weight(F.col("idf"), F.col("tf"), F.col("doc_length"), F.col("avg_length"), k1, b)
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
 
@@ -76,16 +79,18 @@ def snippet(text: Column, positions: Column, terms: Column, window: int = 15, la
     return F.regexp_replace(F.when(total == 0, T.escaped(F.substring(text, 1, 300))).otherwise(body), r"[ \t\n\x0B\f\r]+", " ")
 
 
-def resolve(references: DataFrame, docs: DataFrame) -> DataFrame:
+def resolve(references: DataFrame, docs: DataFrame, block: int = 10_000) -> DataFrame:
     """(ref_no, n_matches, doc_id): what a reference names, by path, exact title or file name, then a part of them.
 
-    doc_id is the document if there is just one. An empty reference names none. The references are few and broadcast;
-    documents are read once, and only counts and the smallest id leave a task.
+    doc_id is the document if there is just one. An empty reference names none. References are broadcast in blocks of
+    about `block`, each against all documents, and only counts and the smallest id leave a task.
     """
     r = references.select("ref_no", F.lower(F.trim("reference")).alias("ref"))
     r = r.withColumn("bare", F.trim(F.regexp_replace("ref", r"[.!?]+$", "")))
     d = docs.select("doc_id", F.lower("title").alias("t"), F.lower("file_path").alias("p"), F.lower(F.regexp_extract("file_path", r"([^/\\]+)$", 1)).alias("f"))
-    found = d.join(F.broadcast(r), (F.col("ref") != "") & (F.col("t").contains(F.col("bare")) | F.col("f").contains(F.col("bare")) | (F.col("p") == F.col("ref"))))
+    blocks = max(1, -(-r.count() // block))
+    fits = (F.col("ref") != "") & (F.col("t").contains(F.col("bare")) | F.col("f").contains(F.col("bare")) | (F.col("p") == F.col("ref")))
+    found = reduce(DataFrame.unionByName, [d.join(F.broadcast(r.filter(F.pmod(F.xxhash64("ref_no"), F.lit(blocks)) == k)), fits) for k in range(blocks)])
     level = F.when(F.col("p") == F.col("ref"), 1).when((F.col("t") == F.col("ref")) | (F.col("f") == F.col("ref")), 2).when((F.col("t") == F.col("bare")) | (F.col("f") == F.col("bare")), 3).otherwise(4)
     counted = found.withColumn("level", level).groupBy("ref_no", "level").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     best = counted.groupBy("ref_no").agg(F.min_by(F.struct("n", "least"), "level").alias("x"))

@@ -9,6 +9,7 @@ from glyphmill import resources as R
 from glyphmill.functions import text as T
 from glyphmill.functions.labels import label_code, label_sql
 from glyphmill.operators import evaluate, index, search
+from glyphmill.plans.skew import if_small
 from glyphmill.sources.tables import table
 
 QUERY = "The famous comet and the old archive near the northern harbour"
@@ -28,6 +29,11 @@ def _lengths(spark: SparkSession, folder: str, language: str = "en") -> DataFram
     return index.lengths(_docs(spark, folder, language), "doc_id", language, R.STOPWORDS[language])
 
 
+def documents_listed(spark, folder):
+    """Documents by title, then id; a sort by ranges, so no task gathers them."""
+    return table(spark, folder, "documents", "doc_id", "title").select("doc_id", "title").orderBy(F.col("title").asc_nulls_last(), "doc_id")
+
+
 def scan_documents(spark, folder):
     return table(spark, folder, "documents", "doc_id", "title", "file_path", "source", "n_chars").select("doc_id", "title", "file_path", "source", F.col("n_chars").cast("bigint").alias("n_chars"), F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1).alias("extension"))
 
@@ -71,7 +77,7 @@ def term_stats_lang(spark, folder):
 def _scored(spark, folder, queries: DataFrame, language: str = "en", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     search.check(k1, b, 1)
     toks, sizes = _tokens(spark, folder, language), _lengths(spark, folder, language)
-    hits = toks.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")  # only words of the queries are shuffled
+    hits = toks.join(if_small(queries.select("term").distinct()), "term", "left_semi")  # only words of the queries are shuffled
     return search.scores(queries, index.postings(hits), index.term_stats(hits, sizes), index.collection_stats(sizes), k1, b)
 
 
@@ -212,7 +218,7 @@ def resolve_document(spark, folder):
     return search.resolve(R.REFERENCES.frame(spark), table(spark, folder, "documents", "doc_id", "title", "file_path"))
 
 
-_ALL = (scan_documents, content_hash, tokenize_en, tokenize_lang, token_positions, inverted_index, collection_stats, term_stats, term_stats_lang, bm25_search, bm25_by_lang, bm25_positions, snippet, k_ladder, precision_recall_at_k, average_precision, pr_curve_11pt, evaluation_report, judgment_status, upsert_latest, cosine_topk, rerank, terms_missing, index_replace_doc, index_delete_doc, index_current, resolve_document)
+_ALL = (scan_documents, documents_listed, content_hash, tokenize_en, tokenize_lang, token_positions, inverted_index, collection_stats, term_stats, term_stats_lang, bm25_search, bm25_by_lang, bm25_positions, snippet, k_ladder, precision_recall_at_k, average_precision, pr_curve_11pt, evaluation_report, judgment_status, upsert_latest, cosine_topk, rerank, terms_missing, index_replace_doc, index_delete_doc, index_current, resolve_document)
 QUERIES = {q.__name__: q for q in _ALL} | {"map": map_}
 
 
@@ -258,6 +264,7 @@ _COS = "list_dot_product(cast(embedding as double[]), cast(q as double[])) / (sq
 _VEC = "vec as (select vec_id, embedding, (select arg_min(embedding, vec_id) from embeddings) as q from embeddings where embedding is not null)"
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 SQL = {
+    "documents_listed": "select doc_id, title from documents order by title nulls last, doc_id",
     "scan_documents": "select doc_id, title, file_path, source, n_chars, regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1) as extension from documents",
     "content_hash": "select doc_id, sha256(text) as digest, coalesce(sha256(text) = file_hash, false) as intact from documents",
     "tokenize_en": f"select doc_id, count(*) as n_tokens, count(distinct term) as n_terms from {_tok('en')} group by doc_id",

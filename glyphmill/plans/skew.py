@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 HEAVY_KEYS = 2000
 
 
+#: Tables of up to so many rows are broadcast where a plan asks for it.
+SMALL_ROWS = 100_000
+
+
+def if_small(df: DataFrame, counted: DataFrame | None = None, most: int = SMALL_ROWS) -> DataFrame:
+    """`df` to be broadcast if it, or `counted`, which has as many rows or more, has `most` rows at most; else as it is."""
+    return F.broadcast(df) if (df if counted is None else counted).limit(most + 1).count() <= most else df
+
+
 def split_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], weight: str, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has one row per key and in `weight` the key's number of rows.
 
