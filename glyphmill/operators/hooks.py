@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -97,8 +96,3 @@ def cleaned_by(model: Callable[[str], str], limit: int = 12_000, least: int = 10
         return texts.map(one)
 
     return lambda text: F.coalesce(run(F.when(T.is_dirty(text), T.clean(text))), T.clean(text))
-
-
-def profile_json(profiles: dict[str, dict[str, float]]) -> str:
-    """Profiles as one JSON document, languages and words in order."""
-    return json.dumps({lang: dict(sorted(words.items())) for lang, words in sorted(profiles.items())}, ensure_ascii=False)

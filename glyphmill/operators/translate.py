@@ -306,6 +306,14 @@ def to_constituency(tokens: DataFrame) -> DataFrame:
     return sentence_arrays(tokens, "text", "pos", "dep", "head").select("sent_id", _sentence_udf(constituency)("tokens").alias("tree"))
 
 
+def tree_shape(trees: DataFrame) -> DataFrame:
+    """(sent_id, depth, leaves): levels of brackets and words of each tree of `to_constituency`, counted in the JVM."""
+    steps = F.transform(F.regexp_extract_all("tree", F.lit(r"[()]"), F.lit(0)), lambda c: F.when(c == "(", 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deep = F.aggregate(steps, start, lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most")))
+    return trees.select("sent_id", deep["most"].cast("bigint").alias("depth"), F.regexp_count("tree", F.lit(r"\([^() ]+ [^()]+\)")).cast("bigint").alias("leaves"))
+
+
 def decoded(code: Column, names: dict[str, str], missing: str | None = None) -> Column:
     """The name of a tag; an unknown tag stays as it is, an empty or null one is `missing`."""
     known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), code), code)

@@ -173,6 +173,10 @@ def dep_to_constituency(spark, folder):
     return translate.to_constituency(_annotated(spark, folder))
 
 
+def tree_shapes(spark, folder):
+    return translate.tree_shape(dep_to_constituency(spark, folder))
+
+
 # --- commands ---
 
 
@@ -324,7 +328,7 @@ def last_n_events(spark, folder):
     return ev.last_events(_events(spark, folder), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
-_ALL = (catalog_diff, catalog_diff_counts, catalog_removed, label_disambiguate, catalog_books, cache_valid, translate_passthrough, speech_rate, locale_codes, voice_catalog, dictionary_parse, dictionary_search, dictionary_upsert, dictionary_export, mt_lookup, mt_tokens, mt_direct, mt_coverage, mt_coverage_by_sentence, mt_unknown_words, mt_report_lines, lexical_stats, lexical_top, tag_decode, tag_names, tree_relink, mt_transfer, dep_to_constituency, parse_command, dispatch_counts, dispatch_messages, dictionary_delete, table_cleared, debounce_events, stream_debounce, stream_index, stream_reindex, reconcile_index, coalesced_events, stored_text, embedding_backfill, expand_moves, stable_files, silence_runs, window_rms, running_totals, last_n_events)
+_ALL = (catalog_diff, catalog_diff_counts, catalog_removed, label_disambiguate, catalog_books, cache_valid, translate_passthrough, speech_rate, locale_codes, voice_catalog, dictionary_parse, dictionary_search, dictionary_upsert, dictionary_export, mt_lookup, mt_tokens, mt_direct, mt_coverage, mt_coverage_by_sentence, mt_unknown_words, mt_report_lines, lexical_stats, lexical_top, tag_decode, tag_names, tree_relink, mt_transfer, dep_to_constituency, tree_shapes, parse_command, dispatch_counts, dispatch_messages, dictionary_delete, table_cleared, debounce_events, stream_debounce, stream_index, stream_reindex, reconcile_index, coalesced_events, stored_text, embedding_backfill, expand_moves, stable_files, silence_runs, window_rms, running_totals, last_n_events)
 QUERIES = {q.__name__: q for q in _ALL}
 
 _STATES = f"b as (select file_path, case when status = 'error' then null else file_hash end as file_hash, case when doc_length > 100 then 1 else 2 end as version from documents where date_added < timestamp '{MOMENT}'), a as (select file_path, file_hash, 2 as version from documents where deleted_at is null)"

@@ -176,6 +176,11 @@ def test_constituency_rules():
     assert translate.constituency([]) == "(S)"
 
 
+def test_tree_shape(spark):
+    d = spark.createDataFrame([(1, "(S (NP (PRON She)) (VP (V said)))"), (2, "(S)")], "sent_id int, tree string")
+    assert [tuple(r) for r in translate.tree_shape(d).collect()] == [(1, 3, 2), (2, 1, 0)]
+
+
 def test_linearization():
     s = tree(("Yesterday", "ADV", "advmod", 2), ("captain", "NOUN", "nsubj", 2), ("found", "VERB", "ROOT", 2), ("maps", "NOUN", "obj", 2), ("and", "CCONJ", "cc", 3), ("drums", "NOUN", "conj", 3), ("old", "ADJ", "amod", 3))
     assert translate.linearize(s) == [1, 0, 2, 4, 6, 3, 5]  # the conjunction leads its first later sibling

@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 import zlib
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,8 +107,9 @@ def test_store_settings_and_profiles(spark, tmp_path):
     assert settings.load_weights(path) == settings.RankingWeights()
     with pytest.raises(ValueError):
         settings.save_weights(path, settings.RankingWeights(0.5, 0.6))
-    (tmp_path / "p.json").write_text(hooks.profile_json({"en": {"the": 3.0, "a": 1.0}, "ru": {"и": 2.0}}))
-    assert {tuple(r) for r in files.read_profiles(spark, str(tmp_path / "p.json")).collect()} == {("en", "the", 3.0), ("en", "a", 1.0), ("ru", "и", 2.0)}
+    rows = {("en", "the", 3.0), ("en", "a", 1.0), ("ru", "и", 2.0)}
+    assert sinks.save_profiles(spark.createDataFrame(list(rows), "lang string, word string, weight double"), s, "p.json") == {"en": 2, "ru": 1}
+    assert {tuple(r) for r in files.read_profiles(spark, str(tmp_path / "objects/p.json")).collect()} == rows
     (tmp_path / "b.csv").write_text("file_name,file_path,language,token_count,summary_sentence_count,keyword_count,cumulative_token_count,extraction_seconds,cleaning_seconds,language_detection_seconds,summarization_seconds,total_seconds,cumulative_seconds\na,b,en,1,2,3,4,0.1,0.2,0.3,0.4,1.0,1.0\n")
     assert files.read_benchmark(spark, str(tmp_path / "b.csv")).first().total_seconds == 1.0
 
@@ -123,3 +125,12 @@ def test_hooks(spark):
     parse = hooks.annotator(lambda s: [{"i": 0, "text": s, "head": 0}])
     assert d.select(parse(F.col("text")).alias("t")).first().t[0].text == "one two"
     assert store.vectors_to_json and d.select(store.vectors_from_json(store.vectors_to_json(F.array(F.lit(1.5)))).alias("v")).first().v == [1.5]
+
+
+def test_xlsx(spark, tmp_path):
+    path = str(tmp_path / "t.xlsx")
+    sinks.export_xlsx(spark.createDataFrame([(1, "a<&>\x07"), (2, None), (3, "é")], "id int, t string").coalesce(1), path, 3)
+    with zipfile.ZipFile(path) as z:
+        sheets = [z.read(f"xl/worksheets/sheet{k}.xml").decode() for k in (1, 2)]
+        assert "xl/worksheets/sheet3.xml" not in z.namelist() and all(ElementTree.fromstring(z.read(n)) is not None for n in z.namelist())
+    assert "a&lt;&amp;&gt;<" in sheets[0] and sheets[0].count("<row>") == 3 and sheets[1].count("<row>") == 2 and "<v>3</v>" in sheets[1]
