@@ -65,10 +65,9 @@ def merge(state: DataFrame | None, changes: DataFrame) -> DataFrame:
     return rows.filter("n_rows > 0 or amount <> 0")
 
 
-def store(state: DataFrame, buckets: int | None = None) -> str:
-    """Writes the state by field and bucket of the term; gives the path. By default as many buckets as shuffle partitions."""
-    n = buckets or int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(state.withColumn("bucket", F.pmod(F.hash("term"), F.lit(n))).repartition("field_name", "bucket"), "counts", "field_name", "bucket")
+def store(state: DataFrame) -> str:
+    """Writes the state by field, in files by term and record as it is partitioned already, as many as its size asks for; gives the path."""
+    return written(state, "counts", "field_name")
 
 
 def counts(state: DataFrame) -> DataFrame:
