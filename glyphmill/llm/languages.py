@@ -38,11 +38,11 @@ OF_SCRIPT = 0.05
 POINTS = 0x32400
 #: A lane of the vectorised parse holds at most so many characters; longer sentences take several lanes, each of which goes on
 #: in the state where the one before it ends.
-LANE = 256
+LANE = 96
 #: Lanes that are parsed at once.
 BLOCK = 4096
 
-_RUN = re.compile(rf"[^\W\d_฀-๿぀-ヿ㐀-鿿豈-﫿]{{{LONG},}}")
+_RUN = re.compile(rf"(?<![^\W\d_])[^\W\d_฀-๿぀-ヿ㐀-鿿豈-﫿]{{{LONG},}}")
 # --- suffix automata ---------------------------------------------------------------------------------------------
 
 
@@ -171,6 +171,8 @@ class Model:
             self.scripts.append(frozenset(x for x, n in found.items() if n >= OF_SCRIPT * found.total()))
             self.own.append((column > 0) & (np.arange(self.alphabet.size) > 0))
             bits.append(math.log2(max(2, len(codes))))
+        #: of each code the languages that have it, a bit each
+        self.bits = sum((own.astype(np.uint64) << np.uint64(k) for k, own in enumerate(self.own)), np.zeros(self.alphabet.size, dtype=np.uint64))
         self.weights = np.array(bits) / max(bits) if bits else np.zeros(0)
 
     def codes_of(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +198,14 @@ class Model:
 
     def _read(self, sentences: Sequence[str], fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As `_read_whole`; long runs are read by themselves and added to their sentence, or left out as noise."""
-        whole, runs, owner = [], [], []
-        for i, s in enumerate(sentences):
-            if len(s) >= LONG and (found := _RUN.findall(s)):
+        read = self.codes_of(sentences)
+        whole, runs, owner = list(sentences), [], []
+        for i in self._with_long_runs(*read):
+            if found := _RUN.findall(sentences[i]):
                 runs += found
                 owner += [i] * len(found)
-                s = _RUN.sub(" ", s)
-            whole.append(s)
-        costs, letters, known = self._read_whole([*whole, *runs], fallback)
+                whole[i] = _RUN.sub(" ", sentences[i])
+        costs, letters, known = self._read_whole([*whole, *runs], fallback, None if runs else read)
         n = len(sentences)
         for k, i in enumerate(owner, n):
             best = costs[k].min() if len(costs[k]) else 0
@@ -214,13 +216,24 @@ class Model:
                 letters[i] += letters[k]
         return costs[:n], letters[:n], known[:n]
 
-    def _read_whole(self, sentences: Sequence[str], fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def _with_long_runs(codes: np.ndarray, lengths: np.ndarray) -> list[int]:
+        """Numbers of the sentences with LONG letters or more in a row."""
+        ends = np.cumsum(lengths)
+        edge = np.zeros(len(codes) + 1, dtype=bool)
+        edge[:-1] = codes == 0
+        edge[ends - lengths] = edge[ends] = True
+        edges = np.flatnonzero(edge)
+        long = edges[:-1][np.diff(edges) > LONG - 1]  # of a stretch from one edge to the next, at most one place is no letter
+        return np.unique(np.searchsorted(ends, long, side="right")).tolist()
+
+    def _read_whole(self, sentences: Sequence[str], fallback: bool, read: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As `read`, and the share of known letters of each sentence that no language takes, 1 of the others.
 
         With `fallback` such a sentence is read by the languages of its script.
         """
         langs = len(self.languages)
-        codes, lengths = self.codes_of(sentences)
+        codes, lengths = read or self.codes_of(sentences)
         costs, letters, known = np.zeros((len(sentences), langs)), np.zeros(len(sentences)), np.ones(len(sentences))
         filled = np.flatnonzero(lengths)
         if not len(filled):
@@ -239,8 +252,9 @@ class Model:
         place[order] = np.arange(len(order))
         before = np.where(nth > 0, place[np.maximum(order - 1, 0)], -1)  # the lane that a lane goes on from
         seen = np.zeros((len(sentences), langs))
+        bits = self.bits[codes]
         for k in range(langs):
-            seen[filled, k] = np.add.reduceat(self.own[k][codes], begins, dtype=np.int64)
+            seen[filled, k] = np.add.reduceat((bits >> np.uint64(k)).astype(np.uint8) & 1, begins, dtype=np.int64)
         takes = seen >= 0.6 * np.maximum(letters, 1)[:, None]  # a language takes part where most letters are its own
         costs += letters[:, None] - seen  # a letter that a language's training text doesn't have is a phrase of its own
         if fallback and langs:
@@ -379,11 +393,7 @@ def segments(texts: Sequence[str], model: Model) -> list[list[tuple[int, int, st
     for i, t in enumerate(texts):
         if t:
             pieces += [(i, a, b) for a, b in ([(0, len(t))] if is_card(t) else units(t))]
-    # equal sentences of a batch are read once
-    wanted = [texts[i][a:b] for i, a, b in pieces]
-    place = {x: k for k, x in enumerate(dict.fromkeys(wanted))}
-    of = np.fromiter((place[x] for x in wanted), dtype=np.int64, count=len(wanted))
-    costs, letters, known = (x[of] for x in model._read(list(place), True))
+    costs, letters, known = model._read([texts[i][a:b] for i, a, b in pieces], True)
     finite = np.isfinite(costs)
     hopeless = ~finite.any(axis=1)
     costs = np.where(finite, costs, np.where(finite, costs, 0).max(axis=1, keepdims=True) + np.maximum(letters, 1)[:, None] * 0.7 + 3)

@@ -90,6 +90,7 @@ _HAS_OPENING = re.compile("[“„«「『（(\\[\"‘']")
 
 _NEVER = {w for x in NEVER_FINAL.values() for w in x.split()}
 _MAYBE = {w for x in MAYBE_FINAL.values() for w in x.split()}
+_KNOWN = _NEVER | _MAYBE | WITH_NUMBER
 
 
 def is_card(text: str) -> bool:
@@ -259,17 +260,18 @@ _SPACELESS_PAIR = re.compile(f"[{_SPACELESS}]{{2}}")
 _BLANKS = re.compile(r"\s+")
 
 
-def _score(block: str, mark: str, start: int, end: int, quoted: bool, noisy: int) -> float:
+def _score(block: str, mark: str, start: int, end: int, quoted: bool, noisy: int, k: int = -1) -> float:
     """Evidence for a sentence's end at a gap of a spaced script: `mark` from `start`, with its closers up to `end`.
 
     noisy: 1 where capitals stand at random, so that only a small letter tells something; 2 where case tells nothing.
+    k: where the next visible character stands, if known.
     """
-    k = _NEXT.match(block, end).end()
+    k = _NEXT.match(block, end).end() if k < 0 else k
     if k >= len(block):
         return STOP
-    if k == end and not _KANA_HAN.match(block, k) and not _THAI.match(block, k) and block[k] not in "“„«‘\"(「『（—–¿¡":
-        return -SURE
     c = block[k]
+    if k == end and c not in "“„«‘\"(「『（—–¿¡" and not _KANA_HAN.match(block, k) and not _THAI.match(block, k):
+        return -SURE
     if c in ",;:،؛，、）)":
         return -SURE
     if c in "—–-":  # speech goes on behind a dash with who speaks, or in small letters
@@ -296,12 +298,15 @@ def _score(block: str, mark: str, start: int, end: int, quoted: bool, noisy: int
 def _abbreviated(block: str, start: int, low: str, digit: bool, noisy: int) -> float:
     """Evidence that the full stop at `start` belongs to the word before it; `low` is the word behind it."""
     b = start
-    while b and block[b - 1] not in _ENDS_TOKEN and not _KANA_HAN.match(block, b - 1):
+    while b and (c := block[b - 1]) not in _ENDS_TOKEN and not "\u3040" <= c <= "\u9fff":
         b -= 1
     before = block[b:start]
-    key = before.lower()
     if not before:
         return 0.0
+    dotted = "." in before
+    key = before.lower()
+    if len(before) > 5 and not dotted and key not in _KNOWN and not before.isdigit():
+        return 0.0  # a word
     if before.isdigit():
         return 6.0 if low in GERMAN_MONTHS and len(before) < 3 else 0.0
     if key in "дп" and re.search(r"[тТ]\.\s*$", block[max(0, start - 8) : start - 1]):
@@ -321,12 +326,12 @@ def _abbreviated(block: str, start: int, low: str, digit: bool, noisy: int) -> f
         if key in ("г", "гг", "в", "вв"):
             return 0.0 if _NUMBER_BEFORE.search(block, max(0, start - 9), b) else 6.0
         return 0.0
-    if key in _NEVER or key.endswith((".ej", ".ex", ".e", ".b", ".h")):
+    if key in _NEVER or dotted and key.endswith((".ej", ".ex", ".e", ".b", ".h")):
         return 6.0
     if len(before) == 1 and before.isalpha():
         ahead = block[max(0, b - 3) : b].rstrip()
         return 0.0 if ahead and (ahead[-1] in "º°ª" or ahead[-1].isdigit()) else 6.0
-    if _DOTTED.fullmatch(before):
+    if dotted and _DOTTED.fullmatch(before):
         return 2.0 if low in OPENERS else 6.0
     # a short word without vowel is no word, but may be a name in capitals
     if _NO_VOWEL.fullmatch(before) and not before.isupper():
@@ -346,7 +351,13 @@ def _words(block: str, start: int, end: int) -> int:
 
 
 def _path(block: str, gaps: list[tuple[int, float]]) -> list[int]:
-    """The cheapest cuts of a block: a state per gap and number of words (none, one, more) in the open unit. Exact and linear."""
+    """The cheapest cuts of a block: a state per gap and number of words (none, one, more) in the open unit. Exact and linear.
+
+    Joining at a gap saves two units of a single word at most, and cutting none; so where no score lies between nothing and
+    twice SHORT, each gap's sign is the cheapest path.
+    """
+    if all(score < 0 or score >= 2 * SHORT for _, score in gaps):
+        return [end for end, score in gaps if score > 0]
     best, back, at = [0.0, math.inf, math.inf], [], 0
     for end, score in gaps:
         words, at = _words(block, at, end), end
@@ -398,9 +409,11 @@ def _block_cuts(block: str, noisy: int) -> list[int]:
             while end < len(block) and block[end] in _CLOSERS and not (block[end] in "\"'“" and end + 1 < len(block) and block[end + 1].isalnum()):
                 end += 1
         at = end
-        free = m.group()[-1] in "。！？"
-        spaceless = free or (_KANA_HAN.match(block, _NEXT.match(block, end).end()) and _KANA_HAN.match(block, max(0, start - 1)))
-        gaps.append((end, _spaceless_score(block, m.group(), start, end, span) if spaceless else _score(block, m.group(), start, end, span is not None or end > m.end(), noisy)))
+        mark, k = m.group(), _NEXT.match(block, end).end()
+        if mark[-1] in "。！？" or (k < len(block) and block[k] > "\u303f" and _KANA_HAN.match(block, k) and _KANA_HAN.match(block, max(0, start - 1))):
+            gaps.append((end, _spaceless_score(block, mark, start, end, span)))
+        else:
+            gaps.append((end, _score(block, mark, start, end, span is not None or end > m.end(), noisy, k)))
     if _THAI.search(block):
         gaps = _thai_gaps(block, spans, gaps)
     return _path(block, gaps) if gaps else []
