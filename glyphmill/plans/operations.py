@@ -406,3 +406,21 @@ SQL |= {
  h as (select doc_id, sum(x * x) as q from v group by doc_id), e as (select vec_id, list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)) as q from embeddings where embedding is not null)
  select d.doc_id, e.vec_id is not null as stored, round(cast(case when e.vec_id is not null then e.q when text is not null then coalesce(h.q, 0) end as double), 4) as square from documents d left join e on e.vec_id = d.doc_id left join h on h.doc_id = d.doc_id""",
 }
+
+# commands as one string in small letters with single blanks, as the fixture's arguments are
+_VERB_ROWS = ", ".join(f"({k}, '{action}', '{phrase}')" for k, (action, phrases) in enumerate(commands.PHRASES.items()) for phrase in phrases)
+_ANY_OF = lambda phrases: "(" + "|".join(sorted(phrases, key=len, reverse=True)) + ")"
+_ALL_VERBS = _ANY_OF([p for phrases in commands.PHRASES.values() for p in phrases])
+_PLAIN_WORD = "[\\p{L}\\p{N}\\p{M}_]"
+SQL["parse_command"] = f"""with t as (select id, regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '\\s+', ' ', 'g'), '^(пожалуйста|please)[, ]+', '') as t from {R.COMMANDS.values()}),
+ verbs as (select * from (values {_VERB_ROWS}) as v(place, action, phrase)),
+ hit as (select id, action, trim(substr(t, length(phrase) + 1)) as rest from t join verbs on starts_with(t, phrase) and not regexp_matches(substr(t, length(phrase) + 1, 1), '{_PLAIN_WORD}') qualify row_number() over (partition by id order by place, length(phrase) desc) = 1),
+ said as (select id, action, regexp_replace(rest, '^мне( |$)', '') as rest from hit),
+ sought as (select id, ltrim(regexp_replace(rest, '^{_ANY_OF(commands.FILLERS)}( *: *| +|$)', ''), ': ') as q from said where action = 'search'),
+ outside as (select id, q, regexp_replace(q, '(^| )("[^"]*"|''[^'']*''|«[^»]*»|“[^”]*”|„[^“]*“)', ' ', 'g') as o, regexp_extract(q, '^("[^"]*"|''[^'']*''|«[^»]*»|“[^”]*”|„[^“]*“)') as lead from sought),
+ found as (select id, case when lead <> '' then trim(substr(lead, 2, length(lead) - 2)) else q end as argument, regexp_matches(o, '(^| )["''«“„]') or regexp_matches(o, '((^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(и|затем|потом|and|then) +|[;,.!?] *)((пожалуйста|please) +)?{_ALL_VERBS}([^\\p{{L}}\\p{{N}}\\p{{M}}_]|$)')
+   or (lead <> '' and not regexp_matches(substr(q, length(lead) + 1), '^[ .!?]*$')) or regexp_matches(case when lead <> '' then substr(lead, 2, length(lead) - 2) else q end, '^[ .!?]*$') as bad from outside),
+ others as (select id, action, regexp_replace(trim(rtrim(rest, '.!?')), '^{_ANY_OF(commands.OBJECTS)}( |$)', '') as o from said where action <> 'search'),
+ aimed as (select id, action, o, case regexp_extract(o, '^(на|to|into|in) (русский|английский|russian|english|ru|en)( язык)?$', 2) when 'русский' then 'ru' when 'russian' then 'ru' when 'ru' then 'ru' when 'английский' then 'en' when 'english' then 'en' when 'en' then 'en' end as target from others),
+ done as (select id, 'search' as action, argument, null as target from found where not bad union all select id, action, '', case when action = 'translation' then target end from aimed where case when action = 'translation' then target is not null else o = '' end)
+ select t.id, action, coalesce(argument, '') as argument, target as target_language, case when action is null then 'invalid_command' end as error_code from t left join done on done.id = t.id"""
