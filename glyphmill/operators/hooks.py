@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -43,23 +46,39 @@ def embedder(model: Callable[[list[str]], Iterable[Iterable[float]]]) -> Callabl
     return run
 
 
+_WORD = re.compile(T.ALPHABETS["en"])
+
+
+@lru_cache(maxsize=200_000)
+def _place(word: str) -> tuple[int, float]:
+    """A hash of the word, and 1 or -1. The memory of words only saves time."""
+    h = hashlib.md5(word.encode()).hexdigest()
+    return int(h[:6], 16), 1.0 if h[6] < "8" else -1.0
+
+
+def _hashed(text: str, dimensions: int) -> list[float]:
+    vector = [0.0] * dimensions
+    for w in _WORD.findall(text):
+        h, sign = _place(w)
+        vector[h % dimensions] += sign
+    return vector
+
+
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A vector without a model, in the JVM: each word adds 1 or -1 at a hashed place. A text without words has zeros."""
-    place = F.transform(T.words(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % dimensions).cast("int"))
-    sign = F.transform(T.words(text), lambda w: F.when(F.substring(F.md5(w), 7, 1) < "8", 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(place.alias("p"), sign.alias("s"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.aggregate(F.filter(pairs, lambda x: x["p"] == k), F.lit(0.0), lambda a, x: a + x["s"]))
+    """A vector without a model, in one pass over the words: each adds 1 or -1 at a hashed place. A text without words has zeros."""
+    return embedder(lambda texts: [_hashed(t, dimensions) for t in texts])(F.lower(text))
 
 
 def backfill(docs: DataFrame, key: str, text: str, vectors: DataFrame, vector_key: str, vector: str, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """(key, embedding, stored): the stored vector of each document, else one that is computed; only missing ones are.
 
-    `vectors` has one row per key. A document with neither vector nor text has a null embedding.
+    `vectors` has one row per key. A document with neither vector nor text has a null embedding. `embed` gets a null text
+    for documents that have a vector.
     """
     known = vectors.select(F.col(vector_key).alias(key), F.col(vector).cast("array<double>").alias("_vector")).filter("_vector is not null")
     d = docs.select(key, F.col(text).alias("_text")).join(known, key, "left")
-    have = d.filter("_vector is not null").select(key, F.col("_vector").alias("embedding"), F.lit(True).alias("stored"))
-    return have.unionByName(d.filter("_vector is null").select(key, embed(F.col("_text")).alias("embedding"), F.lit(False).alias("stored")))
+    missing = F.col("_vector").isNull()
+    return d.select(key, F.coalesce("_vector", embed(F.when(missing, F.col("_text")))).alias("embedding"), (~missing).alias("stored"))
 
 
 _TOKEN = StructType([StructField("i", IntegerType()), *[StructField(n, StringType()) for n in ("text", "lemma", "pos", "tag", "dep")], StructField("head", IntegerType())])
