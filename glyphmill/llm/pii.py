@@ -2,8 +2,8 @@
 
 Regular expressions propose spans, checksums (Luhn, mod 97, mod 23, mod 11) confirm them, and context words before (or
 behind) a span adjust its score; a span counts from THRESHOLD. Names are proposed by their shape: a given name with a
-family name, a title with one, initials with one. Given names are those of a table and those that a bounded sample of
-the corpus shows to stand as the table's names do; see `learn`. Where spans overlap, the better kind stays: e-mail,
+family name, a title with one, initials with one. Given names are those of a table and those that the corpus shows to
+stand as the table's names do, counted over all its texts; see `learn`. Where spans overlap, the better kind stays: e-mail,
 identity number, phone, address, name.
 """
 
@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.arrow import flat_map
 from glyphmill.llm.sentences import is_card
+from glyphmill.plans.lineage import cut
 
 THRESHOLD = 1.0
-#: Tables of given names up to this size are sent to the tasks; larger ones are joined to the documents' words.
+#: Up to so many given names and facts learned about words are sent to the tasks; more are joined to the documents' words.
 MOST_NAMES = 200_000
-#: The sample that contexts of names are learned from: documents, and characters of a window at a hashed place in each.
-SAMPLE_DOCS, SAMPLE_WINDOW = 4_000, 4_000
-#: A word of the sample is a given name from so many pairs with a capital word behind it, if these are such a share of
-#: its occurrences with a capital, and the mean log odds of their contexts are at least so high.
+#: A word of the corpus is a given name from so many pairs with a capital word behind it, if these are such a share of
+#: all its occurrences, and the mean log odds of their contexts are at least so high.
 LEAST_PAIRS, LEAST_SHARE, LEAST_ODDS = 5, 0.6, 0.25
 #: Log odds (with the prior) from which one occurrence of an unknown pair is a name by its context alone.
 SURE_ODDS = 3.0
@@ -372,6 +371,7 @@ def _sentence_start(text: str, at: int) -> bool:
 
 _PAIR = re.compile(rf"(?<![\w.'’-])(?P<g>[{_CAPS}][^\W\d_]*[a-zß-öø-ÿа-яё](?:-[{_CAPS}]\w+)?){_SPACE}(?:[{_CAPS}]\.{_SPACE})*(?P<f>{_FAMILY})(?!\w)")
 _CAP_WORD = re.compile(rf"(?<!\w)[{_CAPS}][^\W\d_]+")
+_CAP_INSIDE = re.compile(rf"[{_CAPS}](?<=\w[{_CAPS}])[^\W\d_]*")
 _SMALL_WORD = re.compile(r"(?<!\w)[a-zß-öø-ÿа-яё][a-zß-öø-ÿа-яё]+(?!\w)")
 _TOKEN_BEFORE = re.compile(r"(\w+|[^\w\s])\s*$")
 _TOKEN_AFTER = re.compile(r"\s*(\w+|[^\w\s])")
@@ -386,7 +386,7 @@ def _around(text: str, s: int, e: int) -> tuple[tuple[str, str], tuple[str, str]
 
 @dataclass(frozen=True)
 class Names:
-    """Given names in small letters, log odds of the contexts of names, and words that the sample has in small letters."""
+    """Given names in small letters, log odds of the contexts of names, and words that the corpus has in small letters."""
 
     given: frozenset[str] = frozenset()
     odds: dict[tuple[str, str], float] = field(default_factory=dict)
@@ -397,37 +397,47 @@ class Names:
         """Log odds that a pair of capital words there is a name; a context that wasn't seen says nothing."""
         return sum(self.odds.get(x, 0.0) for x in _around(text, s, e))
 
+    @staticmethod
+    def of(facts: Iterable[tuple[str, str, float]], prior: float) -> Names:
+        """From (kind, word, value) of kinds `given`, `ordinary`, `before` and `behind`."""
+        by: dict[str, dict[str, float]] = defaultdict(dict)
+        for kind, word, value in facts:
+            by[kind][word] = value
+        return Names(frozenset(by["given"]), {(side, x): v for side in ("before", "behind") for x, v in by[side].items()}, prior, frozenset(by["ordinary"]))
+
+
+_NO_NAMES = TITLES | START_TITLES | FOLLOW | OPENERS
+
 
 def learn(texts: Iterable[str], known: Iterable[str]) -> Names:
     """Naive Bayes over the words around pairs of capital words, where pairs that begin with a known name are the labelled cases.
 
     A word becomes a given name if it stands as known names do in LEAST_PAIRS pairs or more. Without known names, or
-    texts, nothing is learned.
+    texts, nothing is learned. Of texts in memory; `learned` does the same over a table.
     """
     given = {x.strip().lower() for x in known if x}
     pairs: list[tuple[str, tuple[tuple[str, str], tuple[str, str]]]] = []
     capital: Counter[str] = Counter()
-    ordinary: set[str] = set()
+    small: Counter[str] = Counter()
     for t in texts:
         capital.update(w.lower() for w in _CAP_WORD.findall(t))
-        ordinary.update(_SMALL_WORD.findall(t))
+        small.update(_SMALL_WORD.findall(t))
         pairs += [(m.group("g").lower(), _around(t, m.start(), m.end())) for m in _PAIR.finditer(t)]
     yes, no = Counter(x for g, c in pairs if g in given for x in c), Counter(x for g, c in pairs if g not in given for x in c)
     n_yes = sum(g in given for g, _ in pairs)
     n_no = len(pairs) - n_yes
     if not n_yes:
-        return Names(frozenset(given), {}, -math.inf, frozenset(ordinary))
-    odds = {x: math.log((yes[x] + 0.5) / (n_yes + 1)) - math.log((no[x] + 0.5) / (n_no + 1)) for x in {*yes, *no}}
+        return Names(frozenset(given), {}, -math.inf, frozenset(small))
+    odds = {x: round(math.log((yes[x] + 0.5) / (n_yes + 1)) - math.log((no[x] + 0.5) / (n_no + 1)), 6) for x in {*yes, *no}}
     by: dict[str, list[float]] = defaultdict(list)
     for g, c in pairs:
         by[g].append(sum(odds[x] for x in c))
-    titles = TITLES | START_TITLES | FOLLOW | OPENERS
-    learned = {g for g, found in by.items() if g not in titles and len(found) >= LEAST_PAIRS and len(found) >= LEAST_SHARE * capital[g] and sum(found) >= LEAST_ODDS * len(found)}
-    return Names(frozenset(given | learned), odds, math.log((n_yes + 1) / (n_no + 1)), frozenset(ordinary))
+    learned = {g for g, found in by.items() if g not in _NO_NAMES and len(found) >= LEAST_PAIRS and len(found) >= LEAST_SHARE * (capital[g] + small[g]) and sum(found) >= LEAST_ODDS * len(found)}
+    return Names(frozenset(given | learned), odds, math.log((n_yes + 1) / (n_no + 1)), frozenset(small))
 
 
-def _names(text: str, names: Names, known: frozenset[str], card: bool) -> Iterator[tuple[str, int, int]]:
-    after, given = _AFTER_LINE if card else _AFTER, names.given | known if known else names.given
+def _names(text: str, names: Names, card: bool) -> Iterator[tuple[str, int, int]]:
+    after, given = _AFTER_LINE if card else _AFTER, names.given
     done = 0
     if card:
         for m in _CARD_AUTHOR.finditer(text):
@@ -487,7 +497,7 @@ def _names(text: str, names: Names, known: frozenset[str], card: bool) -> Iterat
                 yield "name", f.start("a"), f.end("a")
                 done = f.end("a")
             continue
-        elif not card and len(w) > 2 and text[e : e + 1].isspace() and word not in names.ordinary and word not in _FUNCTION and names.odds and not w.isupper():
+        elif not card and len(w) > 2 and text[e : e + 1].isspace() and word not in names.ordinary and word not in _FUNCTION and names.prior > -math.inf and not w.isupper():
             # an unknown word before a capital one: the context alone decides
             f = after.match(text, e)
             if f and _family_ok(f.group("a")) and not NOT_BEFORE.search(text, max(0, s - 16), s) and not (NOT_BEHIND.match(text, f.end("a") + 1) and text[f.end("a") : f.end("a") + 1] not in ",.;:"):
@@ -543,10 +553,10 @@ def _second(text: str, f: re.Match[str], names: Names, caps: bool) -> bool:
 _RANK = {"email": 0, "idno": 1, "phone": 2, "addr": 3, "name": 4}
 
 
-def find(text: str, names: Names, known: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal information in a text, by place, without overlaps; `known` are further given names."""
+def find(text: str, names: Names) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the personal information in a text, by place, without overlaps."""
     card, low = is_card(text), _lower(text)
-    spans = [*_emails(text), *_numbers(text), *_accounts(text), *_addresses(text, low), *_names(text, names, known, card)]
+    spans = [*_emails(text), *_numbers(text), *_accounts(text), *_addresses(text, low), *_names(text, names, card)]
     taken: list[tuple[str, int, int]] = []
     starts: list[int] = []
     for kind, s, e in sorted(set(spans), key=lambda x: (_RANK[x[0]], x[1] - x[2], x[1])):
@@ -562,78 +572,124 @@ def find(text: str, names: Names, known: frozenset[str] = frozenset()) -> list[t
     return taken
 
 
-def redact(text: str | None, names: Names, known: frozenset[str] = frozenset()) -> str | None:
+def redact(text: str | None, names: Names) -> str | None:
     """The text with a placeholder for each span; everything else stays as it is."""
     if not text:
         return text
     out, at = [], 0
-    for kind, s, e in find(text, names, known):
+    for kind, s, e in find(text, names):
         out += [text[at:s], PLACEHOLDERS[kind]]
         at = e
     return "".join([*out, text[at:]])
 
 
-def _sample(docs: DataFrame, doc_id: str, text: str, sample: int, window: int) -> list[str]:
-    """About `sample` documents at most, by the smallest hashes of their ids; of each a window at a hashed place."""
-    n = docs.count()  # of the files' footers
-    bound = -(2**63) + int(2**64 * min(1.0, sample / max(1, n))) - 1
-    h = F.xxhash64(F.col(doc_id), F.lit(9))
-    at = F.pmod(F.xxhash64(F.col(doc_id), F.lit(10)), F.greatest(F.length(text) - window + 1, F.lit(1))).cast("int") + 1
-    chosen = docs.filter((h <= F.lit(min(bound, 2**63 - 1))) & (F.length(text) > 0))
-    rows = chosen.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), at.alias("at")).select("i", F.substring(F.col("t"), F.col("at"), F.lit(window)).alias("t")).collect()  # bounded by the parameters
-    return [r.t for r in sorted(rows, key=lambda r: (r.i is None, r.i, r.t))]
+def _counts(texts: Iterable[str]) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, a, b, n) of some texts: first words of pairs with what stands `before` and `behind` the pair, words with a `capital`, letters from a capital `inside` a word on, words in `small` letters."""
+    pairs: Counter[tuple[str, str, str]] = Counter()
+    capital: Counter[str] = Counter()
+    inside: set[str] = set()
+    small: Counter[str] = Counter()
+    for t in texts:
+        capital.update(_CAP_WORD.findall(t))
+        inside.update(_CAP_INSIDE.findall(t))
+        small.update(_SMALL_WORD.findall(t))
+        for m in _PAIR.finditer(t):
+            pairs.update((side, m.group("g").lower(), x) for side, x in _around(t, m.start(), m.end()))
+    yield from ((*x, n) for x, n in pairs.items())
+    yield from (("capital", w.lower(), "", n) for w, n in capital.items())
+    yield from (("inside", w.lower(), "", 1) for w in inside)
+    yield from (("small", w, "", n) for w, n in small.items())
+
+
+def learned(docs: DataFrame, text: str, terms: DataFrame) -> tuple[DataFrame, float]:
+    """Facts (kind, word, value) for `Names.of`, and the prior, as `learn` has them, over all texts; `terms` has known names in column `n`.
+
+    Of words in small letters, only those that also stand with a capital are facts: no others are asked for.
+    """
+    counted = flat_map(docs.filter(F.length(text) > 0).select(text), "kind string, a string, b string, n bigint", lambda: _counts)
+    counted = cut(counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    of = lambda *kinds: counted.filter(F.col("kind").isin(*kinds))
+    fact = lambda df, kind, word: df.select(F.lit(kind).alias("kind"), F.col(word).alias("word"), F.lit(0.0).alias("value"))
+    facts = fact(terms, "given", "n").unionByName(fact(of("small").join(of("capital", "inside").select("a").distinct(), "a", "left_semi"), "ordinary", "a"))
+    pairs = of("before", "behind").join(terms.select(F.col("n").alias("a"), F.lit(True).alias("known")), "a", "left")
+    sums = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("known"), F.col("known").isNull())]
+    n_yes, n_no = pairs.filter("kind = 'before'").agg(*sums).first()
+    if not n_yes:
+        return facts, -math.inf
+    yes, no = (F.log((c + 0.5) / F.lit(n + 1.0)) for c, n in zip(sums, (n_yes, n_no), strict=True))
+    odds = pairs.groupBy("kind", "b").agg(F.round(yes - no, 6).alias("value"))
+    # whole millionths, whose sum doesn't depend on the order of rows
+    by = pairs.join(odds, ["kind", "b"]).groupBy("a").agg(F.sum(F.col("n") * F.round(F.col("value") * 1_000_000).cast("bigint")).alias("total"), F.sum(F.when(F.col("kind") == "before", F.col("n"))).alias("found"))
+    by = by.join(of("capital", "small").groupBy("a").agg(F.sum("n").alias("stands")), "a", "left").join(terms.select(F.col("n").alias("a")), "a", "left_anti")
+    enough = (F.col("found") >= LEAST_PAIRS) & (F.col("found") >= LEAST_SHARE * F.coalesce("stands", F.lit(0))) & (F.col("total") >= LEAST_ODDS * 1_000_000 * F.col("found"))
+    new = by.filter(enough & ~F.col("a").isin(sorted(_NO_NAMES)))
+    return facts.unionByName(fact(new, "given", "a")).unionByName(odds.select("kind", F.col("b").alias("word"), "value")), math.log((n_yes + 1) / (n_no + 1))
 
 
 def _terms(names: DataFrame, name: str) -> DataFrame:
     return names.select(F.lower(F.trim(F.col(name))).alias("n")).filter("length(n) > 1").distinct()
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None, name: str, sample: int, window: int, most: int):
-    """The documents with the known names of each where the table is too large to be sent, else without; and what was learned."""
+def _asked(text: str) -> set[tuple[str, str]]:
+    """(kind, word) of all facts that `find` may ask for in a text."""
+    after, out = _AFTER_LINE if is_card(text) else _AFTER, set()
+    for m in _CAP.finditer(text):
+        s, e = m.span()
+        word = m.group().lower()
+        out |= {("given", word), ("given", word.split("-")[0])}
+        if comma := _BEFORE_COMMA.search(text, max(0, s - 50), s):
+            out.add(("given", comma.group(1).lower()))
+        for k in {e, e + (text[e : e + 1] == ".")}:
+            if f := after.match(text, k):
+                out |= {("given", f.group("a").lower()), ("ordinary", word), ("ordinary", (f.group("b") or "").strip().lower()), *_around(text, s, f.end("a"))}
+    return out
+
+
+def _prepared(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None, name: str, most: int) -> tuple[DataFrame, Names]:
+    """The documents with the facts of each where these are too many to be sent, else without; and what is sent."""
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    texts = _sample(chosen, "doc_id", "text", sample, window)
-    if names is None:
-        return chosen.withColumn("known", F.lit(None).cast("array<string>")), learn(texts, ())
-    terms = _terms(names, name)
-    if terms.limit(most + 1).count() <= most:
-        return chosen.withColumn("known", F.lit(None).cast("array<string>")), learn(texts, [r.n for r in terms.collect()])
-    # the words of the sample that are in the table, and those of each document; hot words are spread over salts
-    spark = docs.sparkSession
-    words = sorted({w.lower() for t in texts for w in _CAP_WORD.findall(t)})
-    known = [r.n for r in terms.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "n string")), "n", "left_semi").collect()] if words else []
+    terms = docs.sparkSession.createDataFrame([], "n string") if names is None else _terms(names, name)
+    facts, prior = learned(chosen, "text", terms)
+    some = facts.limit(most + 1).collect()
+    if len(some) <= most:
+        return chosen.withColumn("facts", F.lit(None).cast("array<struct<kind:string,word:string,value:double>>")), Names.of(some, prior)
+    # hot words are spread over salts
     salts = 16
-    salted = terms.select("n", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    caps = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"(?<![\p{L}\p{N}_])\p{Lu}\p{L}+"), F.lit(0)), lambda w: F.lower(w)))
-    each = chosen.filter("length(text) > 0").select("text", F.explode(caps).alias("n"))
-    each = each.select(F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), "n").withColumn("salt", F.pmod("t1", F.lit(salts)).cast("int"))
-    found = each.join(salted, ["n", "salt"]).groupBy("t1", "t2").agg(F.collect_set("n").alias("known"))  # capital words of one text
+    salted = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     keyed = chosen.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.hash("text"))
-    return keyed.join(found, ["t1", "t2"], "left").select("doc_id", "text", "known"), learn(texts, known)
+    asked = flat_map(keyed.filter("length(text) > 0").select("t1", "t2", "text"), "t1 bigint, t2 int, kind string, word string", lambda: lambda t1, t2, texts: ((a, b, *x) for a, b, t in zip(t1, t2, texts, strict=True) for x in _asked(t)))
+    found = asked.withColumn("salt", F.pmod("t1", F.lit(salts)).cast("int")).join(salted, ["kind", "word", "salt"])
+    found = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("kind", "word", "value")).alias("facts"))  # words of one text
+    return keyed.join(found, ["t1", "t2"], "left").select("doc_id", "text", "facts"), Names(prior=prior)
+
+
+def _own(facts: list[dict] | None, sent: Names) -> Names:
+    return sent if facts is None else Names.of(((x["kind"], x["word"], x["value"]) for x in facts), sent.prior)
 
 
-def find_personal(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None = None, name: str = "name", sample: int = SAMPLE_DOCS, window: int = SAMPLE_WINDOW, most_names: int = MOST_NAMES) -> DataFrame:
+def find_personal(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None = None, name: str = "name", most_names: int = MOST_NAMES) -> DataFrame:
     """(doc_id, pii_kind, span_start, span_end) of every occurrence; offsets are code points, the end exclusive.
 
     `names` is a table of given names in column `name`; null and blank ones don't count. Contexts of names are learned
-    from `sample` documents. Null and empty texts give no row; equal rows give theirs once per row.
+    from all documents. Null and empty texts give no row; equal rows give theirs once per row.
     """
-    chosen, model = _prepared(docs, doc_id, text, names, name, sample, window, most_names)
+    chosen, model = _prepared(docs, doc_id, text, names, name, most_names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = sent.value
-        return lambda ids, texts, known: ((i, *x) for i, t, k in zip(ids, texts, known, strict=True) for x in find(t, model, frozenset(k or ())))
+        return lambda ids, texts, facts: ((i, *x) for i, t, k in zip(ids, texts, facts, strict=True) for x in find(t, _own(k, model)))
 
     return flat_map(chosen.filter("length(text) > 0"), "doc_id bigint, pii_kind string, span_start bigint, span_end bigint", make)
 
 
-def redact_personal(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None = None, name: str = "name", sample: int = SAMPLE_DOCS, window: int = SAMPLE_WINDOW, most_names: int = MOST_NAMES) -> DataFrame:
+def redact_personal(docs: DataFrame, doc_id: str, text: str, names: DataFrame | None = None, name: str = "name", most_names: int = MOST_NAMES) -> DataFrame:
     """(doc_id, text): every document with placeholders. Null and empty texts stay as they are."""
-    chosen, model = _prepared(docs, doc_id, text, names, name, sample, window, most_names)
+    chosen, model = _prepared(docs, doc_id, text, names, name, most_names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = sent.value
-        return lambda ids, texts, known: ((i, redact(t, model, frozenset(k or ()))) for i, t, k in zip(ids, texts, known, strict=True))
+        return lambda ids, texts, facts: ((i, redact(t, _own(k, model))) for i, t, k in zip(ids, texts, facts, strict=True))
 
     return flat_map(chosen, "doc_id bigint, text string", make)

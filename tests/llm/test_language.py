@@ -393,3 +393,24 @@ def test_large_tables_of_names_are_joined(spark):
     assert sorted(map(tuple, sent)) == sorted(map(tuple, joined)) and {r.pii_kind for r in sent} == {"name"} and len(sent) > 30
     redacted = {r.doc_id: r.text for r in pii.redact_personal(d, "doc_id", "text", names, most_names=2).collect()}
     assert redacted[1] == "The Zed Hale came. [NAME] left." and redacted[7] is None
+
+
+def test_names_are_learned_from_all_texts(spark):
+    frames, families, _ = FRAMES["en"]
+    seen, unseen = (" ".join(f.format(f"{g} {x}") for f in frames for x in families.split()) for g in ("Nell", UNSEEN["en"]))
+    calm = "the water was calm. " * 400
+    elsewhere = f"Xyz {UNSEEN['en']} {families.split()[0]} xyz iPhone phone."
+    jenes = " ".join(f.format(f"Jenes {x}") for f in frames for x in families.split()) + " jenes Bild" * 50
+    texts = [jenes, calm + seen + "\n\n" + calm + unseen + "\n\n" + calm, elsewhere, *name_sample(), None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    names = spark.createDataFrame([("Nell",), ("mateo ",), ("Егор",), ("Lothar",), (None,)], "name string")
+    plain = pii.learn([t for t in texts if t], {"nell", "mateo", "егор", "lothar"})
+    facts, prior = pii.learned(d, "text", pii._terms(names, "name"))
+    model = pii.Names.of(facts.collect(), prior)
+    assert UNSEEN["en"].lower() in model.given and (model.given, model.odds, model.prior) == (plain.given, plain.odds, plain.prior)
+    assert "jenes" not in model.given  # it stands like a name, but most often in small letters
+    assert model.ordinary < plain.ordinary and "phone" in model.ordinary
+    want = sorted((i, *x) for i, t in enumerate(texts) if t for x in pii.find(t, plain))
+    assert (2, "name", 4, elsewhere.index(" xyz iPhone")) in want
+    for most in (100_000, 1):
+        assert sorted(map(tuple, pii.find_personal(d, "doc_id", "text", names, most_names=most).collect())) == want
