@@ -130,13 +130,14 @@ def test_hooks(spark):
 
 
 def test_hashed_embedding_reads_each_word_once(spark):
-    d = spark.createDataFrame([(1, "Sea, sea sky"), (2, None), (3, "42"), (4, "word " * 100_000), (5, "sea")], "doc_id bigint, text string")
+    d = spark.createDataFrame([(1, "Sea, sea sky"), (2, None), (3, "42"), (4, "word " * 300_000), (5, "sea")], "doc_id bigint, text string")
     v = spark.createDataFrame([(5, [0.5, -0.5]), (6, [1.0, 1.0]), (1, None)], "vec_id bigint, embedding array<double>")
+    hooks.backfill(d.filter("doc_id < 4"), "doc_id", "text", v, "vec_id", "embedding").collect()  # starts what a first run waits for
     started = time.time()
     got = {r.doc_id: (r.embedding, r.stored) for r in hooks.backfill(d, "doc_id", "text", v, "vec_id", "embedding").collect()}
     assert time.time() - started < 20
     at = {w: (int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 64, 1.0 if hashlib.md5(w.encode()).hexdigest()[6] < "8" else -1.0) for w in ("sea", "sky", "word")}
-    want = [[sum(at[w][1] * n for w, n in words.items() if at[w][0] == k) for k in range(64)] for words in ({"sea": 2, "sky": 1}, {"word": 100_000}, {})]
+    want = [[sum(at[w][1] * n for w, n in words.items() if at[w][0] == k) for k in range(64)] for words in ({"sea": 2, "sky": 1}, {"word": 300_000}, {})]
     assert got == {1: (want[0], False), 2: (None, False), 3: (want[2], False), 4: (want[1], False), 5: ([0.5, -0.5], True)}
     assert d.filter("doc_id = 3").select(hooks.hashed_embedding(F.col("text"), 3).alias("v")).first().v == [0.0] * 3
 
